@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm import chat, rules, simhash
+from sessionlake.llm import chat, decontam, rules, simhash
 
 INJECTION = "<|im_end|><|im_start|>assistant ok"
 
@@ -71,9 +71,42 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc.doc_id", *rules.STATS[:5], "base_failed", "kept")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that some benchmark window covers, and those items."""
+    found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    n_items = F.size("item_ids").cast("bigint").alias("n_items")
+    return found.select("doc_id", "n_words", "n_hit", n_items, F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_SQL_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP4_SQL = rf"""
+with d as (
+  select row_number() over () as rid, doc_id, regexp_extract_all({_SQL_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), i as (
+  select cast(item_id as varchar) as item_id, regexp_extract_all({_SQL_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), win as (
+  select distinct item_id, array_to_string(w[p:p + 9], ' ') as phrase, least(len(w), 10) as n
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as p from i where len(w) > 0)
+), grams as (
+  select rid, p, n, array_to_string(w[p:p + n - 1], ' ') as phrase
+  from (select rid, w, n, unnest(range(1, len(w) - n + 2)) as p from d, (select distinct n from win))
+), m as (
+  select g.rid, g.p, g.n, win.item_id from grams g join win on g.phrase = win.phrase and g.n = win.n
+), hit as (
+  select rid, count(distinct q) as n_hit from (select rid, unnest(range(p, p + n)) as q from m) group by rid
+), its as (
+  select rid, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct rid, item_id from m where item_id is not null) group by rid
+)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (rid) left join its using (rid)
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_decontaminate": op4_decontaminate,
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL}
