@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm import chat, decontam, langid, packing, rules, simhash
+from sessionlake.llm import chat, decontam, langid, packing, rules, simhash, suffix, superkmer
 
 INJECTION = "<|im_end|><|im_start|>assistant ok"
 
@@ -103,6 +103,18 @@ from d left join hit using (rid) left join its using (rid)
 """
 
 
+def op6_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document left after repeated 20-word windows go."""
+    found = superkmer.dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document left after repeated 200-byte strings go."""
+    found = suffix.dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from those that aren't held out."""
     return langid.identify(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "accepted")
@@ -126,6 +138,8 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_decontaminate": op4_decontaminate,
+    "op6_superkmer_dedup": op6_superkmer_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
