@@ -8,8 +8,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
-from sessionlake.llm import chat, decontam, langid, packing, rules, simhash, suffix, superkmer
+from sessionlake.llm import chat, decontam, langid, licenses, packing, pii, rules, simhash, suffix, superkmer
 
 INJECTION = "<|im_end|><|im_start|>assistant ok"
 
@@ -103,12 +104,29 @@ from d left join hit using (rid) left join its using (rid)
 """
 
 
+def op5_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added spans of personal data in every document."""
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc.doc_id", *map(count, pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op6_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document left after repeated 20-word windows go."""
     found = superkmer.dedup(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digest of every document and the licence that it is, if any."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document left after repeated 200-byte strings go."""
     found = suffix.dedup(_table(spark, sf_dir, "documents"))
@@ -138,9 +156,11 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_decontaminate": op4_decontaminate,
+    "op5_pii_crf": op5_pii_crf,
     "op6_superkmer_dedup": op6_superkmer_dedup,
+    "op7_license_scan": op7_license_scan,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op7_license_scan": licenses.sql()}
