@@ -1,0 +1 @@
+"""Session-memory analytics on Spark: transcripts, indexes and notes as DataFrames."""
