@@ -45,14 +45,15 @@ def budget_lines(lines: DataFrame, session: str, order: str, total: int) -> Data
     Each session may have total // sessions lines, MIN_LINES at least; of a longer one
     the first third and the last two thirds of that stay.
     """
-    sessions = lines.select(session).distinct().agg(F.greatest(F.floor(F.lit(total) / F.greatest(F.count("*"), F.lit(1))), F.lit(MIN_LINES)).cast("int").alias("cap"))
+    sessions = lines.select(session).distinct().agg(F.greatest(F.floor(F.lit(total) / F.greatest(F.count("*"), F.lit(1))), F.lit(MIN_LINES)).cast("int").alias("__cap"))
     own = Window.partitionBy(session)
-    rows = lines.join(F.broadcast(sessions)).withColumn("n", F.count("*").over(own)).withColumn("rn", F.row_number().over(own.orderBy(order)))
-    head = F.floor(F.col("cap") / 3)
-    tail_from = F.col("n") - (F.col("cap") - head)
-    kept = rows.where((F.col("n") <= F.col("cap")) | (F.col("rn") <= head) | (F.col("rn") > tail_from))
-    cut = F.when((F.col("n") > F.col("cap")) & (F.col("rn") == tail_from + 1), F.col("n") - F.col("cap")).otherwise(F.lit(0)).cast("bigint")
-    return kept.withColumn("cut", cut).drop("cap", "n", "rn")
+    rows = lines.join(F.broadcast(sessions)).withColumn("__n", F.count("*").over(own)).withColumn("__rn", F.row_number().over(own.orderBy(order)))
+    n, rn, cap = F.col("__n"), F.col("__rn"), F.col("__cap")
+    head = F.floor(cap / 3)
+    tail_from = n - (cap - head)
+    kept = rows.where((n <= cap) | (rn <= head) | (rn > tail_from))
+    cut = F.when((n > cap) & (rn == tail_from + 1), n - cap).otherwise(F.lit(0)).cast("bigint")
+    return kept.withColumn("cut", cut).drop("__cap", "__n", "__rn")
 
 
 def format_extract(extracted: DataFrame, total: int | None = None, assistant_label: str = "ASSISTANT") -> DataFrame:

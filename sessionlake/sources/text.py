@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,13 @@ LINE_END = r"\r\n|\r|\n"
 
 
 def read_whole(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, name, stem, size, mtime, value): one row for each file; none if nothing matches."""
+    """(path, name, stem, size, mtime, value): one row for each file; none if nothing matches.
+
+    Spark's readers pass over files whose names start with a dot or underscore, so one such
+    file (ledger, archive, stamp) is read through the file system; patterns never match them.
+    """
+    if pattern.rsplit("/", 1)[-1][:1] in (".", "_"):
+        return _read_hidden(spark, pattern)
     meta = lambda f: F.col(f"_metadata.{f}")
     try:
         files = spark.read.text(pattern, wholetext=True)
@@ -21,6 +29,22 @@ def read_whole(spark: SparkSession, pattern: str) -> DataFrame:
     return files.select(meta("file_path").alias("path"), meta("file_name").alias("name"), F.regexp_replace(meta("file_name"), r"\.[^.]*$", "").alias("stem"), meta("file_size").alias("size"), meta("file_modification_time").alias("mtime"), "value")
 
 
+def _read_hidden(spark: SparkSession, path: str) -> DataFrame:
+    jvm, rows = spark.sparkContext._jvm, []
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(where):
+        status, stream = fs.getFileStatus(where), fs.open(where)
+        try:
+            data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+        name = where.getName()
+        stem = name.rsplit(".", 1)[0] or name
+        rows.append((path, name, stem, status.getLen(), datetime.fromtimestamp(status.getModificationTime() / 1000, UTC), data.decode("utf-8", "replace")))
+    return spark.createDataFrame(rows, "path string, name string, stem string, size bigint, mtime timestamp, value string")
+
+
 def to_lines(files: DataFrame, *keys: str, text: str = "value") -> DataFrame:
     """The keys, line_no (from 0) and line of every document."""
     return files.select(*keys, F.posexplode(F.split(F.col(text), LINE_END)).alias("line_no", "line"))
