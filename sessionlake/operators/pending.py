@@ -73,3 +73,9 @@ def format_extract(extracted: DataFrame, total: int | None = None, assistant_lab
     rows = lines.groupBy("date", "s", "file_mtime").agg(text.alias("t")).select("date", (F.row_number().over(Window.partitionBy("date").orderBy(F.desc("file_mtime"), "s"))).alias("ord"), F.concat(head, "t").alias("text"))
     title = F.concat(F.lit(f"\n{rule}\nDAY: "), F.col("date"), F.lit(" ("), F.col("sessions").cast("string"), F.lit(" sessions, "), F.col("messages").cast("string"), F.lit(f" messages)\n{rule}"))
     return day_totals(extracted).select("date", F.lit(0).alias("ord"), title.alias("text")).unionByName(rows).orderBy("date", "ord")
+
+
+def captured_flags(sessions: DataFrame, captured: DataFrame) -> DataFrame:
+    """Sessions with captured: whether the ledger has them."""
+    held = captured.select("session_id").distinct().withColumn("captured", F.lit(True))
+    return sessions.join(held, "session_id", "left").fillna(False, ["captured"])

@@ -145,3 +145,25 @@ def test_stream(spark, tmp_path):
         ingest.stream_drops(spark, drop, "user_id bigint, ts timestamp", lambda df: df, lambda df, _: seen.append(df.count()), str(tmp_path / "cp")).awaitTermination()
     assert sum(seen) == 3
     assert {(r.user_id, str(r.day), r.events) for r in ingest.daily_activity(rows).collect()} == {(1, "2026-01-01", 2), (2, "2026-01-09", 1)}
+
+
+def test_sinks(spark, tree, tmp_path):
+    from sessionlake.operators import pending
+    from sessionlake.sources import sinks
+
+    layout, _ = tree
+    got = context.day_extract(spark, layout)
+    out, side = str(tmp_path / "x.txt"), str(tmp_path / "x.ids")
+    assert sinks.write_extract(spark, got, out, side, pending.DAY_LINE_BUDGET) == 1
+    assert "Session: s1" in (tmp_path / "x.txt").read_text() and (tmp_path / "x.ids").read_text() == "s1\n"
+    assert sinks.write_extract(spark, got, out, side, as_json=True) == 1
+    assert json.loads((tmp_path / "x.txt").read_text())["2026-02-01"][0]["session_id"] == "s1"
+    assert sinks.write_extract(spark, got.limit(0), str(tmp_path / "none"), side) == 0 and not (tmp_path / "none").exists()
+    assert sinks.write_ledger(spark, layout.captured, files.read_ledger(spark, layout.captured).unionByName(spark.createDataFrame([("a",)], "session_id string")))
+    assert [r[0] for r in files.read_ledger(spark, layout.captured).orderBy("session_id").collect()] == ["a", "old", "s2"]
+    assert sinks.save_settings(spark, layout.settings, {"decay": {"ageDays": 9}}) and settings.load_settings(spark, layout.settings)["decay"]["ageDays"] == 9
+    assert not sinks.save_json(spark, "/proc/no/such.json", {})
+    sinks.write_documents(spark.createDataFrame([("a.md", "x\ny\n"), ("b.md", "z")], "file string, text string"), str(tmp_path / "docs"))
+    assert {r.value for r in files.read_whole(spark, str(tmp_path / "docs/*/*.txt")).collect()} == {"x\ny\n", "z\n"}
+    flags = pending.captured_flags(transcripts.list_sessions(spark, layout.projects), files.read_ledger(spark, layout.captured))
+    assert {r.session_id: r.captured for r in flags.collect()} == {"s1": False, "s2": True, "small": False, "s3": False}
