@@ -1,7 +1,7 @@
 """Quality rules: a learned decision list over text statistics, applied as one CASE.
 
 Statistics are Spark expressions over whole texts. Learning: the labelled statistics are
-cut at thresholds (quantiles of either class) and counted by cell in one aggregation;
+cut at thresholds (midway between quantiles of either class) and counted by cell in one aggregation;
 the cells, at most (thresholds + 1) ** features of them for a grow and a prune part, are
 all that reaches the driver, whatever the size of the corpus. Sequential covering then
 grows a conjunction of thresholds by information gain, prunes it on the held-out cells,
@@ -22,18 +22,18 @@ from pyspark.sql.column import Column
 from sessionlake.llm.common import WORD_SPACE, Scratch, words_of
 
 WINDOW = 8
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_bangs", "n_lines")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_echo_words", "n_lines")
 FEATURES = {
     "mean_word_chars": ("word_chars", "n_words"),
     "symbol_share": ("n_symbols", "word_chars"),
     "upper_share": ("n_upper", "word_chars"),
-    "bang_share": ("n_bangs", "word_chars"),
+    "echo_share": ("n_echo_words", "n_words"),
     "dup_line_share": ("n_dup_lines", "n_lines"),
     "repeat_share": ("n_repeat_words", "n_words"),
 }
-#: Quantiles that give the candidate thresholds: of good texts, and of bad ones.
-GOOD_AT, BAD_AT = (0.01, 0.9, 0.99, 0.999), (0.05, 0.25, 0.5)
-MAX_THRESHOLDS = len(GOOD_AT) + len(BAD_AT)
+#: Quantiles whose midpoints are the candidate thresholds: of good texts, and of bad ones.
+GOOD_AT, BAD_AT = (0.001, 0.5, 0.99, 0.999), (0.02, 0.1, 0.25, 0.5, 1.0)
+MAX_THRESHOLDS = len(GOOD_AT) + len(BAD_AT) - 1
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,7 @@ def with_stats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     step = step.select(
         "doc", n.cast("bigint").alias("n_words"), F.length(F.regexp_replace(t, f"[{WORD_SPACE}]+", "")).cast("bigint").alias("word_chars"),
         count("[#*$%&|<>]").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
-        count("[A-Z]+").alias("n_upper"), count("!+").alias("n_bangs"), F.size("lines").cast("bigint").alias("n_lines"), windows.alias("w"),
+        count("[A-Z]+").alias("n_upper"), F.size(F.filter("h", lambda x, i: x == F.get("h", i - 1))).cast("bigint").alias("n_echo_words"), F.size("lines").cast("bigint").alias("n_lines"), windows.alias("w"),
     )
     again = F.size(F.array_distinct("w")) < F.size("w")
     order = F.when(again, F.sort_array(F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).otherwise(F.array().cast("array<struct<x:bigint,i:int>>"))
@@ -88,7 +88,7 @@ def base_failed() -> Column:
 
 
 def thresholds(labelled: DataFrame) -> dict[str, list[float]]:
-    """Candidate thresholds of each feature, from quantiles of the good and the bad."""
+    """Candidate thresholds of each feature: midway between neighbouring quantiles of the good and the bad."""
     made = {}
     exprs = []
     for f in FEATURES:
@@ -97,7 +97,7 @@ def thresholds(labelled: DataFrame) -> dict[str, list[float]]:
     row = labelled.agg(*exprs).first()
     for f in FEATURES:
         values = sorted({float(v) for good in (1, 0) for v in (row[f"{f}_{good}"] or [])})
-        made[f] = [math.nextafter(v, math.inf) for v in values]
+        made[f] = [(a + b) / 2 for a, b in zip(values, values[1:], strict=False)]
     return made
 
 
