@@ -9,7 +9,8 @@ are clamped, and their labels reach look-alikes that the patterns miss.
 
 Training is piecewise, on counts over the whole corpus: node shapes by label (a bounded
 number of shapes) give a multinomial logistic model, label pairs on either kind of edge
-give the pair potentials.
+give the pair potentials. The patterns label only what they match: a node outside every
+base span that looks like one inside is unlabelled, not negative, and left out of counts.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 NEAR = 2
 ROUNDS, DAMP, SURE = 20, 0.5, 0.8
+#: Added to the counts of label pairs: any pair, and equal labels on a skip edge.
+SMOOTH, AGREE = 0.5, 5.0
 BUCKETS = (0, 2, 5, 8, 11, 19)
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -184,15 +187,20 @@ def train(docs: DataFrame, text: str = "text") -> Field:
             for t in batch.column("text"):
                 value = t.as_py()
                 nodes = nodes_of(value, base_spans(value))
-                tally.update(("shape", ",".join(map(str, map(int, s))), y) for s, y in zip(nodes.shape, nodes.label, strict=True))
+                label, known = nodes.label, [True] * len(nodes.label)
+                for a, b in nodes.skip:
+                    if bool(label[a]) != bool(label[b]):
+                        known[b if label[a] else a] = False
+                tally.update(("shape", ",".join(map(str, map(int, s))), y) for s, y, k in zip(nodes.shape, label, known, strict=True) if k)
                 for name, edges in (("chain", nodes.chain), ("skip", nodes.skip)):
-                    tally.update((name, str(nodes.label[a]), nodes.label[b]) for a, b in edges)
+                    tally.update((name, str(label[a]), label[b]) for a, b in edges if known[a] and known[b])
             kind, key, y = zip(*tally, strict=True) if tally else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(key, pa.string()), pa.array(y, pa.int32()), pa.array(list(tally.values()), pa.int64())], names=["kind", "key", "y", "n"])
 
     some = docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
     rows = sorted(tuple(r) for r in some.mapInArrow(run, "kind string, key string, y int, n bigint").groupBy("kind", "key", "y").agg(F.sum("n").alias("n")).collect())
-    pairs = {k: np.full((len(LABELS), len(LABELS)), 0.5) for k in ("chain", "skip")}
+    pairs = {k: np.full((len(LABELS), len(LABELS)), SMOOTH) for k in ("chain", "skip")}
+    pairs["skip"] += AGREE * np.eye(len(LABELS))
     shapes, ys, ns = [], [], []
     for kind, key, y, n in rows:
         if kind == "shape":
