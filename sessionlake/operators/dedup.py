@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.functions import text as x
 from sessionlake.operators.daily import mark
+from sessionlake.scratch import Scratch
 
 
 def matches(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -16,10 +15,12 @@ def matches(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFr
 
     left, right: (id, words), words distinct. Exact prefix filter: of the smaller set's n
     words, taken rarest first, one of the first n - ceil(threshold * n) + 1 is in the other, so
-    only those are joined, on equality; the pairs are then verified.
+    only those are joined, on equality; the pairs are then verified. Both sides are written
+    to the shared folder first, as words are dear to extract and needed several times.
     """
-    a = left.where(F.size("words") > 0).select(F.col("id").alias("a"), F.col("words").alias("aw"))
-    b = right.where(F.size("words") > 0).select(F.col("id").alias("b"), F.col("words").alias("bw"))
+    scratch = Scratch(left.sparkSession)
+    a = scratch.save(left.select(F.col("id").alias("a"), F.col("words").alias("aw")).where(F.size("aw") > 0), "left")
+    b = scratch.save(right.select(F.col("id").alias("b"), F.col("words").alias("bw")).where(F.size("bw") > 0), "right")
     df = a.select(F.explode("aw").alias("w")).unionByName(b.select(F.explode("bw").alias("w"))).groupBy("w").count()
 
     def ranked(side: DataFrame, key: str, words: str) -> DataFrame:
@@ -44,8 +45,3 @@ def mark_routed(daily: DataFrame, notes: DataFrame, threshold: float = 0.5) -> D
     found = matches(left, right, threshold).select("a.day", "a.line_no").distinct().withColumn("marked", F.lit(True))
     rows = daily.join(found, ["day", "line_no"], "left").fillna(False, ["marked"])
     return rows.withColumn("line", F.when(F.col("marked"), mark(F.col("line"))).otherwise(F.col("line")))
-
-
-def smallest_threshold_words(n: int, threshold: float) -> int:
-    """How many of n words have to be shared."""
-    return math.ceil(n * threshold - 1e-9)
