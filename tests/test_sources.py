@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,3 +168,34 @@ def test_sinks(spark, tree, tmp_path):
     assert {r.value for r in files.read_whole(spark, str(tmp_path / "docs/*/*.txt")).collect()} == {"x\ny\n", "z\n"}
     flags = pending.captured_flags(transcripts.list_sessions(spark, layout.projects), files.read_ledger(spark, layout.captured))
     assert {r.session_id: r.captured for r in flags.collect()} == {"s1": False, "s2": True, "small": False, "s3": False}
+
+
+def test_decay_run(spark, tree):
+    import datetime as dt
+
+    from sessionlake.plans import maintenance
+
+    layout, _ = tree
+    note = lambda *days: "## Key Learnings\n" + "".join(f"- ({d}) [x] {d}\n" for d in days)
+    sinks_text = {layout.global_memory: note("2026-01-01", "2026-02-10"), f"{layout.project_memory}/proj-long-term-memory.md": note("2026-01-31", "2025-01-01"), f"{layout.project_memory}/gone-long-term-memory.md": note("2025-01-01"), layout.archive: "# Decay Archive\n\n## Archived 2026-02-12\n- today\n\n## Archived 2024-01-01\n- old\n"}
+    for path, text in sinks_text.items():
+        write(Path(path), text)
+    own = settings.set_value(settings.parse_settings(None), "decay.projectWorkingDays", 1)
+    day = dt.date(2026, 2, 12)
+    assert maintenance.run_decay(spark, layout, own, day, dry_run=True) == {"archived": 4, "purged": 1}
+    assert files.read_document(spark, layout.global_memory) == sinks_text[layout.global_memory]
+    assert maintenance.run_decay(spark, layout, own, day) == {"archived": 4, "purged": 1}
+    archive = files.read_document(spark, layout.archive)
+    assert archive.count("## Archived") == 1 and archive.count("Source:") == 4 and "- today" in archive and "- old" not in archive
+    assert files.read_document(spark, layout.global_memory) == "## Key Learnings\n- (2026-02-10) [x] 2026-02-10\n"
+    assert files.read_document(spark, f"{layout.project_memory}/proj-long-term-memory.md") == "## Key Learnings\n"
+    assert maintenance.run_decay(spark, layout, own, day) == {"archived": 0, "purged": 0}
+
+
+def test_build_index(spark, tree):
+    from sessionlake.plans import maintenance
+
+    layout, work = tree
+    doc = maintenance.build_index(spark, layout)
+    assert doc["projects"] == {str(work).lower(): {"name": "Proj", "originalPath": str(work), "encodedPaths": ["-p"], "workDays": ["2026-02-01"]}}
+    assert files.read_document(spark, layout.projects_index)
