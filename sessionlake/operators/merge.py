@@ -69,3 +69,17 @@ def rewrite_paths(rows: DataFrame, column: str, old: str, new: str) -> DataFrame
 def changed_documents(files: DataFrame, old: str, new: str) -> DataFrame:
     """Only the documents that hold old, rewritten; their number is the reported count."""
     return files.where(F.col("value").contains(old)).withColumn("value", F.replace("value", F.lit(old), F.lit(new)))
+
+
+def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """existing with new's rows in place of those of equal keys (null keys are equal)."""
+    marked = new.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    same = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"__{k}")) if same is None else same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return existing.join(marked, same, "left_anti").unionByName(new)
+
+
+def remove_containing(rows: DataFrame, column: str, part: str) -> DataFrame:
+    """Rows whose column doesn't hold part; nulls stay."""
+    return rows.where(~F.coalesce(F.col(column).contains(part), F.lit(False)))

@@ -191,3 +191,10 @@ def test_remember_and_route(spark):
     names = spark.createDataFrame([("MyProject",)], "name string")
     routed = {(r.target, r.routed) for r in daily.route(lines(spark, NOTE), names).collect()}
     assert ("MyProject", "- [routed][MyProject/implement] Feature") in routed and len(routed) == 3
+
+
+def test_upsert(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, c string, v int")
+    out = merge.upsert(rows(("a", "x", 1), (None, "x", 2), ("b", "y", 3)), rows(("a", "x", 9), (None, "x", 8)), ["k", "c"])
+    assert sorted((r.k or "", r.v) for r in out.collect()) == [("", 8), ("a", 9), ("b", 3)]
+    assert sorted(r.v for r in merge.remove_containing(rows(("a", "x/y", 1), ("b", None, 2)), "c", "/").collect()) == [2]

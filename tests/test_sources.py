@@ -199,3 +199,14 @@ def test_build_index(spark, tree):
     doc = maintenance.build_index(spark, layout)
     assert doc["projects"] == {str(work).lower(): {"name": "Proj", "originalPath": str(work), "encodedPaths": ["-p"], "workDays": ["2026-02-01"]}}
     assert files.read_document(spark, layout.projects_index)
+
+
+def test_reports(spark, tree):
+    from sessionlake.plans import report
+
+    layout, work = tree
+    got = {r.metric: r.value for r in report.memory_status(spark, layout).collect()}
+    assert got == {"daily_notes": "3", "first_day": "2026-02-01", "last_day": "2026-02-03", "project_notes": "1", "sessions": "4", "captured": "1", "pending": "1", "pending_days": "1"}
+    got = {r.metric: r.value for r in report.token_usage(spark, layout, settings.parse_settings(None), str(work)).collect()}
+    assert got["project_name"] == "Proj" and got["global_short_days_actual"] == "2" and got["project_short_days_actual"] == "3"
+    assert got["global_long_term_tokens"] == str(15 // 4) and int(got["total_tokens"]) == sum(int(got[f"{c}_tokens"]) for c in ("global_long_term", "global_short_term", "project_long_term", "project_short_term"))
