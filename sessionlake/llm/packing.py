@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.llm.common import Scratch
 
-LENGTH, OPEN_WINDOWS, MERGE_PARTITIONS = 2048, 64, 32
+LENGTH, OPEN_WINDOWS, MERGE_PARTITIONS = 2048, 64, 8
 _LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
 
 
