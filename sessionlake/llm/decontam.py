@@ -18,7 +18,8 @@ from pyspark.sql.column import Column
 from sessionlake.llm.common import Scratch, ascii_lower, row_key
 
 WINDOW, SEEDS = 10, 2
-#: Sides of at most so many terms (a few MB) are broadcast; larger ones are joined by shuffle.
+#: Sides of at most so many terms or seeds (some MB) are broadcast; larger ones are joined by
+#: shuffle, where a hot term's postings are split by the adaptive skew join.
 MAX_BROADCAST_TERMS = 100_000
 #: Stands for the end of a document in the postings; no word is empty.
 END = ""
@@ -79,15 +80,16 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str =
     kind is "phrase" for exact matches and, where slop is given, "near" for places where
     all words of a phrase are within window - 1 + slop words of its rarest, in any order,
     but the phrase is not. rk tells apart rows that share a doc_id; rows equal in doc_id
-    and text are one document. Null and wordless texts match nothing.
+    and text are one document, whose matches come as often as its row. Null and wordless
+    texts match nothing.
     """
     scratch = Scratch(docs.sparkSession)
     known = scratch.save(phrases(items, item_id, item_text, window), "phrases")
     seed = scratch.save(seeds(docs, known, scratch, text), "seeds")
     store = scratch.save(postings(docs, seed, text, doc_id, window - 1 + (slop or 0)), "postings")
     directory = store.where(F.col("term") == END).select("doc_id", "rk", F.col("pos").cast("bigint").alias("n_words"))
-    lists = store.where(F.col("term") != END).dropDuplicates(["doc_id", "rk", "term", "pos"])
-    moved = lists.join(seed, "term").withColumn("start", F.col("pos") - F.col("off"))
+    lists = store.where(F.col("term") != END)
+    moved = lists.join(_small(seed), "term").withColumn("start", F.col("pos") - F.col("off"))
     first = moved.where("rank = 1")
     others = moved.where("rank > 1 and start >= 0").select(F.col("doc_id").alias("d"), F.col("rk").alias("r"), F.col("pid").alias("p"), F.col("start").alias("s"))
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rk") == F.col("r")) & (F.col("pid") == F.col("p")) & (F.col("start") == F.col("s"))
