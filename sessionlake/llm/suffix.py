@@ -15,13 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.llm.common import Scratch, row_key
-from sessionlake.llm.windows import Runs, build_sieve, count_slots, mix, passes, ranges, removed, runs_of, with_spans
+from sessionlake.llm.windows import Runs, Sieve, build_sieve, count_slots, mix, ranges, removed, runs_of, with_spans
 
 WINDOW, GRAM = 200, 32
+#: Two windows are compared only if they agree around the minimiser but for so many bytes.
+SLACK = 21
+MANY, DIGEST = -1, -2
 PER_WINDOW = WINDOW - GRAM + 1
 STRETCH = 1 << 18
 
@@ -131,6 +135,32 @@ def shared_windows(texts: list[bytes], window: int = WINDOW) -> list[np.ndarray]
     return [flags[b : b + max(len(t) - window + 1, 0)] for b, t in zip(begins.tolist(), texts, strict=True)]
 
 
+def candidates(texts: list[bytes], places: list[int]) -> list[tuple[int, int, int]]:
+    """(text number, begin, end): the parts that may share a window with another text.
+
+    places: the minimiser's place in each text. A window that begins o bytes before it holds
+    the o bytes to its left and WINDOW - GRAM - o to its right, and so does every equal window;
+    the bytes that all o of one step of SLACK have in common are looked up first.
+    """
+    room = WINDOW - GRAM
+    seen: dict[tuple[int, bytes], int] = {}
+    hit: dict[int, list[int]] = {}
+    for i, (t, at) in enumerate(zip(texts, places, strict=True)):
+        for j in range(room // SLACK):
+            left, right = at - j * SLACK, at + GRAM + room - (j + 1) * SLACK
+            if left < 0 or right > len(t):
+                continue
+            other = seen.setdefault((j, t[left:right]), i)
+            if other != i:
+                hit.setdefault(other, []).append(j)
+                hit.setdefault(i, []).append(j)
+    out = []
+    for i, js in hit.items():
+        at = places[i]
+        out.append((i, max(0, at - (max(js) + 1) * SLACK), min(len(texts[i]), at - min(js) * SLACK + WINDOW)))
+    return out
+
+
 def stretches(text: bytes) -> Iterator[tuple[int, bytes, Runs]]:
     """(first byte, bytes, super-k-mers) for bounded stretches of a text."""
     for base in range(0, max(len(text) - WINDOW + 1, 0), STRETCH):
@@ -143,8 +173,8 @@ def stretches(text: bytes) -> Iterator[tuple[int, bytes, Runs]]:
         yield base, part, runs_of(mix(grams), PER_WINDOW)
 
 
-def superkmers(docs: DataFrame, sieve: np.ndarray) -> DataFrame:
-    """(key, doc_id, rk, start, n, multi, times, packed), or packed null for a repetition found at once.
+def superkmers(docs: DataFrame, sieve: Sieve) -> DataFrame:
+    """(key, doc_id, rk, start, n, at, times, packed), or packed null for a repetition found at once.
 
     Of equal strings in one batch one is sent on, with the number of places (one or two
     stands for any more); the others are repetitions and carry their number of windows.
@@ -159,16 +189,18 @@ def superkmers(docs: DataFrame, sieve: np.ndarray) -> DataFrame:
             rows, size = [], 0
             for d, rk, t in zip(batch.column("doc_id").to_pylist(), batch.column("rk").to_pylist(), batch.column("text"), strict=True):
                 for base, part, r in stretches(t.as_py() or b""):
-                    for k in np.flatnonzero(passes(sent.value, r.slots())).tolist():
+                    slots = r.slots()
+                    hot = sent.value.is_hot(slots)
+                    for k in np.flatnonzero(sent.value.passes(slots)).tolist():
                         a, n = int(r.start[k]), int(r.count[k])
                         packed = part[a : a + n + WINDOW - 1]
                         row = seen.get(packed)
                         if row is None:
-                            seen[packed] = [int(r.key[k].view(np.int64)), d, rk, base + a, n, bool(r.multi[k]), 1, packed]
+                            seen[packed] = [int(r.key[k].view(np.int64)), d, rk, base + a, n, MANY if r.multi[k] else int(r.place[k]) - a, 1, packed, hot[k]]
                             size += len(packed)
                         elif (d, rk, base + a) != tuple(row[1:4]):
                             row[6] = 2
-                            rows.append((rk, d, rk, base + a, n, False, 2, None))
+                            rows.append((rk, d, rk, base + a, n, MANY, 2, None))
                 if size >= 1 << 24 or len(rows) >= 1 << 16:
                     yield emit(seen, rows, type_)
                     seen, rows, size = {}, [], 0
@@ -176,11 +208,22 @@ def superkmers(docs: DataFrame, sieve: np.ndarray) -> DataFrame:
                 yield emit(seen, rows, type_)
 
     def emit(seen: dict, rows: list, type_: pa.DataType) -> pa.RecordBatch:
-        cols = zip(*(rows + list(seen.values())), strict=True)
-        kinds = (pa.int64(), type_, pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "doc_id", "rk", "start", "n", "multi", "times", "packed"])
-
-    return docs.mapInArrow(run, f"key bigint, doc_id {kind}, rk bigint, start bigint, n bigint, multi boolean, times int, packed binary")
+        single: dict[bytes, list] = {}
+        for key, d, rk, start, n, at, times, packed, hot in seen.values():
+            if not hot:
+                rows.append((key, d, rk, start, n, at, times, packed))
+                continue
+            for i in range(n):
+                digest = xxhash.xxh3_128_digest(packed[i : i + WINDOW])
+                row = single.setdefault(digest, [int.from_bytes(digest[:8], "little", signed=True), d, rk, start + i, 1, DIGEST, times, digest])
+                if (d, rk, start + i) != tuple(row[1:4]):
+                    row[6] = 2
+                    rows.append((rk, d, rk, start + i, 1, MANY, 2, None))
+        cols = zip(*(rows + list(single.values())), strict=True)
+        kinds = (pa.int64(), type_, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "doc_id", "rk", "start", "n", "at", "times", "packed"])
+
+    return docs.mapInArrow(run, f"key bigint, doc_id {kind}, rk bigint, start bigint, n bigint, at int, times int, packed binary")
 
 
 class Bucket:
@@ -194,12 +237,13 @@ class Bucket:
         self.key = None
         self.texts: list[bytes] = []
         self.places: list[tuple | None] = []
-        self.multi, self.last = False, None
+        self.ats: list[int] = []
+        self.last = None
 
     def whole(self, place: tuple, packed: bytes) -> tuple:
-        return (*place[:2], place[2], place[2] + len(packed))
+        return (*place[:2], place[2], place[2] + max(len(packed), WINDOW))
 
-    def add(self, key: int, place: tuple, multi: bool, times: int, packed: bytes) -> list[tuple]:
+    def add(self, key: int, place: tuple, at: int, times: int, packed: bytes) -> list[tuple]:
         out = self.flush() if key != self.key else []
         self.key = key
         if self.texts and self.texts[-1] == packed:
@@ -213,7 +257,7 @@ class Bucket:
                 out.append(self.whole(place, packed))
         else:
             self.texts.append(packed)
-            self.multi |= multi
+            self.ats.append(at)
             self.places.append(place if times == 1 else None)
             if times > 1:
                 out.append(self.whole(place, packed))
@@ -221,12 +265,20 @@ class Bucket:
         return out
 
     def flush(self) -> list[tuple]:
-        out = []
-        if (len(self.texts) > 1 or self.multi) and any(p is not None for p in self.places):
-            for place, flags in zip(self.places, shared_windows(self.texts), strict=True):
+        out, some = [], []
+        if any(p is not None for p in self.places):
+            if DIGEST in self.ats:
+                some = []
+            elif MANY in self.ats:
+                some = [(i, 0, len(t)) for i, t in enumerate(self.texts)]
+            elif len(self.texts) > 1:
+                some = candidates(self.texts, self.ats)
+        if any(self.places[i] is not None for i, _, _ in some):
+            for (i, begin, _), flags in zip(some, shared_windows([self.texts[i][a:b] for i, a, b in some]), strict=True):
+                place = self.places[i]
                 if place is not None:
-                    out += [(*place[:2], place[2] + lo, place[2] + hi + WINDOW - 1) for lo, hi in ranges(flags)]
-        self.texts, self.places, self.multi = [], [], False
+                    out += [(*place[:2], place[2] + begin + lo, place[2] + begin + hi + WINDOW - 1) for lo, hi in ranges(flags)]
+        self.texts, self.places, self.ats = [], [], []
         return out
 
 
@@ -243,13 +295,13 @@ def repetitions(sent: DataFrame) -> DataFrame:
         for batch in batches:
             type_, out = batch.schema.field("doc_id").type, []
             doc, rk, start, n = (batch.column(c).to_pylist() for c in ("doc_id", "rk", "start", "n"))
-            key, multi, times, packed = (batch.column(c).to_pylist() for c in ("key", "multi", "times", "packed"))
+            key, ats, times, packed = (batch.column(c).to_pylist() for c in ("key", "at", "times", "packed"))
             for i, value in enumerate(packed):
                 place = (doc[i], rk[i], start[i])
                 if value is None:
                     out.append((*place, start[i] + n[i] + WINDOW - 1))
                 else:
-                    out += bucket.add(key[i], place, multi[i], times[i], value)
+                    out += bucket.add(key[i], place, ats[i], times[i], value)
             if out:
                 yield made(out)
         if out := bucket.flush():
@@ -268,8 +320,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("rk"), F.col(text).cast("binary").alias("text"))
-    sieve = build_sieve(count_slots(rows, lambda t: (r for _, _, r in stretches(t))))
-    found = Scratch(docs.sparkSession).save(repetitions(superkmers(rows, sieve)), "repeated")
+    scratch = Scratch(docs.sparkSession)
+    sieve = build_sieve(count_slots(rows, lambda t: (r for _, _, r in stretches(t))), scratch)
+    found = scratch.save(repetitions(superkmers(rows, sieve)), "repeated")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.llm.common import Scratch, row_key, word_chunks
-from sessionlake.llm.windows import Runs, build_sieve, count_slots, mix, passes, ranges, removed, runs_of, with_spans
+from sessionlake.llm.windows import Runs, Sieve, build_sieve, count_slots, mix, ranges, removed, runs_of, with_spans
 
 WINDOW, GRAM = 20, 5
 PER_WINDOW = WINDOW - GRAM + 1
@@ -40,11 +40,12 @@ def stretches(text: bytes) -> Iterator[tuple[int, list[bytes], Runs]]:
         base, words = base + done, words[done:]
 
 
-def superkmers(docs: DataFrame, sieve: np.ndarray) -> DataFrame:
+def superkmers(docs: DataFrame, sieve: Sieve) -> DataFrame:
     """(key, doc_id, rk, start, multi, packed), or packed null for a repetition found at once.
 
     Of equal strings in one batch only the earliest is sent on; the others are repetitions
-    and carry n, their number of windows, instead.
+    and carry n, their number of windows, instead. A hot minimiser's super-k-mers are sent
+    as single windows, each keyed by its own hash, so no bucket gathers them.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(sieve)
@@ -56,10 +57,12 @@ def superkmers(docs: DataFrame, sieve: np.ndarray) -> DataFrame:
             rows, size = [], 0
             for d, rk, t in zip(batch.column("doc_id").to_pylist(), batch.column("rk").to_pylist(), batch.column("text"), strict=True):
                 for base, words, r in stretches(t.as_py() or b""):
-                    for k in np.flatnonzero(passes(sent.value, r.slots())).tolist():
+                    slots = r.slots()
+                    hot = sent.value.is_hot(slots)
+                    for k in np.flatnonzero(sent.value.passes(slots)).tolist():
                         a, n = int(r.start[k]), int(r.count[k])
                         packed = b" ".join(words[a : a + n + WINDOW - 1])
-                        mine = ((d is not None, d, rk, base + a), n, int(r.key[k].view(np.int64)), bool(r.multi[k]))
+                        mine = ((d is not None, d, rk, base + a), n, int(r.key[k].view(np.int64)), bool(r.multi[k]), bool(hot[k]))
                         other = best.get(packed)
                         if other is None:
                             best[packed] = mine
@@ -75,7 +78,21 @@ def superkmers(docs: DataFrame, sieve: np.ndarray) -> DataFrame:
                 yield emit(best, rows, type_)
 
     def emit(best: dict, rows: list, type_: pa.DataType) -> pa.RecordBatch:
-        rows = rows + [(key, where[1], where[2], where[3], n, multi, packed) for packed, (where, n, key, multi) in best.items()]
+        single: dict[bytes, tuple] = {}
+        for packed, (where, n, key, multi, hot) in best.items():
+            if not hot:
+                rows.append((key, *where[1:], n, multi, packed))
+                continue
+            words = packed.split(b" ")
+            for i in range(n):
+                window, mine = b" ".join(words[i : i + WINDOW]), (*where[:3], where[3] + i)
+                other = single.get(window)
+                if other is None or mine < other:
+                    single[window] = mine
+                    mine = other
+                if mine is not None:
+                    rows.append((mine[2], *mine[1:], 1, False, None))
+        rows += [(xxhash.xxh64_intdigest(window) - (1 << 63), *where[1:], 1, False, window) for window, where in single.items()]
         cols = zip(*rows, strict=True)
         kinds = (pa.int64(), type_, pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "doc_id", "rk", "start", "n", "multi", "packed"])
@@ -160,8 +177,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("rk"), F.col(text).cast("binary").alias("text"))
-    sieve = build_sieve(count_slots(rows, lambda t: (r for _, _, r in stretches(t))))
-    found = Scratch(docs.sparkSession).save(repetitions(superkmers(rows, sieve)), "repeated")
+    scratch = Scratch(docs.sparkSession)
+    sieve = build_sieve(count_slots(rows, lambda t: (r for _, _, r in stretches(t))), scratch)
+    found = scratch.save(repetitions(superkmers(rows, sieve)), "repeated")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

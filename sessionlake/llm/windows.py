@@ -4,7 +4,8 @@ Used by the two substring operators, on words and on bytes. A window's minimiser
 gram of least hash in it, so equal windows have equal minimisers wherever they stand, and
 meet in one bucket. A sieve goes before the shuffle: super-k-mers are counted by slot of
 their minimiser in a bitmap of fixed size, and those alone in their slot cannot share a
-window with any other, so they are not sent. A crowded sieve only sends more.
+window with any other, so they are not sent. A crowded sieve only sends more. The same counts
+tell which minimisers are hot.
 """
 
 from __future__ import annotations
@@ -17,19 +18,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionlake.llm.common import Scratch
+
 #: 2 ** SIEVE_BITS bits reach the driver and each task (16 MB), however large the input.
 SIEVE_BITS, BLOCK_BITS = 27, 19
+HOT, HOT_TIMES = 2000, 64
 _MASK = np.uint64((1 << SIEVE_BITS) - 1)
 _U = np.uint64
 
 
 @dataclass
 class Runs:
-    """Super-k-mers of a stretch: first window, number of windows, minimiser, repeated inside."""
+    """Super-k-mers of a stretch: first window, number of windows, minimiser, its place, repeated inside.
+
+    The place is the minimiser's first; where it is repeated inside, others follow.
+    """
 
     start: np.ndarray
     count: np.ndarray
     key: np.ndarray
+    place: np.ndarray
     multi: np.ndarray
 
     def slots(self) -> np.ndarray:
@@ -59,12 +67,33 @@ def runs_of(grams: np.ndarray, per_window: int) -> Runs:
     first = np.flatnonzero(fresh)
     ends = np.concatenate([start[first[1:]], [len(at)]]) if len(first) else start
     multi = np.diff(np.concatenate([first, [len(start)]])) > 1
-    return Runs(start[first], ends - start[first], key[first], multi)
+    return Runs(start[first], ends - start[first], key[first], at[start[first]], multi)
+
+
+@dataclass
+class Sieve:
+    """Bitmap of the slots that hold two super-k-mers or more, and the hot ones in order.
+
+    A slot is hot if it holds HOT super-k-mers and HOT_TIMES as many as slots do on average, so
+    there are at most 2 ** SIEVE_BITS / HOT_TIMES of them. Super-k-mers of hot slots are not
+    sent to one bucket but taken apart: each window goes by its own hash.
+    """
 
+    bits: np.ndarray
+    hot: np.ndarray
 
-def build_sieve(slots: DataFrame) -> np.ndarray:
-    """Bitmap (uint8) of the slots whose summed n is two or more; slots: (slot bigint, n bigint)."""
-    crowded = slots.groupBy("slot").agg(F.sum("n").alias("n")).where("n >= 2")
+    def passes(self, slots: np.ndarray) -> np.ndarray:
+        return (self.bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+
+    def is_hot(self, slots: np.ndarray) -> np.ndarray:
+        if not len(self.hot):
+            return np.zeros(len(slots), bool)
+        return self.hot[np.minimum(np.searchsorted(self.hot, slots), len(self.hot) - 1)] == slots
+
+
+def build_sieve(slots: DataFrame, scratch: Scratch) -> Sieve:
+    """The sieve of (slot bigint, n bigint), n added up."""
+    crowded = scratch.save(slots.groupBy("slot").agg(F.sum("n").alias("n")).where("n >= 2"), "slots")
     blocks = crowded.select(F.shiftright("slot", BLOCK_BITS).cast("int").alias("block"), F.col("slot").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).alias("bit"))
 
     def fill(table: pa.Table) -> pa.Table:
@@ -76,11 +105,10 @@ def build_sieve(slots: DataFrame) -> np.ndarray:
     size = 1 << (BLOCK_BITS - 3)
     for row in blocks.groupBy("block").applyInArrow(fill, "block int, bits binary").toLocalIterator():
         whole[row.block * size : (row.block + 1) * size] = np.frombuffer(row.bits, np.uint8)
-    return whole
-
-
-def passes(sieve: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return (sieve[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+    total = crowded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = crowded.where(F.col("n") >= max(HOT, HOT_TIMES * total / (1 << SIEVE_BITS))).select("slot").toArrow()
+    scratch.drop(crowded)
+    return Sieve(whole, np.sort(hot.column("slot").to_numpy()))
 
 
 def count_slots(docs: DataFrame, stretches: Callable[[bytes], Iterator[Runs]]) -> DataFrame:
