@@ -1,59 +1,23 @@
-"""What several corpus operators share: scratch tables, word chunks, Arrow helpers."""
+"""What several corpus operators share: scratch tables, words, row keys."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from sessionlake.scratch import Scratch, clear_scratch, shared_dir
+
+__all__ = ["Scratch", "ascii_lower", "clear_scratch", "row_key", "shared_dir", "slices", "word_chunks", "words_of"]
+
 #: The characters that separate words in the whitespace-word operators.
 WORD_SPACE = "\\x20\\x09-\\x0D"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one made for local runs.
-
-    Only where the setting is absent (single-machine tests) is a temporary folder made,
-    and then it is recorded in the session so that later calls use the same one.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("sessionlake.scratch", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="sessionlake-")
-        spark.conf.set("sessionlake.scratch", root)
-    return root
-
-
-class Scratch:
-    """Tables written to the shared folder to cut lineage; a lost executor rereads them."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/sessionlake-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet and return the frame that reads it back."""
-        self.n += 1
-        path = f"{self.root}/{name}-{self.n}"
-        schema = df.schema
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and leave every other character alone.
 
@@ -82,6 +46,12 @@ def word_chunks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         at = end
 
 
+def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """A batch in smaller ones, so that what is made from it stays small."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
-    """Tells apart rows that share a doc_id; rows equal in doc_id and text share a key."""
-    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull(), doc_id.isNull())
+    """Tells apart rows that share a doc_id; rows equal in doc_id and text share a key, copies don't."""
+    return F.xxhash64(doc_id, doc_id.isNull(), F.coalesce(text, F.lit("")), text.isNull())

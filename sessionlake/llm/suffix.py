@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import Scratch, row_key
-from sessionlake.llm.windows import Runs, Sieve, build_sieve, count_slots, mix, ranges, removed, runs_of, with_spans
+from sessionlake.llm.common import Scratch, row_key, slices
+from sessionlake.llm.windows import SIEVE_BITS, Runs, Sieve, build_sieve, count_slots, mix, ranges, removed, runs_of, with_spans
 
 WINDOW, GRAM = 200, 32
 #: Two windows are compared only if they agree around the minimiser but for so many bytes.
@@ -189,7 +189,7 @@ def superkmers(docs: DataFrame, sieve: Sieve) -> DataFrame:
             rows, size = [], 0
             for d, rk, t in zip(batch.column("doc_id").to_pylist(), batch.column("rk").to_pylist(), batch.column("text"), strict=True):
                 for base, part, r in stretches(t.as_py() or b""):
-                    slots = r.slots()
+                    slots = r.slots(sent.value.n_bits)
                     hot = sent.value.is_hot(slots)
                     for k in np.flatnonzero(sent.value.passes(slots)).tolist():
                         a, n = int(r.start[k]), int(r.count[k])
@@ -311,7 +311,7 @@ def repetitions(sent: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, f"doc_id {kind}, rk bigint, lo bigint, hi bigint")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sieve_bits: int = SIEVE_BITS) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed [lo, hi)), kept (binary) of every row.
 
     Rows equal in doc_id and text are one document, returned as often as they come; rows
@@ -321,12 +321,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("rk"), F.col(text).cast("binary").alias("text"))
     scratch = Scratch(docs.sparkSession)
-    sieve = build_sieve(count_slots(rows, lambda t: (r for _, _, r in stretches(t))), scratch)
+    sieve = build_sieve(count_slots(rows, lambda t: (r for _, _, r in stretches(t)), sieve_bits), scratch, sieve_bits)
     found = scratch.save(repetitions(superkmers(rows, sieve)), "repeated")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b)):
             out = []
             for t, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
                 data = t.as_py() or b""

@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from sessionlake.llm.common import Scratch
 
-#: 2 ** SIEVE_BITS bits reach the driver and each task (16 MB), however large the input.
+#: 2 ** SIEVE_BITS bits (16 MB) reach the driver and each task, however large the input. That
+#: serves some 10 ** 8 super-k-mers; of more, an ever larger share passes, up to all, which
+#: costs about as much as an exact filter by shuffle would. A larger sieve is a parameter.
 SIEVE_BITS, BLOCK_BITS = 27, 19
 HOT, HOT_TIMES = 2000, 64
-_MASK = np.uint64((1 << SIEVE_BITS) - 1)
 _U = np.uint64
 
 
@@ -40,8 +41,8 @@ class Runs:
     place: np.ndarray
     multi: np.ndarray
 
-    def slots(self) -> np.ndarray:
-        return (self.key & _MASK).astype(np.int64)
+    def slots(self, n_bits: int) -> np.ndarray:
+        return (self.key & _U((1 << n_bits) - 1)).astype(np.int64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,10 +76,11 @@ class Sieve:
     """Bitmap of the slots that hold two super-k-mers or more, and the hot ones in order.
 
     A slot is hot if it holds HOT super-k-mers and HOT_TIMES as many as slots do on average, so
-    there are at most 2 ** SIEVE_BITS / HOT_TIMES of them. Super-k-mers of hot slots are not
+    there are at most 2 ** n_bits / HOT_TIMES of them. Super-k-mers of hot slots are not
     sent to one bucket but taken apart: each window goes by its own hash.
     """
 
+    n_bits: int
     bits: np.ndarray
     hot: np.ndarray
 
@@ -91,8 +93,8 @@ class Sieve:
         return self.hot[np.minimum(np.searchsorted(self.hot, slots), len(self.hot) - 1)] == slots
 
 
-def build_sieve(slots: DataFrame, scratch: Scratch) -> Sieve:
-    """The sieve of (slot bigint, n bigint), n added up."""
+def build_sieve(slots: DataFrame, scratch: Scratch, n_bits: int) -> Sieve:
+    """The sieve of (slot bigint, n bigint), n added up; slots are below 2 ** n_bits."""
     crowded = scratch.save(slots.groupBy("slot").agg(F.sum("n").alias("n")).where("n >= 2"), "slots")
     blocks = crowded.select(F.shiftright("slot", BLOCK_BITS).cast("int").alias("block"), F.col("slot").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).alias("bit"))
 
@@ -101,17 +103,17 @@ def build_sieve(slots: DataFrame, scratch: Scratch) -> Sieve:
         flags[table.column("bit").to_numpy()] = True
         return pa.table({"block": table.column("block")[:1], "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
 
-    whole = np.zeros(1 << (SIEVE_BITS - 3), np.uint8)
+    whole = np.zeros(1 << (max(n_bits, BLOCK_BITS) - 3), np.uint8)
     size = 1 << (BLOCK_BITS - 3)
     for row in blocks.groupBy("block").applyInArrow(fill, "block int, bits binary").toLocalIterator():
         whole[row.block * size : (row.block + 1) * size] = np.frombuffer(row.bits, np.uint8)
     total = crowded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = crowded.where(F.col("n") >= max(HOT, HOT_TIMES * total / (1 << SIEVE_BITS))).select("slot").toArrow()
+    hot = crowded.where(F.col("n") >= max(HOT, HOT_TIMES * total / (1 << n_bits))).select("slot").toArrow()
     scratch.drop(crowded)
-    return Sieve(whole, np.sort(hot.column("slot").to_numpy()))
+    return Sieve(n_bits, whole, np.sort(hot.column("slot").to_numpy()))
 
 
-def count_slots(docs: DataFrame, stretches: Callable[[bytes], Iterator[Runs]]) -> DataFrame:
+def count_slots(docs: DataFrame, stretches: Callable[[bytes], Iterator[Runs]], n_bits: int) -> DataFrame:
     """(slot, n): super-k-mers by slot, added up within each batch first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +121,7 @@ def count_slots(docs: DataFrame, stretches: Callable[[bytes], Iterator[Runs]]) -
             found, size = [], 0
             for t in batch.column("text"):
                 for r in stretches(t.as_py() or b""):
-                    found.append(np.repeat(r.slots(), np.where(r.multi, 2, 1)))
+                    found.append(np.repeat(r.slots(n_bits), np.where(r.multi, 2, 1)))
                     size += len(found[-1])
                 if size >= 1 << 19:
                     yield tally(found)

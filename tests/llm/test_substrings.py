@@ -30,8 +30,8 @@ def text_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, None), (2, 2), (3, 6)])
-def test_bytes(spark, monkeypatch, seed, hot):
+@pytest.mark.parametrize(("seed", "hot", "bits"), [(1, None, 27), (2, 2, 20), (3, 6, 4)])
+def test_bytes(spark, monkeypatch, seed, hot, bits):
     if hot:
         monkeypatch.setattr(windows, "HOT", hot)
     rows = text_rows(seed)
@@ -46,12 +46,12 @@ def test_bytes(spark, monkeypatch, seed, hot):
                 gone[p : p + 200] = True
         edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]]))).reshape(-1, 2)
         want[(d, len(b), int(gone.sum()), tuple(map(tuple, edges.tolist())), bytes(np.frombuffer(b, np.uint8)[~gone]))] += 1
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, tuple((s.lo, s.hi) for s in r.spans), bytes(r.kept)) for r in suffix.dedup(docs(spark, rows)).collect())
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, tuple((s.lo, s.hi) for s in r.spans), bytes(r.kept)) for r in suffix.dedup(docs(spark, rows), sieve_bits=bits).collect())
     assert got == want
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, None), (2, 2), (3, 6)])
-def test_words(spark, monkeypatch, seed, hot):
+@pytest.mark.parametrize(("seed", "hot", "bits"), [(1, None, 27), (2, 2, 20), (3, 6, 4)])
+def test_words(spark, monkeypatch, seed, hot, bits):
     if hot:
         monkeypatch.setattr(windows, "HOT", hot)
     rng = random.Random(seed)
@@ -72,10 +72,39 @@ def test_words(spark, monkeypatch, seed, hot):
                 gone[p : p + 20] = [True] * 20
             seen.add(window)
         kept[(d, t)] = (d, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
-    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in superkmer.dedup(frame).collect())
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in superkmer.dedup(frame, sieve_bits=bits).collect())
     assert got == Counter(kept[r] for r in rows)
 
 
 def test_empty(spark):
     assert superkmer.dedup(empty(spark)).count() == 0
     assert suffix.dedup(empty(spark)).count() == 0
+
+
+def keys_by_window(runs):
+    return {base + a + i: int(k) for base, _, r in runs for a, n, k in zip(r.start.tolist(), r.count.tolist(), r.key.tolist(), strict=True) for i in range(n)}
+
+
+def test_long_texts_in_stretches(monkeypatch):
+    """A window's minimiser does not depend on where a long text is cut into stretches."""
+    rng = random.Random(12)
+    text = "".join(rng.choice(["ab", "c d", "e\n", "a" * 9]) for _ in range(2000)).encode()
+    whole = keys_by_window(suffix.stretches(text))
+    assert sorted(whole) == list(range(len(text) - 199))
+    monkeypatch.setattr(suffix, "STRETCH", 317)
+    assert keys_by_window(suffix.stretches(text)) == whole
+    whole = keys_by_window(superkmer.stretches(text))
+    assert sorted(whole) == list(range(len(text.split()) - 19))
+    chunks = superkmer.word_chunks
+    monkeypatch.setattr(superkmer, "word_chunks", lambda t: chunks(t, 97))
+    assert keys_by_window(superkmer.stretches(text)) == whole
+
+
+def test_very_long_text(spark):
+    rng = random.Random(13)
+    long = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(200_000))
+    rows = [(1, long), (2, "x " + long), (3, long[1000:3000])]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in superkmer.dedup(docs(spark, rows)).collect()}
+    assert got[1] == (200_000, 0) and got[2] == (200_001, 200_000) and got[3][1] >= got[3][0] - 2
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix.dedup(docs(spark, rows)).collect()}
+    assert got[1] == (len(long), len(long)) and got[2] == (len(long) + 2, len(long)) and got[3] == (2000, 2000)
