@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionlake.llm.common import slices
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 NEAR = 2
@@ -287,7 +289,7 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b)):
             spans, masked = [], []
             for t in batch.column("text"):
                 value, found = t.as_py(), []
