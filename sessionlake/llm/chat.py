@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionlake.llm.common import ship_code
+
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 _RAW, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _PLACE = re.compile(r"<\|(image|audio|document)_(\d+)\|>")
@@ -137,6 +139,7 @@ def format_chat(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     Other columns of messages are ignored. A conversation is one output string, so its
     rows meet in one task; nothing else does.
     """
+    ship_code(messages.sparkSession)
     costs, roles, key = costs or Costs(), frozenset(loss_roles), messages.schema[conv].dataType
     turns = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.col(role).alias("r"), F.col(content).alias("c"))))
     grouped = messages.groupBy(F.col(conv).alias("conv_id")).agg(turns.alias("turns"))

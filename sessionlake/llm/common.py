@@ -2,22 +2,47 @@
 
 from __future__ import annotations
 
+import os
 import re
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from sessionlake.scratch import Scratch, clear_scratch, shared_dir
 
-__all__ = ["Scratch", "ascii_lower", "clear_scratch", "row_key", "shared_dir", "slices", "word_chunks", "words_of"]
+__all__ = ["Scratch", "ascii_lower", "clear_scratch", "row_key", "shared_dir", "ship_code", "slices", "word_chunks", "words_of"]
 
 #: The characters that separate words in the whitespace-word operators.
 WORD_SPACE = "\\x20\\x09-\\x0D"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application.
+
+    Python workers import the operators by name; where the package is not installed on them, the
+    driver's file server hands it out.
+    """
+    context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if context.applicationId in _shipped or not package.is_dir():
+        return
+    _shipped.add(context.applicationId)
+    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="sessionlake-code-")), "sessionlake-code.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(target)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and leave every other character alone.
 

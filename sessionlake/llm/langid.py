@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from sessionlake.llm.common import Scratch
+from sessionlake.llm.common import Scratch, ship_code
 
 BITS, ORDER = 6, 3
 CODES = 1 << (BITS * ORDER)
@@ -217,6 +217,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     without a letter, and all texts if nothing was learned, are ``und`` with score 0. Rows
     that repeat are counted and returned as often as they come; other columns are ignored.
     """
+    ship_code(docs.sparkSession)
     out = held_out(F.col(doc_id))
     models = train(docs.where(~out), lang, text)
     names = sorted(models)

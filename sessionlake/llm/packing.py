@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import Scratch
+from sessionlake.llm.common import Scratch, ship_code
 
 LENGTH, OPEN_WINDOWS, MERGE_PARTITIONS = 2048, 64, 8
 _LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
@@ -119,6 +119,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
     an empty table gives no rows. Windows that stay short are to be padded to length.
     sequence_id holds the partition in its upper bits, so none is given twice.
     """
+    ship_code(docs.sparkSession)
     name = docs.schema[doc_id].dataType.simpleString()
     columns = f"doc_id {name}, start bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 

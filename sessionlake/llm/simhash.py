@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import Scratch, word_chunks
+from sessionlake.llm.common import Scratch, ship_code, word_chunks
 
 BYTES, WIDTH = 8, 3
 MAX_BITS = 2
@@ -57,6 +57,7 @@ def fingerprint(text: bytes | None) -> int:
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp bigint) of every row; the bits of fp are the fingerprint's."""
+    ship_code(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,6 +125,7 @@ def list_links(key: int, fps: np.ndarray) -> list[tuple[int, int]]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints, enough of them to keep every component."""
+    ship_code(distinct.sparkSession)
     lists = postings(distinct).groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import Scratch, row_key, slices
+from sessionlake.llm.common import Scratch, row_key, ship_code, slices
 from sessionlake.llm.windows import SIEVE_BITS, Runs, Sieve, build_sieve, count_slots, mix, ranges, removed, runs_of, with_spans
 
 WINDOW, GRAM = 200, 32
@@ -318,6 +318,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sieve_bit
     that share only a doc_id are different documents. Null and short texts lose nothing.
     An empty table gives no rows; other columns are ignored.
     """
+    ship_code(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("rk"), F.col(text).cast("binary").alias("text"))
     scratch = Scratch(docs.sparkSession)
