@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import slices
+from sessionlake.llm.common import ship_code, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -100,10 +100,21 @@ class Nodes:
     skip: list[tuple[int, int]]
 
 
+def _checked(token: str, digits: str) -> int:
+    """0: nothing to check; 1: a card number or address that passes its check; 2: one that fails."""
+    if 12 <= len(digits) <= 19 and digits in token:
+        return 1 if luhn(digits) else 2
+    parts = token.strip(".,;:!?()").split(".")
+    if len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts):
+        return 1 if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in parts) else 2
+    return 0
+
+
 def _own_shape(token: str) -> tuple:
-    digits = len(_NOT_DIGIT.sub("", token))
+    found = _NOT_DIGIT.sub("", token)
+    digits = len(found)
     letters = any(c.isalpha() for c in token)
-    return ("@" in token, sum(digits > b for b in BUCKETS), min(token.count("."), 4), token.startswith("+"), "(" in token, "-" in token, letters)
+    return ("@" in token, sum(digits > b for b in BUCKETS), min(token.count("."), 4), token.startswith("+"), "(" in token, "-" in token, letters, _checked(token, found))
 
 
 def nodes_of(text: str, spans: list[Span]) -> Nodes:
@@ -183,6 +194,8 @@ class Field:
 def train(docs: DataFrame, text: str = "text") -> Field:
     """A field from counts over all documents: shapes and label pairs, added up by task."""
 
+    ship_code(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tally: Counter = Counter()
@@ -283,6 +296,7 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     Offsets are code points, end exclusive; spans go by start, then kind. Null text counts
     as empty. Without a field one is trained on docs. Rows that repeat are treated alike.
     """
+    ship_code(docs.sparkSession)
     field = field or train(docs, text)
     some = docs.select(F.struct(*keep).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sent, kind = docs.sparkSession.sparkContext.broadcast(field), some.schema["doc"].dataType.simpleString()
