@@ -198,3 +198,8 @@ def test_upsert(spark):
     out = merge.upsert(rows(("a", "x", 1), (None, "x", 2), ("b", "y", 3)), rows(("a", "x", 9), (None, "x", 8)), ["k", "c"])
     assert sorted((r.k or "", r.v) for r in out.collect()) == [("", 8), ("a", 9), ("b", 3)]
     assert sorted(r.v for r in merge.remove_containing(rows(("a", "x/y", 1), ("b", None, 2)), "c", "/").collect()) == [2]
+
+
+def test_project_names(spark):
+    rows = spark.createDataFrame([("b",), ("a",), ("b",), ("",)], "name string")
+    assert [r.name for r in index.project_names(rows).collect()] == ["a", "b"]
