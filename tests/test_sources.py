@@ -210,3 +210,34 @@ def test_reports(spark, tree):
     got = {r.metric: r.value for r in report.token_usage(spark, layout, settings.parse_settings(None), str(work)).collect()}
     assert got["project_name"] == "Proj" and got["global_short_days_actual"] == "2" and got["project_short_days_actual"] == "3"
     assert got["global_long_term_tokens"] == str(15 // 4) and int(got["total_tokens"]) == sum(int(got[f"{c}_tokens"]) for c in ("global_long_term", "global_short_term", "project_long_term", "project_short_term"))
+
+
+def test_merge_orphan(tree, tmp_path):
+    layout, work = tree
+    found = lifecycle.validate_merge_orphan(layout, "-q", str(work))
+    assert found.valid and len(found.warnings) == 2
+    assert not lifecycle.validate_merge_orphan(layout, "-nope", "/nope").valid
+    target = tmp_path / "projects" / lifecycle.encode(work)
+    write(target / "s3.jsonl", "kept")
+    index_doc = lifecycle.read_json(layout.projects_index, {})
+    index_doc["projects"]["/old"] = {"name": "Old", "originalPath": "/old", "encodedPaths": ["-q"], "workDays": ["2026-02-01", "2026-02-09"]}
+    lifecycle.save_json(layout.projects_index, index_doc)
+    write(tmp_path / "projects/-q/new.jsonl", "fresh")
+    plan = lifecycle.plan_merge_orphan(layout, "-q", str(work))
+    assert plan.index_changes == {"remove": "/old", "merge_work_days": {"target": str(work).lower(), "days_to_add": ["2026-02-09"]}} and "merges" in plan.summary
+    done = lifecycle.execute(layout, plan, confirmed=True)
+    assert (target / "s3.jsonl").read_text() == "kept" and (target / "new.jsonl").read_text() == "fresh"
+    assert (tmp_path / "projects/-q.merged.bak").is_dir() and not (tmp_path / "projects/-q").exists()
+    projects = lifecycle.read_json(layout.projects_index, {})["projects"]
+    assert projects[str(work).lower()]["workDays"] == ["2026-02-01", "2026-02-09"] and "/old" not in projects
+    entries = lifecycle.read_json(target / "sessions-index.json", {})["entries"]
+    assert {e["sessionId"] for e in entries} == {"s3", "new"} and entries[0]["projectPath"] == str(work)
+    newer = [{"id": "s3", "modified": "2999"}, {"sessionId": "z"}, {}]
+    lifecycle.save_json(tmp_path / "other" / "sessions-index.json", {"entries": newer})
+    assert lifecycle.merge_indexes(tmp_path / "other", target, str(work), replace_older=False) == 1
+    assert lifecycle.merge_indexes(tmp_path / "other", target, str(work), replace_older=True) == 1
+    assert set(lifecycle.restore(layout, Path(done["backup"]).name)) == {layout.projects_index, f"{layout.project_memory}/proj-long-term-memory.md"}
+    assert "/old" in lifecycle.read_json(layout.projects_index, {})["projects"]
+    same = lifecycle.plan_merge_orphan(layout, lifecycle.encode(work), str(work))
+    assert not (same.moves or same.merges or same.renames)
+    assert lifecycle.plan_move(layout, str(work), str(work), "abort").merges == [] and lifecycle.validate_move(layout, str(work), str(work)).warnings
