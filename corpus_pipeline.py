@@ -26,9 +26,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: the one of smallest doc_id."""
+    """One document of each near-duplicate component: the one of smallest doc_id.
+
+    Repeated rows of a doc_id are brought down to one, the least text; null ids go unless
+    nothing else is in their component.
+    """
     found = simhash.near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("d")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("d")), "left_anti")
+    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("d")), "left_anti")
+    again = kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("d"))
+    if again.isEmpty():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("d"))
+    one = kept.join(again, same, "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r"))
+    return kept.join(again, same, "left_anti").unionByName(one.select("doc_id", "r.*").select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,12 @@ def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() > 0
     assert got.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+
+
+def test_one_of_each_group(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(2, text), (2, text), (1, text), (1, text + " "), (5, "something else entirely is here"), (5, "something else entirely is here"), (None, "all alone is this one row"), (None, "all alone is this one row")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(1, text), (5, "something else entirely is here"), (None, "all alone is this one row")], key=repr)
