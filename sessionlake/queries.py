@@ -96,11 +96,12 @@ def pending_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pending.pending_sessions(sessions, captured, exclude="3", assistant=said).select("session_id", "file_size")
 
 
-@query("select distinct cast(cast(ts as date) as varchar) as date from events where event_id % 97 < 2 and value >= 1 and event_id not in (select event_id from events where event_id % 2 = 0)")
+@query("select distinct cast(cast(ts as date) as varchar) as date from events where not (day(ts) % 2 = 0 or event_type < 'm')")
 def pending_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    sessions = events.where("event_id % 97 < 2 and value >= 1").select(F.col("event_id").alias("session_id"), F.lit(1000).alias("file_size"), F.to_date("ts").cast("string").alias("date"))
-    return pending.pending_days(pending.pending_sessions(sessions, events.where("event_id % 2 = 0").select(F.col("event_id").alias("session_id"))))
+    sessions = events.select(F.col("event_id").alias("session_id"), F.lit(1000).alias("file_size"), F.to_date("ts").cast("string").alias("date"))
+    captured = events.where("day(ts) % 2 = 0 or event_type < 'm'").select(F.col("event_id").alias("session_id"))
+    return pending.pending_days(pending.pending_sessions(sessions, captured))
 
 
 @query(
@@ -140,13 +141,13 @@ def calendar_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""with n as (select 'u' || cast(user_id as varchar) as file, event_id as line_no, {NOTE_LINE} as line from events),
  s as (select *, coalesce(last_value(case when starts_with(line, '## ') then trim(line) end ignore nulls) over (partition by file order by line_no), '') as section from n),
  i as (select *, section in ('## Key Learnings', '## Key Decisions') and starts_with(line, '- ') as item, try_cast(nullif(regexp_extract(line, '\\((\\d{{4}}-\\d{{2}}-\\d{{2}})\\)', 1), '') as date) as d from s),
- w as (select distinct 'u' || cast(user_id as varchar) as file, cast(ts as date) as day from events where user_id % 2 = 0),
+ w as (select distinct 'u' || cast(user_id as varchar) as file, cast(ts as date) as day from events where user_id < 60),
  a as (select i.file, line_no, count(w.day) as after from i left join w on w.file = i.file and w.day > i.d group by all)
  select i.file, i.line_no, i.section, case when item and d is not null and (case when exists (select 1 from w where w.file = i.file) then after >= 8 else d < date '2024-01-25' - 10 end) then 'archive' else 'keep' end as action
  from i join a on a.file = i.file and a.line_no = i.line_no"""
 )
 def decay_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = work_day_table(spark, sf_dir).where("user_id % 2 = 0").select(F.expr("'u' || CAST(user_id AS STRING)").alias("file"), "day")
+    days = work_day_table(spark, sf_dir).where("user_id < 60").select(F.expr("'u' || CAST(user_id AS STRING)").alias("file"), "day")
     rows = decay.classify(note_lines(spark, sf_dir), F.to_date(F.lit("2024-01-25")), 10, days, 8)
     return rows.select("file", "line_no", "section", "action")
 
@@ -218,44 +219,45 @@ def routed_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""with {DAILY_SQL}, s as (select *, coalesce(last_value(case when starts_with(line, '## ') then trim(line) end ignore nulls) over (partition by day order by line_no), '') as section from md),
  e as (select day, line_no, {KEYWORDS_SQL.format("regexp_replace(line, '^\\s*-\\s*(\\[[^\\]]+\\])?\\s*', '')")} as w from s where section = '## Learnings' and regexp_matches(line, '^\\s*-\\s*\\[') and not regexp_matches(line, '^\\s*-\\s*\\[routed')),
- n as (select distinct line as l, {KEYWORDS_SQL.format("regexp_replace(line, '^- \\(\\d{4}-\\d{2}-\\d{2}\\) (\\[[^\\]]+\\])?\\s*', '')")} as w from (select '- (2024-01-02) [pattern] ' || event_type || ' pattern number' || (event_id % 50) as line from events where event_id % 5 = 0)),
+ n as (select distinct line as l, {KEYWORDS_SQL.format("regexp_replace(line, '^- \\(\\d{4}-\\d{2}-\\d{2}\\) (\\[[^\\]]+\\])?\\s*', '')")} as w from (select '- (2024-01-02) [pattern] ' || event_type || ' pattern number' || (event_id % 50) as line from events where event_type < 'm')),
  hit as (select distinct e.day, e.line_no from e join n on len(e.w) > 0 and len(n.w) > 0 and len(list_intersect(e.w, n.w)) >= 0.7 * least(len(e.w), len(n.w)))
  select s.day, s.line_no, s.section, hit.day is not null as marked, case when hit.day is not null then regexp_replace(line, '^(\\s*-\\s*)', '\\1[routed]') else line end as line from s left join hit on hit.day = s.day and hit.line_no = s.line_no"""
 )
 def mark_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = daily.with_section(daily_lines(spark, sf_dir), "day").drop("sec_no")
-    notes = table(spark, sf_dir, "events").where("event_id % 5 = 0").select(F.expr("'- (2024-01-02) [pattern] ' || event_type || ' pattern number' || (event_id % 50)").alias("line"))
+    notes = table(spark, sf_dir, "events").where("event_type < 'm'").select(F.expr("'- (2024-01-02) [pattern] ' || event_type || ' pattern number' || (event_id % 50)").alias("line"))
     return dedup.mark_routed(lines, notes, 0.7)
 
 
 @query(
-    """with s as (select user_id % 40 as k, case when event_id % 3 = 0 then cast(ts as varchar) end as modified, cast(ts as varchar) as created, event_id, event_id % 2 = 0 as src from events where event_id % 7 < 4),
+    """with s as (select user_id as k, case when event_id % 3 = 0 then cast(ts as varchar) end as modified, cast(ts as varchar) as created, event_id, event_type < 'm' as src from events),
  r as (select *, coalesce(modified, created) as t from s),
  one as (select *, row_number() over (partition by k, src order by case when src then t end desc nulls last, case when src then -event_id else event_id end desc) as rn from r)
  select 's' || k as session_id, t as ts, src as from_source from (select *, row_number() over (partition by k order by t desc, src) as best from one where rn = 1) where best = 1"""
 )
 def newest_wins_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = F.expr("CAST(ts AS STRING)")
-    rows = table(spark, sf_dir, "events").where("event_id % 7 < 4").select(
-        F.expr("'s' || (user_id % 40)").alias("sessionId"), F.lit(None).cast("string").alias("id"), F.when(F.col("event_id") % 3 == 0, stamp).alias("modified"), F.lit(None).cast("string").alias("lastActive"), stamp.alias("created"), F.col("event_id").alias("pos")
+    rows = table(spark, sf_dir, "events").select(
+        "event_type", F.expr("'s' || user_id").alias("sessionId"), F.lit(None).cast("string").alias("id"), F.when(F.col("event_id") % 3 == 0, stamp).alias("modified"), F.lit(None).cast("string").alias("lastActive"), stamp.alias("created"), F.col("event_id").alias("pos")
     )
-    merged = merge.merge_newest(rows.where("pos % 2 = 0"), rows.where("pos % 2 = 1"))
+    merged = merge.merge_newest(rows.where("event_type < 'm'"), rows.where("event_type >= 'm'"))
     return merged.select(F.col("sessionId").alias("session_id"), merge.entry_time().alias("ts"), "from_source")
 
 
-@query("select event_id as id, user_id from events where event_id % 3 = 0 union all select event_id, user_id + 1000 from events where event_id % 2 = 0 and event_id % 3 <> 0")
+@query("select event_id as id, user_id from events where event_type < 'm' union all select event_id, user_id + 1000 from events where event_type >= 'm'")
 def missing_only_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id")
-    return merge.append_missing(rows.where("id % 3 = 0"), rows.where("id % 2 = 0").withColumn("user_id", F.col("user_id") + 1000), "id")
+    events = table(spark, sf_dir, "events")
+    rows = events.select(F.col("event_id").alias("id"), "user_id")
+    return merge.append_missing(rows.join(events.where("event_type < 'm'").select(F.col("event_id").alias("id")), "id", "left_semi"), rows.withColumn("user_id", F.col("user_id") + 1000), "id")
 
 
 @query(
-    """with k as (select distinct lower(substr(url, 1, cast(18 + page_id % 9 as integer))) as key from pages where page_id % 3 = 0)
+    """with k as (select distinct lower(substr(url, 1, cast(18 + page_id % 9 as integer))) as key from pages)
  select url, max_by(key, length(key)) as canonical_path from (select distinct url from pages) join k on starts_with(lower(url), key) group by url"""
 )
 def prefix_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    keys = pages.where("page_id % 3 = 0").select(F.lower(F.expr("substr(url, 1, cast(18 + page_id % 9 as int))")).alias("canonical_path")).distinct()
+    keys = pages.select(F.lower(F.expr("substr(url, 1, cast(18 + page_id % 9 as int))")).alias("canonical_path")).distinct()
     return index.match_project(pages.select("url").distinct(), keys, "url").select("url", "canonical_path")
 
 
@@ -308,18 +310,18 @@ def routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.route(daily_lines(spark, sf_dir), names)
 
 
-@query("select '-c' || c_custkey as project_hash, c_name as original_path, 0 as file_count, cast(0 as bigint) as bytes from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F') and c_custkey % 5 <> 0")
+@query("select '-c' || c_custkey as project_hash, c_name as original_path, 0 as file_count, cast(0 as bigint) as bytes from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F') and c_acctbal >= 0")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folders = table(spark, sf_dir, "customer").select(F.expr("'-c' || c_custkey").alias("project_hash"), F.col("c_name").alias("original_path"), "c_custkey")
+    folders = table(spark, sf_dir, "customer").select(F.expr("'-c' || c_custkey").alias("project_hash"), F.col("c_name").alias("original_path"), "c_acctbal")
     projects = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.array(F.expr("'-c' || o_custkey")).alias("encoded_paths"))
-    existing = folders.where("c_custkey % 5 = 0").select(F.col("original_path").alias("path"))
-    found = index.orphans(folders.drop("c_custkey"), projects, existing, folders.limit(0).select("project_hash", F.lit(1).cast("bigint").alias("size")))
+    existing = folders.where("c_acctbal < 0").select(F.col("original_path").alias("path"))
+    found = index.orphans(folders.drop("c_acctbal"), projects, existing, folders.limit(0).select("project_hash", F.lit(1).cast("bigint").alias("size")))
     return found.select("project_hash", "original_path", F.col("file_count").cast("int").alias("file_count"), "bytes")
 
 
-@query("select p_name as name, not exists (select 1 from supplier where s_suppkey = p_partkey) as missing from part where p_partkey % 7 = 0")
+@query("select p_name as name, not exists (select 1 from supplier where s_suppkey = p_partkey) as missing from part")
 def stale_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    projects = table(spark, sf_dir, "part").where("p_partkey % 7 = 0").select(F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("original_path"))
+    projects = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("original_path"))
     existing = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path"))
     listed = index.statuses(projects, existing, projects.limit(0).select(F.col("name").alias("file")))
     return listed.select("name", (F.size("issues") > 0).alias("missing"))
@@ -331,21 +333,21 @@ def stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.stale(projects, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path")))
 
 
-_LEDGER_SESSIONS = "with s as (select event_id, cast(cast(ts as date) as varchar) as date from events where event_id % 5 < 3) "
+_LEDGER_SESSIONS = "with s as (select event_id, cast(cast(ts as date) as varchar) as date from events where value >= 10) "
 
 
-@query(_LEDGER_SESSIONS + "select event_id as session_id from events where event_id % 11 = 0 union select e.event_id from events e left join s on s.event_id = e.event_id where e.event_id % 4 = 0 and (s.date is null or s.date <> '2024-01-15')")
+@query(_LEDGER_SESSIONS + "select event_id as session_id from events where value > 100 union select e.event_id from events e left join s on s.event_id = e.event_id where e.event_type < 'm' and (s.date is null or s.date <> '2024-01-15')")
 def ledger_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("session_id"), F.to_date("ts").cast("string").alias("date"))
-    done = ledger.final_ids(events.where("session_id % 4 = 0").select("session_id"), events.where("session_id % 5 < 3"), F.lit("2024-01-15"))
-    return ledger.add(events.where("session_id % 11 = 0"), done)
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("session_id"), F.to_date("ts").cast("string").alias("date"), "event_type", "value")
+    done = ledger.final_ids(events.where("event_type < 'm'").select("session_id"), events.where("value >= 10"), F.lit("2024-01-15"))
+    return ledger.add(events.where("value > 100"), done)
 
 
-@query(_LEDGER_SESSIONS + "select event_id as session_id from events where event_id % 4 = 0 and event_id not in (select event_id from s where date in ('2024-01-03', '2024-01-04'))")
+@query(_LEDGER_SESSIONS + "select event_id as session_id from events where event_type < 'm' and event_id not in (select event_id from s where date in ('2024-01-03', '2024-01-04'))")
 def uncapture_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("session_id"), F.to_date("ts").cast("string").alias("date"))
-    held = events.where("session_id % 4 = 0").select("session_id")
-    return ledger.remove(held, ledger.of_dates(held, events.where("session_id % 5 < 3"), ["2024-01-03", "2024-01-04"]))
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("session_id"), F.to_date("ts").cast("string").alias("date"), "event_type", "value")
+    held = events.where("event_type < 'm'").select("session_id")
+    return ledger.remove(held, ledger.of_dates(held, events.where("value >= 10"), ["2024-01-03", "2024-01-04"]))
 
 
 _EVENT = """'{"tool_name":"' || (CASE turn % 3 WHEN 0 THEN 'Skill' WHEN 1 THEN 'Task' ELSE 'Bash' END) || '","x":"' || (CASE conv_id % 6 WHEN 0 THEN '.assistant/memory/a' WHEN 1 THEN '.assistant/scripts/b' WHEN 2 THEN '/tmp/c' WHEN 3 THEN 'a TRANSCRIPT' ELSE 'none' END) || '",' || (CASE WHEN conv_id % 4 = 0 THEN '"skill" : "recall"' ELSE '"skill":"projects"' END) || '}'"""
