@@ -49,8 +49,9 @@ def seeds(docs: DataFrame, found: DataFrame, scratch: Scratch, text: str, n: int
     Counts are over all documents. A phrase with a term that no document has is left out.
     """
     terms = scratch.save(found.select("pid", "words", F.posexplode("words").alias("off", "term")), "terms")
-    vocabulary = terms.select("term").distinct()
+    vocabulary = scratch.save(terms.select("term").distinct(), "vocabulary")
     counts = docs.select(F.explode(index_words(F.col(text))).alias("term")).join(_small(vocabulary), "term").groupBy("term").count()
+    counts = _small(scratch.save(counts, "counts"))
     whole, ranked = Window.partitionBy("pid"), Window.partitionBy("pid").orderBy("count", "off")
     ranks = terms.join(counts, "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     ranks = ranks.withColumn("least", F.min("count").over(whole)).withColumn("rank", F.row_number().over(ranked))
