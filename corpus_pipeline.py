@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm import decontam, packing, pii, rules, simhash
+from sessionlake.llm import decontam, packing, pii, resemblance, rules
 from sessionlake.llm.common import Scratch, row_key
 from sessionlake.llm.queries import tokenizer_files
 
@@ -28,10 +28,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: the one of smallest doc_id.
 
-    Repeated rows of a doc_id are brought down to one, the least text; null ids go unless
-    nothing else is in their component.
+    Texts link at a Jaccard similarity of 0.8 or more of their five-word shingles, or by
+    fingerprint as in operator 2. Repeated rows of a doc_id are brought down to one, the
+    least text; null ids go unless nothing else is in their component.
     """
-    found = simhash.near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("d")).distinct()
+    roots = resemblance.classes(docs).withColumnRenamed("node", "n")
+    rows = docs.select("doc_id", resemblance.node(F.col("text")).alias("n")).join(roots, "n", "left").select("doc_id", F.coalesce("root", "n").alias("root"))
+    names = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = rows.join(names, "root").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("d")).distinct()
     kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("d")), "left_anti")
     again = kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("d"))
     if again.isEmpty():
