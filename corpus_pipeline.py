@@ -26,23 +26,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: the one of smallest doc_id.
+    """One row of each near-duplicate component: of the smallest doc_id, the least text.
 
     Texts link at a Jaccard similarity of 0.8 or more of their five-word shingles, or by
-    fingerprint as in operator 2. Repeated rows of a doc_id are brought down to one, the
-    least text; null ids go unless nothing else is in their component.
+    fingerprint as in operator 2. Rows are told apart by doc_id and text, so a doc_id that
+    repeats or is null loses only the rows whose own texts are in a component with a row that
+    stays. Null ids come last. Equal rows are brought down to one.
     """
-    roots = resemblance.classes(docs).withColumnRenamed("node", "n")
-    rows = docs.select("doc_id", resemblance.node(F.col("text")).alias("n")).join(roots, "n", "left").select("doc_id", F.coalesce("root", "n").alias("root"))
-    names = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = rows.join(names, "root").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("d")).distinct()
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("d")), "left_anti")
-    again = kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("d"))
+    roots, scratch = resemblance.classes(docs).withColumnRenamed("node", "n"), Scratch(spark)
+    rows = docs.select("doc_id", resemblance.node(F.col("text")).alias("n")).join(roots, "n", "left").select(F.col("doc_id").alias("d"), "n", F.coalesce("root", "n").alias("root"))
+    rows = scratch.save(rows.groupBy("root", "d", "n").agg(F.count("*").alias("times")), "rows")
+    names = rows.groupBy("root").agg(F.min(F.struct(F.col("d").isNull().alias("last"), "d")).alias("first"), F.sum("times").alias("size")).where("size > 1")
+    named = scratch.save(rows.join(names, "root").select("root", "d", "n", "times", F.col("d").eqNullSafe(F.col("first.d")).alias("stays")), "named")
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (resemblance.node(F.col("text")) == F.col("_n"))
+    mine = [F.col(c).alias(f"_{c}") for c in ("root", "d", "n")]
+    kept = docs.join(named.where("not stays").select(*mine), same, "left_anti")
+    again = named.where("stays").groupBy("root").agg(F.sum("times").alias("size")).where("size > 1")
+    again = scratch.save(named.where("stays").join(again, "root").select(*mine), "again")
     if again.isEmpty():
         return kept
-    same = F.col("doc_id").eqNullSafe(F.col("d"))
-    one = kept.join(again, same, "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r"))
-    return kept.join(again, same, "left_anti").unionByName(one.select("doc_id", "r.*").select(*docs.columns))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = kept.join(again, same).groupBy("_root").agg(F.min(F.struct("text", "doc_id", *rest)).alias("r"))
+    return kept.join(again, same, "left_anti").unionByName(one.select("r.*").select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

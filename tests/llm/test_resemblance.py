@@ -62,3 +62,16 @@ def test_tables(spark):
     alike = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert not [p for p in alike if kept.issuperset(p)]
     assert set(sets) - kept <= {d for p in alike for d in p}
+
+
+def test_rows_are_the_key(spark):
+    """Null and repeated ids lose only rows whose texts are in a component with one that stays."""
+    words = [f"w{i}" for i in range(60)]
+    copy, near = " ".join(words), changed(words, 30)
+    unique = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
+    gone = [(None, near), (7, near), (7, copy), (2, copy), (None, unique[1]), (9, unique[4])]
+    stays = [(1, copy), (None, unique[0]), (None, unique[1]), (7, unique[2]), (8, unique[3]), (8, unique[4]), (None, unique[5])]
+    out = corpus_pipeline.near_dedup(spark, docs(spark, gone + stays), SF)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(stays, key=repr)
+    out = corpus_pipeline.near_dedup(spark, docs(spark, [(None, near), (None, copy), (None, copy)]), SF)
+    assert [(r.doc_id, r.text) for r in out.collect()] == [(None, min(near, copy))]
