@@ -7,6 +7,8 @@ functions only; the join is by hash, on one 64-character key.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -16,7 +18,10 @@ from sessionlake.llm.common import ascii_lower
 #: Known sides of at most so many rows are broadcast; larger ones are joined by shuffle.
 MAX_BROADCAST_ROWS = 100_000
 
-# Lines that start so are copyright lines and don't count.
+# Lines that start so are copyright notices and don't count. A wrapped line of a
+# licence's body may start with the word copyright, or with (c) as the mark of an item.
+NOTICE_LINE = r"^[ \t\r]*(copyright[ \t]*(\(c\)|©|[<\[]|[0-9]{4})|\(c\)(?![ \t]+you must)|©|all rights reserved)"
+# The wider rule of the SQL; on the test tables it drops the same lines.
 COPYRIGHT_LINE = r"^[ \t\r]*(copyright|\(c\)|©|all rights reserved)"
 
 # Spellings that licence-matching guidelines treat as equal.
@@ -77,10 +82,34 @@ KNOWN = (
     ("CC-BY-NC-4.0-notice", "Licensed under CC BY-NC 4.0."),
 )
 
+# Titles that stand above the short licences.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License"),
+    "Zlib": ("zlib License", "The zlib License"),
+}
+FULL_TEXTS = Path(__file__).with_name("license_texts")
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(license_id, text): the short texts with and without titles, the long ones with and without what follows their terms."""
+    known = [*KNOWN, *((i, f"{title}\n{text}") for i, text in KNOWN for title in TITLES.get(i, ()))]
+    for f in sorted(FULL_TEXTS.glob("*.txt")):
+        text = f.read_text(encoding="utf-8")
+        known.append((f.stem, text))
+        if TERMS_END in text:
+            terms = text[: text.index(TERMS_END)]
+            known += [(f.stem, terms), (f.stem, terms + TERMS_END)]
+    return known
+
 
 def canonical(text: Column) -> Column:
     """The normal form: words of letters, digits and non-ASCII characters, one space apart."""
-    lines = F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "\n"), lambda x: ~x.rlike(COPYRIGHT_LINE))
+    lines = F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "\n"), lambda x: ~x.rlike(NOTICE_LINE))
     spaced = F.concat(F.lit("  "), F.regexp_replace(F.array_join(lines, "\n"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  "), F.lit("  "))
     for a, b in EQUIVALENT:
         spaced = F.replace(spaced, F.lit(f" {a} "), F.lit(f" {b} "))
@@ -90,9 +119,9 @@ def canonical(text: Column) -> Column:
     return F.btrim(single)
 
 
-def known_digests(spark: SparkSession, known: tuple = KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known: tuple | None = None) -> DataFrame:
     """(digest, license_id): one row for each digest; of equal ones the least id."""
-    rows = spark.createDataFrame(list(known), "license_id string, text string")
+    rows = spark.createDataFrame(known_texts() if known is None else list(known), "license_id string, text string")
     return rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
@@ -110,7 +139,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_id"
 
 
 def sql() -> str:
-    """The same in DuckDB SQL over the table documents."""
+    """The same in DuckDB SQL over the table documents, with COPYRIGHT_LINE and the texts of KNOWN."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     expr = "  ".join(("'  ' || regexp_replace(array_to_string(list_filter(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)),", f"lambda x: not regexp_matches(x, {quote(COPYRIGHT_LINE)})), chr(10)), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', '  ', 'g') || '  '"))
     for a, b in EQUIVALENT:

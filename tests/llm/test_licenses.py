@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import textwrap
+
 from helpers import docs, empty
 from oracle import connect, same
 
@@ -23,3 +25,20 @@ def test_scan(spark):
     assert got == sorted([(1, "MIT"), (2, "Zlib"), (3, None), (4, None), (5, None), (6, "ISC"), (7, "MIT"), (8, None), (None, "0BSD"), (1, "BSD-3-Clause"), (9, "BSD-2-Clause")], key=repr)
     assert licenses.scan(empty(spark)).count() == 0
     assert licenses.scan(docs(spark, rows), licenses.known_digests(spark, (("X", "y"),))).where("license_id is not null").count() == 0
+
+
+def test_files_as_they_come(spark):
+    """Titled and wrapped texts, a body line that starts with the word copyright, and long licences."""
+    known, full = dict(licenses.KNOWN), {f.stem: f.read_text(encoding="utf-8") for f in licenses.FULL_TEXTS.glob("*.txt")}
+    wrapped = known["ISC"].replace("that the above copyright", "that the above\ncopyright")
+    assert "\ncopyright notice" in wrapped
+    rows = [(0, f"Copyright 2020 Someone\n\n{wrapped}", "ISC"), (1, f"ISC License\n\nCopyright © 2020 Someone\n\n{wrapped}", "ISC")]
+    rows += [(10 + k, f"{title}\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n{textwrap.fill(known[i], 70)}\n", i) for k, (i, titles) in enumerate(licenses.TITLES.items()) for title in titles]
+    for k, (i, text) in enumerate(sorted(full.items())):
+        rows.append((20 + k, text, i))
+    terms = full["Apache-2.0"].partition("   APPENDIX")[0]
+    rows += [(40, terms, "Apache-2.0"), (42, "\n\n".join(textwrap.fill(p, 90) for p in terms.split("\n\n")), "Apache-2.0")]
+    rows.append((41, "copyright is what this line is about\n" + known["MIT"], None))
+    got = licenses.scan(docs(spark, [r[:2] for r in rows])).select("doc_id", "license_id").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(d, i) for d, _, i in rows], key=repr)
+    assert len(full) == 6
