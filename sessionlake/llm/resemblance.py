@@ -4,10 +4,10 @@ A SimHash of 64 bits can't find these: at similarity 0.8 about ten bits differ,
 positional bytes guarantee nothing beyond seven. Candidates are texts that share one of 32
 keys, each made of three min-hashes; a pair at the threshold of 0.8 shares none with
 probability (1 - 0.8 ** 3) ** 32, about 1e-10, and pairs above it less. Every candidate is
-verified on the whole sets. Lists of a key are first compared with their least member, so
-a large group of near copies becomes one component by linearly many pairs; then all pairs
-of a list whose members are in different components still are compared, so no link that
-would join two components is left out.
+verified on the whole sets. Lists of a key are first compared with their least member, which
+joins most near copies; then all pairs of a list whose members are in different components
+still are compared, so no link that would join two components is left out. That second step
+can grow with the square of a list (measured in the README).
 """
 
 from __future__ import annotations
