@@ -15,18 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.llm.common import Scratch, row_key, ship_code, slices
-from sessionlake.llm.windows import SIEVE_BITS, Runs, Sieve, build_sieve, count_slots, mix, ranges, removed, runs_of, with_spans
+from sessionlake.llm.windows import MANY, SIEVE_BITS, Runs, mix, ranges, removed, repetitions, runs_of, with_spans
 
-WINDOW, GRAM = 200, 32
+WINDOW = 200
+#: Bytes in a gram, by round; see windows.
+GRAMS = (32, 128, 184, 200)
+GRAM = GRAMS[0]
 #: Two windows are compared only if they agree around the minimiser but for so many bytes.
 SLACK = 21
-MANY, DIGEST = -1, -2
-PER_WINDOW = WINDOW - GRAM + 1
 STRETCH = 1 << 18
 
 
@@ -135,19 +135,20 @@ def shared_windows(texts: list[bytes], window: int = WINDOW) -> list[np.ndarray]
     return [flags[b : b + max(len(t) - window + 1, 0)] for b, t in zip(begins.tolist(), texts, strict=True)]
 
 
-def candidates(texts: list[bytes], places: list[int]) -> list[tuple[int, int, int]]:
+def candidates(texts: list[bytes], places: list[int], gram: int = GRAM) -> list[tuple[int, int, int]]:
     """(text number, begin, end): the parts that may share a window with another text.
 
     places: the minimiser's place in each text. A window that begins o bytes before it holds
-    the o bytes to its left and WINDOW - GRAM - o to its right, and so does every equal window;
+    the o bytes to its left and WINDOW - gram - o to its right, and so does every equal window;
     the bytes that all o of one step of SLACK have in common are looked up first.
     """
-    room = WINDOW - GRAM
+    room = WINDOW - gram
+    steps = [(lo, min(lo + SLACK, room)) for lo in range(0, max(room, 1), SLACK)]
     seen: dict[tuple[int, bytes], int] = {}
     hit: dict[int, list[int]] = {}
     for i, (t, at) in enumerate(zip(texts, places, strict=True)):
-        for j in range(room // SLACK):
-            left, right = at - j * SLACK, at + GRAM + room - (j + 1) * SLACK
+        for j, (lo, hi) in enumerate(steps):
+            left, right = at - lo, at + WINDOW - hi
             if left < 0 or right > len(t):
                 continue
             other = seen.setdefault((j, t[left:right]), i)
@@ -157,158 +158,90 @@ def candidates(texts: list[bytes], places: list[int]) -> list[tuple[int, int, in
     out = []
     for i, js in hit.items():
         at = places[i]
-        out.append((i, max(0, at - (max(js) + 1) * SLACK), min(len(texts[i]), at - min(js) * SLACK + WINDOW)))
+        out.append((i, max(0, at - steps[max(js)][1]), min(len(texts[i]), at - steps[min(js)][0] + WINDOW)))
     return out
 
 
-def stretches(text: bytes) -> Iterator[tuple[int, bytes, Runs]]:
-    """(first byte, bytes, super-k-mers) for bounded stretches of a text."""
+def stretches(text: bytes, gram: int = GRAM) -> Iterator[tuple[int, bytes, Runs]]:
+    """(first byte, bytes, super-k-mers) for bounded stretches of a text; gram is a multiple of 8."""
     for base in range(0, max(len(text) - WINDOW + 1, 0), STRETCH):
         part = text[base : base + STRETCH + WINDOW - 1]
-        n = len(part) - GRAM + 1
+        n = len(part) - gram + 1
         grams = None
-        for k in range(0, GRAM, 8):
+        for k in range(0, gram, 8):
             eight = np.ndarray((n,), "<u8", part, k, (1,))
             grams = eight * np.uint64(0x9E3779B97F4A7C15) if grams is None else (grams ^ (grams >> np.uint64(29)) ^ eight) * np.uint64(0xBF58476D1CE4E5B9)
-        yield base, part, runs_of(mix(grams), PER_WINDOW)
-
-
-def superkmers(docs: DataFrame, sieve: Sieve) -> DataFrame:
-    """(key, doc_id, rk, start, n, at, times, packed), or packed null for a repetition found at once.
-
-    Of equal strings in one batch one is sent on, with the number of places (one or two
-    stands for any more); the others are repetitions and carry their number of windows.
-    """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(sieve)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            type_ = batch.schema.field("doc_id").type
-            seen: dict[bytes, list] = {}
-            rows, size = [], 0
-            for d, rk, t in zip(batch.column("doc_id").to_pylist(), batch.column("rk").to_pylist(), batch.column("text"), strict=True):
-                for base, part, r in stretches(t.as_py() or b""):
-                    slots = r.slots(sent.value.n_bits)
-                    hot = sent.value.is_hot(slots)
-                    for k in np.flatnonzero(sent.value.passes(slots)).tolist():
-                        a, n = int(r.start[k]), int(r.count[k])
-                        packed = part[a : a + n + WINDOW - 1]
-                        row = seen.get(packed)
-                        if row is None:
-                            seen[packed] = [int(r.key[k].view(np.int64)), d, rk, base + a, n, MANY if r.multi[k] else int(r.place[k]) - a, 1, packed, hot[k]]
-                            size += len(packed)
-                        elif (d, rk, base + a) != tuple(row[1:4]):
-                            row[6] = 2
-                            rows.append((rk, d, rk, base + a, n, MANY, 2, None))
-                if size >= 1 << 24 or len(rows) >= 1 << 16:
-                    yield emit(seen, rows, type_)
-                    seen, rows, size = {}, [], 0
-            if seen or rows:
-                yield emit(seen, rows, type_)
-
-    def emit(seen: dict, rows: list, type_: pa.DataType) -> pa.RecordBatch:
-        single: dict[bytes, list] = {}
-        for key, d, rk, start, n, at, times, packed, hot in seen.values():
-            if not hot:
-                rows.append((key, d, rk, start, n, at, times, packed))
-                continue
-            for i in range(n):
-                digest = xxhash.xxh3_128_digest(packed[i : i + WINDOW])
-                row = single.setdefault(digest, [int.from_bytes(digest[:8], "little", signed=True), d, rk, start + i, 1, DIGEST, times, digest])
-                if (d, rk, start + i) != tuple(row[1:4]):
-                    row[6] = 2
-                    rows.append((rk, d, rk, start + i, 1, MANY, 2, None))
-        cols = zip(*(rows + list(single.values())), strict=True)
-        kinds = (pa.int64(), type_, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "doc_id", "rk", "start", "n", "at", "times", "packed"])
-
-    return docs.mapInArrow(run, f"key bigint, doc_id {kind}, rk bigint, start bigint, n bigint, at int, times int, packed binary")
+        yield base, part, runs_of(mix(grams), WINDOW - gram + 1)
 
 
 class Bucket:
     """Goes through the super-k-mers of a bucket, sorted by key, packed and place.
 
     Places of a string that is known to repeat are given out at once; of every other string
-    one place is held until its key ends, when the strings are compared.
+    one place is held until its key ends, when the strings are compared. Of a hot minimiser
+    the strings, each once, go to the next round instead.
     """
 
-    def __init__(self):
-        self.key = None
+    def __init__(self, gram: int):
+        self.gram, self.key = gram, None
         self.texts: list[bytes] = []
         self.places: list[tuple | None] = []
         self.ats: list[int] = []
-        self.last = None
+        self.held = None
 
-    def whole(self, place: tuple, packed: bytes) -> tuple:
-        return (*place[:2], place[2], place[2] + max(len(packed), WINDOW))
-
-    def add(self, key: int, place: tuple, at: int, times: int, packed: bytes) -> list[tuple]:
-        out = self.flush() if key != self.key else []
-        self.key = key
+    def add(self, hot: bool, key: int, place: tuple, n: int, at: int, times: int, packed: bytes) -> list[tuple]:
+        """Spans of repeated bytes as (doc_id, rk, lo, hi, 0, null), strings for the next round with times and text."""
+        out = self.flush() if (hot, key) != self.key else []
+        self.key = (hot, key)
         if self.texts and self.texts[-1] == packed:
-            if place == self.last and times == 1:
-                return out
-            held = self.places[-1]
-            if held is not None and (place != held or times > 1):
-                out.append(self.whole(held, packed))
-                self.places[-1] = None
-            if self.places[-1] is None and place != held:
-                out.append(self.whole(place, packed))
+            first, known = self.held
+            if place != first:
+                if known == 1:
+                    out.append((*first, first[2] + len(packed), 0, None))
+                if times == 1 and place != self.last:
+                    out.append((*place, place[2] + len(packed), 0, None))
+                self.held, self.places[-1] = (first, 2), None
         else:
+            if hot:
+                out += self.flush()
             self.texts.append(packed)
             self.ats.append(at)
             self.places.append(place if times == 1 else None)
-            if times > 1:
-                out.append(self.whole(place, packed))
+            self.held = (place, times)
         self.last = place
         return out
 
     def flush(self) -> list[tuple]:
         out, some = [], []
-        if any(p is not None for p in self.places):
-            if DIGEST in self.ats:
-                some = []
-            elif MANY in self.ats:
+        if self.key and self.key[0]:
+            out = [(*self.held[0], self.held[0][2], self.held[1], t) for t in self.texts]
+        elif any(p is not None for p in self.places):
+            if MANY in self.ats:
                 some = [(i, 0, len(t)) for i, t in enumerate(self.texts)]
             elif len(self.texts) > 1:
-                some = candidates(self.texts, self.ats)
+                some = candidates(self.texts, self.ats, self.gram)
         if any(self.places[i] is not None for i, _, _ in some):
             for (i, begin, _), flags in zip(some, shared_windows([self.texts[i][a:b] for i, a, b in some]), strict=True):
                 place = self.places[i]
                 if place is not None:
-                    out += [(*place[:2], place[2] + begin + lo, place[2] + begin + hi + WINDOW - 1) for lo, hi in ranges(flags)]
+                    out += [(*place[:2], place[2] + begin + lo, place[2] + begin + hi + WINDOW - 1, 0, None) for lo, hi in ranges(flags)]
         self.texts, self.places, self.ats = [], [], []
         return out
 
 
-def repetitions(sent: DataFrame) -> DataFrame:
-    """(doc_id, rk, lo, hi): spans of bytes whose 200-byte strings also start elsewhere."""
-    kind = sent.schema["doc_id"].dataType.simpleString()
+class Bytes:
+    """How bytes are cut, packed and compared; every place of a string that repeats goes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, type_ = Bucket(), pa.int64()
+    window, grams, first_stays, order = WINDOW, GRAMS, False, ("packed", "doc_id", "rk", "start")
 
-        def made(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (type_, pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "rk", "lo", "hi"])
+    def stretches(self, text: bytes, gram: int) -> Iterator[tuple[int, bytes, Runs]]:
+        return stretches(text, gram)
 
-        for batch in batches:
-            type_, out = batch.schema.field("doc_id").type, []
-            doc, rk, start, n = (batch.column(c).to_pylist() for c in ("doc_id", "rk", "start", "n"))
-            key, ats, times, packed = (batch.column(c).to_pylist() for c in ("key", "at", "times", "packed"))
-            for i, value in enumerate(packed):
-                place = (doc[i], rk[i], start[i])
-                if value is None:
-                    out.append((*place, start[i] + n[i] + WINDOW - 1))
-                else:
-                    out += bucket.add(key[i], place, ats[i], times[i], value)
-            if out:
-                yield made(out)
-        if out := bucket.flush():
-            yield made(out)
+    def pack(self, part: bytes, a: int, b: int) -> bytes:
+        return part[a:b]
 
-    ordered = sent.repartition("key").sortWithinPartitions("key", "packed", "doc_id", "rk", "start")
-    return ordered.mapInArrow(run, f"doc_id {kind}, rk bigint, lo bigint, hi bigint")
+    def bucket(self, gram: int) -> Bucket:
+        return Bucket(gram)
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sieve_bits: int = SIEVE_BITS) -> DataFrame:
@@ -322,8 +255,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sieve_bit
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("rk"), F.col(text).cast("binary").alias("text"))
     scratch = Scratch(docs.sparkSession)
-    sieve = build_sieve(count_slots(rows, lambda t: (r for _, _, r in stretches(t)), sieve_bits), scratch, sieve_bits)
-    found = scratch.save(repetitions(superkmers(rows, sieve)), "repeated")
+    found = repetitions(rows, Bytes(), scratch, sieve_bits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))

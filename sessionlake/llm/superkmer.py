@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.llm.common import Scratch, row_key, ship_code, slices, word_chunks
-from sessionlake.llm.windows import SIEVE_BITS, Runs, Sieve, build_sieve, count_slots, mix, ranges, removed, runs_of, with_spans
+from sessionlake.llm.windows import MANY, SIEVE_BITS, Runs, mix, ranges, removed, repetitions, runs_of, with_spans
 
-WINDOW, GRAM = 20, 5
-PER_WINDOW = WINDOW - GRAM + 1
+WINDOW = 20
+#: Words in a gram, by round; see windows.
+GRAMS = (5, 13, 18, 20)
+GRAM = GRAMS[0]
 
 
-def stretches(text: bytes) -> Iterator[tuple[int, list[bytes], Runs]]:
+def stretches(text: bytes, gram: int = GRAM) -> Iterator[tuple[int, list[bytes], Runs]]:
     """(first word's number, words, super-k-mers) for bounded stretches of a text."""
     base, words = 0, []
     for more in word_chunks(text):
@@ -31,104 +33,47 @@ def stretches(text: bytes) -> Iterator[tuple[int, list[bytes], Runs]]:
         if len(words) < WINDOW:
             continue
         h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        n = len(words) - GRAM + 1
+        n = len(words) - gram + 1
         grams = h[:n].copy()
-        for k in range(1, GRAM):
+        for k in range(1, gram):
             grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
-        yield base, words, runs_of(mix(grams), PER_WINDOW)
+        yield base, words, runs_of(mix(grams), WINDOW - gram + 1)
         done = len(words) - WINDOW + 1
         base, words = base + done, words[done:]
 
 
-def superkmers(docs: DataFrame, sieve: Sieve) -> DataFrame:
-    """(key, doc_id, rk, start, multi, packed), or packed null for a repetition found at once.
+class Bucket:
+    """Goes through the super-k-mers of a bucket, sorted by key, doc_id, rk and start.
 
-    Of equal strings in one batch only the earliest is sent on; the others are repetitions
-    and carry n, their number of windows, instead. A hot minimiser's super-k-mers are sent
-    as single windows, each keyed by its own hash, so no bucket gathers them.
+    Of equal strings of a hot minimiser the first goes to the next round.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(sieve)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            type_ = batch.schema.field("doc_id").type
-            best: dict[bytes, tuple] = {}
-            rows, size = [], 0
-            for d, rk, t in zip(batch.column("doc_id").to_pylist(), batch.column("rk").to_pylist(), batch.column("text"), strict=True):
-                for base, words, r in stretches(t.as_py() or b""):
-                    slots = r.slots(sent.value.n_bits)
-                    hot = sent.value.is_hot(slots)
-                    for k in np.flatnonzero(sent.value.passes(slots)).tolist():
-                        a, n = int(r.start[k]), int(r.count[k])
-                        packed = b" ".join(words[a : a + n + WINDOW - 1])
-                        mine = ((d is not None, d, rk, base + a), n, int(r.key[k].view(np.int64)), bool(r.multi[k]), bool(hot[k]))
-                        other = best.get(packed)
-                        if other is None:
-                            best[packed] = mine
-                            size += len(packed)
-                        elif other[0] != mine[0]:
-                            if mine[0] < other[0]:
-                                best[packed], mine = mine, other
-                            rows.append((rk, mine[0][1], mine[0][2], mine[0][3], mine[1], False, None))
-                if size >= 1 << 24 or len(rows) >= 1 << 16:
-                    yield emit(best, rows, type_)
-                    best, rows, size = {}, [], 0
-            if best or rows:
-                yield emit(best, rows, type_)
-
-    def emit(best: dict, rows: list, type_: pa.DataType) -> pa.RecordBatch:
-        single: dict[bytes, tuple] = {}
-        for packed, (where, n, key, multi, hot) in best.items():
-            if not hot:
-                rows.append((key, *where[1:], n, multi, packed))
-                continue
-            words = packed.split(b" ")
-            for i in range(n):
-                window, mine = b" ".join(words[i : i + WINDOW]), (*where[:3], where[3] + i)
-                other = single.get(window)
-                if other is None or mine < other:
-                    single[window] = mine
-                    mine = other
-                if mine is not None:
-                    rows.append((mine[2], *mine[1:], 1, False, None))
-        rows += [(xxhash.xxh64_intdigest(window) - (1 << 63), *where[1:], 1, False, window) for window, where in single.items()]
-        cols = zip(*rows, strict=True)
-        kinds = (pa.int64(), type_, pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "doc_id", "rk", "start", "n", "multi", "packed"])
-
-    return docs.mapInArrow(run, f"key bigint, doc_id {kind}, rk bigint, start bigint, n bigint, multi boolean, packed binary")
-
-
-class Bucket:
-    """Goes through the super-k-mers of a bucket, sorted by key, doc_id, rk and start."""
 
     def __init__(self):
         self.key = self.held = self.last = None
         self.windows: set[bytes] = set()
         self.whole: set[bytes] = set()
 
-    def add(self, key: int, place: tuple, multi: bool, packed: bytes) -> list[tuple[int, int]]:
-        """Spans of repeated words, relative to the super-k-mer's first word."""
-        if key != self.key:
-            self.key, self.held, self.last = key, None, None
+    def add(self, hot: bool, key: int, place: tuple, n: int, at: int, times: int, packed: bytes) -> list[tuple]:
+        """Spans of repeated words as (doc_id, rk, lo, hi, 0, null), strings for the next round with 1 and text."""
+        if (hot, key) != self.key:
+            self.key, self.held, self.last = (hot, key), None, None
             self.windows, self.whole = set(), set()
         if place == self.last:
             return []
         self.last = place
-        if not self.whole:
-            self.whole.add(packed)
-            if not multi:
-                self.held = packed
-                return []
-            return self.expand(packed)
+        if packed in self.whole:
+            return [(*place, place[2] + n + WINDOW - 1, 0, None)]
+        fresh = not self.whole
+        self.whole.add(packed)
+        if hot:
+            return [(*place, place[2], 1, packed)]
+        if fresh and at != MANY:
+            self.held = packed
+            return []
         if self.held is not None:
             self.expand(self.held)
             self.held = None
-        if packed in self.whole:
-            return [(0, packed.count(b" ") + 1)]
-        self.whole.add(packed)
-        return self.expand(packed)
+        return [(*place[:2], place[2] + lo, place[2] + hi, 0, None) for lo, hi in self.expand(packed)]
 
     def expand(self, packed: bytes) -> list[tuple[int, int]]:
         at = np.flatnonzero(np.frombuffer(packed, np.uint8) == 32)
@@ -142,29 +87,23 @@ class Bucket:
                 self.windows.add(window)
         return [(lo, hi + WINDOW - 1) for lo, hi in ranges(flags)]
 
+    def flush(self) -> list[tuple]:
+        return []
+
+
+class Words:
+    """How words are cut, packed and compared; places go in order, so the first one stays."""
+
+    window, grams, first_stays, order = WINDOW, GRAMS, True, ("doc_id", "rk", "start")
 
-def repetitions(sent: DataFrame) -> DataFrame:
-    """(doc_id, rk, lo, hi): spans of words whose windows also start earlier."""
-    kind = sent.schema["doc_id"].dataType.simpleString()
+    def stretches(self, text: bytes, gram: int) -> Iterator[tuple[int, list[bytes], Runs]]:
+        return stretches(text, gram)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket = Bucket()
-        for batch in batches:
-            doc, rk = batch.column("doc_id").to_pylist(), batch.column("rk").to_numpy()
-            start, n = batch.column("start").to_numpy(), batch.column("n").to_numpy()
-            key, multi = batch.column("key").to_numpy(), batch.column("multi").to_numpy(zero_copy_only=False)
-            packed, out = batch.column("packed"), []
-            for i in range(len(key)):
-                value = packed[i].as_py()
-                spans = [(0, int(n[i]) + WINDOW - 1)] if value is None else bucket.add(key[i], (doc[i], rk[i], start[i]), multi[i], value)
-                out += [(doc[i], rk[i], start[i] + lo, start[i] + hi) for lo, hi in spans]
-            if out:
-                cols = zip(*out, strict=True)
-                kinds = (batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "rk", "lo", "hi"])
+    def pack(self, words: list[bytes], a: int, b: int) -> bytes:
+        return b" ".join(words[a:b])
 
-    ordered = sent.repartition("key").sortWithinPartitions("key", "doc_id", "rk", "start")
-    return ordered.mapInArrow(run, f"doc_id {kind}, rk bigint, lo bigint, hi bigint")
+    def bucket(self, gram: int) -> Bucket:
+        return Bucket()
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sieve_bits: int = SIEVE_BITS) -> DataFrame:
@@ -179,8 +118,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sieve_bit
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("rk"), F.col(text).cast("binary").alias("text"))
     scratch = Scratch(docs.sparkSession)
-    sieve = build_sieve(count_slots(rows, lambda t: (r for _, _, r in stretches(t)), sieve_bits), scratch, sieve_bits)
-    found = scratch.save(repetitions(superkmers(rows, sieve)), "repeated")
+    found = repetitions(rows, Words(), scratch, sieve_bits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in slices(b)):

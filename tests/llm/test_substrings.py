@@ -108,3 +108,24 @@ def test_very_long_text(spark):
     assert got[1] == (200_000, 0) and got[2] == (200_001, 200_000) and got[3][1] >= got[3][0] - 2
     got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix.dedup(docs(spark, rows)).collect()}
     assert got[1] == (len(long), len(long)) and got[2] == (len(long) + 2, len(long)) and got[3] == (2000, 2000)
+
+
+@pytest.mark.parametrize("n", [1000, 4000])
+def test_near_copies_have_few_spans(spark, monkeypatch, n):
+    """Spans grow with the copies, not with the windows of each, on either side of HOT."""
+    made = []
+    joined = windows.with_spans
+    monkeypatch.setattr(suffix, "with_spans", lambda docs, found: (made.append(found.count()), joined(docs, found))[1])
+    rng = random.Random(14)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(820))
+    places = [rng.randrange(820) for _ in range(n)]
+    rows = [(i, text[:p] + chr(65 + i % 26) + str(i) + text[p + 1 :]) for i, p in enumerate(places)]
+    got = {r.doc_id: r.n_removed for r in suffix.dedup(docs(spark, rows)).collect()}
+    assert made[0] < 10 * n
+    count = Counter(t[p : p + 200] for _, t in rows for p in range(len(t) - 199))
+    for d, t in rows:
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 199):
+            if count[t[p : p + 200]] > 1:
+                gone[p : p + 200] = True
+        assert got[d] == gone.sum()
