@@ -14,15 +14,11 @@ INTERRUPTED = "[Request interrupted by user]"
 
 # Words that don't count as keywords.
 STOPWORDS = (
-    "a an the is are was were be been being "
-    "have has had do does did will would could "
-    "should may might can shall to of in for "
-    "on with at by from as into through during "
-    "before after above below between out off over "
-    "under again further then once that this these "
-    "those not no nor or and but if so than "
-    "too very just about up it its use when"
-).split()
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "can", "shall", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "through", "during", "before",
+    "after", "above", "below", "between", "out", "off", "over", "under", "again", "further", "then", "once", "that", "this", "these", "those", "not",
+    "no", "nor", "or", "and", "but", "if", "so", "than", "too", "very", "just", "about", "up", "it", "its", "use", "when",
+)
 
 # Long-term sections that never decay, and those that do.
 PROTECTED_SECTIONS = ("## About Me", "## Current Projects", "## Technical Environment", "## Patterns & Preferences", "## Pinned")
@@ -36,6 +32,7 @@ TAG_TYPES = {
     "Lessons": ("insight", "tip", "workaround"),
 }
 
+# The forms of an entry line (tag, mark of a routed one, what precedes its text).
 TAGGED = r"(?U)^\s*-\s*\[([^\]/]+)(?:/[^\]]+)?\]"
 ROUTED = r"(?U)^\s*-\s*\[routed\]"
 PREFIX = r"(?U)^\s*-\s*(?:\[routed\])?\s*(?:\[[^\]]+\])?\s*(?:\(\d{4}-\d{2}-\d{2}\))?\s*(?:\[[^\]]+\])?\s*"

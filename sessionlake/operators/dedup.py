@@ -4,32 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 from sessionlake.functions import text as x
 from sessionlake.operators.daily import mark
 from sessionlake.scratch import Scratch
 
 
+def candidates(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the pairs that share a word of the smaller set's prefix, from (a, aw) and (b, bw).
+
+    Of the smaller set's n words, taken rarest first, one of the first
+    n - ceil(threshold * n) + 1 is in the other if they match. So prefixes of either side are
+    joined with whole sets of the other side that are no smaller; a word that most
+    sets have is in the prefix of tiny sets only.
+    """
+    df = a.select(F.explode("aw").alias("w")).unionByName(b.select(F.explode("bw").alias("w"))).groupBy("w").count()
+
+    def ranked(side: DataFrame, key: str, words: str) -> tuple[DataFrame, DataFrame]:
+        rows = side.select(key, F.size(words).alias(f"n_{key}"), F.explode(words).alias("w"))
+        n = F.col(f"n_{key}")
+        order = Window.partitionBy(key).orderBy("count", "w")
+        first = rows.join(df, "w").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n - F.ceil(n * F.lit(threshold) - 1e-9) + 1)
+        return rows, first.select(key, n, "w")
+
+    (all_a, first_a), (all_b, first_b) = ranked(a, "a", "aw"), ranked(b, "b", "bw")
+    small_a = first_a.join(all_b, "w").where("n_a <= n_b").select("a", "b")
+    small_b = first_b.join(all_a, "w").where("n_b < n_a").select("a", "b")
+    return small_a.unionByName(small_b).distinct()
+
+
 def matches(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(a, b): ids of entries whose overlap coefficient reaches the threshold.
 
-    left, right: (id, words), words distinct. Exact prefix filter: of the smaller set's n
-    words, taken rarest first, one of the first n - ceil(threshold * n) + 1 is in the other, so
-    only those are joined, on equality; the pairs are then verified. Both sides are written
-    to the shared folder first, as words are dear to extract and needed several times.
+    left, right: (id, words), words distinct. An exact prefix filter gives candidates, which
+    are verified. Both sides are written to the shared folder first, as words are dear to
+    extract and needed several times.
     """
     scratch = Scratch(left.sparkSession)
     a = scratch.save(left.select(F.col("id").alias("a"), F.col("words").alias("aw")).where(F.size("aw") > 0), "left")
     b = scratch.save(right.select(F.col("id").alias("b"), F.col("words").alias("bw")).where(F.size("bw") > 0), "right")
-    df = a.select(F.explode("aw").alias("w")).unionByName(b.select(F.explode("bw").alias("w"))).groupBy("w").count()
+    return candidates(a, b, threshold).join(a, "a").join(b, "b").where(x.overlap_coefficient(F.col("aw"), F.col("bw")) >= threshold).select("a", "b")
+
+
+def word_sets(words: DataFrame) -> DataFrame:
+    """(id, words): each distinct word set once; its id is the sorted words."""
+    return words.select(set_id().alias("id"), "words").groupBy("id").agg(F.first("words").alias("words"))
 
-    def ranked(side: DataFrame, key: str, words: str) -> DataFrame:
-        rows = side.select(key, F.size(words).alias("n"), F.explode(words).alias("w")).join(df, "w")
-        rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("count", "w")))
-        return rows.withColumn("first", F.col("rn") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select(key, F.col("n").alias(f"n_{key}"), "w", F.col("first").alias(f"first_{key}"))
 
-    pairs = ranked(a, "a", "aw").join(ranked(b, "b", "bw"), "w").where("(n_a <= n_b and first_a) or (n_b <= n_a and first_b)").select("a", "b").distinct()
-    return pairs.join(a, "a").join(b, "b").where(x.overlap_coefficient(F.col("aw"), F.col("bw")) >= threshold).select("a", "b")
+def set_id() -> Column:
+    return F.array_join(F.array_sort("words"), " ")
 
 
 def mark_routed(daily: DataFrame, notes: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -40,8 +64,9 @@ def mark_routed(daily: DataFrame, notes: DataFrame, threshold: float = 0.5) -> D
     """
     topic = F.regexp_replace("section", r"(?U)^[# ]+|[# ]+$", "")
     entry = topic.isin("Learnings", "Lessons") & F.col("line").rlike(r"(?U)^\s*-\s*\[") & ~F.col("line").rlike(r"(?U)^\s*-\s*\[routed")
-    left = daily.where(entry).select(F.struct("day", "line_no").alias("id"), x.keywords("line").alias("words"))
-    right = notes.where(F.col("line").rlike(r"(?U)^\s*-\s*\(")).select("line").distinct().select(F.col("line").alias("id"), x.keywords("line").alias("words"))
-    found = matches(left, right, threshold).select("a.day", "a.line_no").distinct().withColumn("marked", F.lit(True))
+    left = daily.where(entry).select("day", "line_no", x.keywords("line").alias("words"))
+    right = notes.where(F.col("line").rlike(r"(?U)^\s*-\s*\(")).select("line").distinct().select(x.keywords("line").alias("words"))
+    found = matches(word_sets(left), word_sets(right), threshold).select(F.col("a").alias("id")).distinct()
+    found = left.withColumn("id", set_id()).join(found, "id").select("day", "line_no").distinct().withColumn("marked", F.lit(True))
     rows = daily.join(found, ["day", "line_no"], "left").fillna(False, ["marked"])
     return rows.withColumn("line", F.when(F.col("marked"), mark(F.col("line"))).otherwise(F.col("line")))

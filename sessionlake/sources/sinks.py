@@ -3,28 +3,97 @@
 from __future__ import annotations
 
 import json
+import os
+import time
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
+from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.operators import pending
+from sessionlake.operators import ledger, pending
+from sessionlake.sources.text import read_ledger
+
+
+def _store(spark: SparkSession, path: str) -> tuple[Any, str | None]:
+    """(Hadoop path, the same as a local path if the file system is this machine's)."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toUri()
+    return where, uri.getPath() if uri.getScheme() == "file" else None
 
 
 def write_document(spark: SparkSession, path: str, text: str) -> bool:
-    """One small file, through the file system; False if it can't be written."""
-    jvm = spark.sparkContext._jvm
-    where, stage = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".stage")
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """One small file, staged and put in place by one rename that replaces; False if it can't be written."""
+    where, local = _store(spark, path)
+    mark = uuid.uuid4().hex
+    if local:
+        target = Path(local)
+        stage = target.with_name(f".{target.name}.{mark}.stage")
+        try:
+            target.parent.mkdir(parents=True, exist_ok=True)
+            stage.write_bytes(text.encode("utf-8"))
+            target.with_name(f".{target.name}.crc").unlink(missing_ok=True)
+            os.replace(stage, target)
+        except OSError:
+            stage.unlink(missing_ok=True)
+            return False
+        return True
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    stage = jvm.org.apache.hadoop.fs.Path(where.getParent(), f".{where.getName()}.{mark}.stage")
+    over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
     try:
-        out = fs.create(stage, True)
+        out = where.getFileSystem(conf).create(stage, True)
         out.write(bytearray(text.encode("utf-8")))
         out.close()
-        fs.delete(where, False)
-        return bool(fs.rename(stage, where))
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), conf).rename(stage, where, over)
     except Exception as e:  # the JVM's IO errors
         if "IOException" in str(e) or "FileNotFound" in str(e):
             return False
         raise
+    return True
+
+
+@contextmanager
+def locked(spark: SparkSession, path: str, wait: float = 10.0, stale: float = 60.0) -> Iterator[None]:
+    """Holds path + ".lock", a file that only one writer can create; TimeoutError after wait seconds.
+
+    A lock older than stale seconds was left behind and is taken away.
+    """
+    where, local = _store(spark, path + ".lock")
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def taken() -> bool:
+        try:
+            if local:
+                os.makedirs(os.path.dirname(local), exist_ok=True)
+                os.close(os.open(local, os.O_CREAT | os.O_EXCL))
+            else:
+                fs.create(where, False).close()
+        except FileExistsError:
+            return True
+        except Exception as e:  # the JVM's
+            if "AlreadyExists" in str(e):
+                return True
+            raise
+        return False
+
+    until = time.monotonic() + wait
+    while taken():
+        with suppress(Exception):  # it may go meanwhile
+            if time.time() - (os.stat(local).st_mtime if local else fs.getFileStatus(where).getModificationTime() / 1000) > stale:
+                fs.delete(where, False)
+                continue
+        if time.monotonic() > until:
+            raise TimeoutError(f"{path} is locked")
+        time.sleep(0.05)
+    try:
+        yield
+    finally:
+        fs.delete(where, False)
 
 
 def save_json(spark: SparkSession, path: str, value: object, indent: int = 2) -> bool:
@@ -35,12 +104,30 @@ def save_settings(spark: SparkSession, path: str, settings: dict) -> bool:
     return save_json(spark, path, settings)
 
 
-def write_ledger(spark: SparkSession, path: str, ledger: DataFrame) -> bool:
+def write_ledger(spark: SparkSession, path: str, held: DataFrame) -> bool:
     """The ledger file, one id a line. Very large ledgers belong in a table instead."""
-    ids = [r[0] for r in ledger.select("session_id").distinct().orderBy("session_id").toLocalIterator()]
+    ids = [r[0] for r in held.select("session_id").distinct().orderBy("session_id").toLocalIterator()]
     return write_document(spark, path, "".join(f"{i}\n" for i in ids))
 
 
+def change_ledger(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame]) -> bool:
+    """Reads the ledger, changes it and writes it, under its lock, so that no concurrent change is lost."""
+    with locked(spark, path):
+        return write_ledger(spark, path, change(read_ledger(spark, path)))
+
+
+def add_captured(spark: SparkSession, path: str, ids: DataFrame) -> bool:
+    return change_ledger(spark, path, lambda held: ledger.add(held, ids))
+
+
+def remove_captured(spark: SparkSession, path: str, ids: DataFrame) -> bool:
+    """Whether any of the ids was in the ledger, and so is taken out."""
+    with locked(spark, path):
+        held = read_ledger(spark, path)
+        gone = not ledger.removed(held, ids).isEmpty()
+        return gone and write_ledger(spark, path, ledger.remove(held, ids))
+
+
 def write_documents(texts: DataFrame, folder: str, key: str = "file", text: str = "text") -> None:
     """Many documents, as one text folder for each key, written by the executors; each ends in a newline."""
     texts.select(F.col(key), F.regexp_replace(F.col(text), "\n$", "").alias("value")).repartition(F.col(key)).write.mode("overwrite").partitionBy(key).text(folder)

@@ -29,6 +29,45 @@ def read_whole(spark: SparkSession, pattern: str) -> DataFrame:
     return files.select(meta("file_path").alias("path"), meta("file_name").alias("name"), F.regexp_replace(meta("file_name"), r"\.[^.]*$", "").alias("stem"), meta("file_size").alias("size"), meta("file_modification_time").alias("mtime"), "value")
 
 
+def list_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, name, stem, size, mtime) of the files, from the listing: no file is opened.
+
+    The text reader loads each file even if only metadata columns are selected; the binary
+    one doesn't where its content isn't.
+    """
+    meta = lambda f: F.col(f"_metadata.{f}")
+    try:
+        files = spark.read.format("binaryFile").load(pattern)
+    except AnalysisException:
+        return spark.createDataFrame([], "path string, name string, stem string, size bigint, mtime timestamp")
+    return files.select(meta("file_path").alias("path"), meta("file_name").alias("name"), F.regexp_replace(meta("file_name"), r"\.[^.]*$", "").alias("stem"), meta("file_size").alias("size"), meta("file_modification_time").alias("mtime"))
+
+
+def read_bytes(spark: SparkSession, pattern: str) -> DataFrame:
+    """(name, content) of small files."""
+    try:
+        return spark.read.format("binaryFile").load(pattern).select(F.col("_metadata.file_name").alias("name"), "content")
+    except AnalysisException:
+        return spark.createDataFrame([], "name string, content binary")
+
+
+def read_numbered(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, name, stem, line_no, line) of files that may be large: read by splits, never whole.
+
+    line_no rises within a file but has gaps: it is where the split begins plus the row's number
+    in its partition, which holds fewer rows than a split has bytes.
+    """
+    if paths == []:
+        return spark.createDataFrame([], "path string, name string, stem string, line_no bigint, line string")
+    meta = lambda f: F.col(f"_metadata.{f}")
+    try:
+        lines = spark.read.text(paths)
+    except AnalysisException:
+        return read_numbered(spark, [])
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return lines.select(meta("file_path").alias("path"), meta("file_name").alias("name"), F.regexp_replace(meta("file_name"), r"\.[^.]*$", "").alias("stem"), (meta("file_block_start") + row).alias("line_no"), F.col("value").alias("line"))
+
+
 def _read_hidden(spark: SparkSession, path: str) -> DataFrame:
     jvm, rows = spark.sparkContext._jvm, []
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -86,9 +125,5 @@ def read_notes(spark: SparkSession, pattern: str) -> DataFrame:
 
 def list_backups(spark: SparkSession, backups: str) -> DataFrame:
     """(backup, files): the backup folders, newest name first, with their files' names."""
-    try:
-        files = spark.read.format("binaryFile").load(f"{backups}/*/*")
-    except AnalysisException:
-        return spark.createDataFrame([], "backup string, files array<string>")
     parts = F.split("path", "/")
-    return files.select(F.element_at(parts, -2).alias("backup"), F.element_at(parts, -1).alias("f")).groupBy("backup").agg(F.array_sort(F.collect_list("f")).alias("files")).orderBy(F.desc("backup"))
+    return list_files(spark, f"{backups}/*/*").select(F.element_at(parts, -2).alias("backup"), F.element_at(parts, -1).alias("f")).groupBy("backup").agg(F.array_sort(F.collect_list("f")).alias("files")).orderBy(F.desc("backup"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionlake import schemas
 from sessionlake.functions import text as x
-from sessionlake.sources.text import read_whole, to_lines
+from sessionlake.sources.text import list_files, read_numbered, read_whole
 
 
 def folder(path: str = "path") -> F.Column:
@@ -38,19 +38,21 @@ def original_paths(entries: DataFrame) -> DataFrame:
 def list_sessions(spark: SparkSession, projects: str) -> DataFrame:
     """All sessions with file facts and index metadata, newest first; subagents are left out.
 
-    Contents are not read: only the file listing's columns are selected.
+    Transcripts are listed, not opened.
     """
-    files = read_whole(spark, f"{projects}/*/*.jsonl").where(~F.lower("stem").contains("subagent"))
+    files = list_files(spark, f"{projects}/*/*.jsonl").where(~F.lower("stem").contains("subagent"))
     files = files.select(folder().alias("project_hash"), F.col("stem").alias("session_id"), F.col("path").alias("transcript_path"), F.col("mtime").alias("file_mtime"), F.col("size").alias("file_size"))
     meta = index_metadata(read_sessions_indexes(spark, projects))
     return files.join(meta, ["project_hash", "session_id"], "left").orderBy(F.desc("file_mtime"), "session_id", "project_hash")
 
 
-def read_lines(spark: SparkSession, projects: str) -> DataFrame:
-    """(project_hash, session_id, line_no, v): parsed transcript lines (variant); bad JSON is left out."""
-    files = read_whole(spark, f"{projects}/*/*.jsonl").select(folder().alias("project_hash"), F.col("stem").alias("session_id"), "value")
-    lines = to_lines(files, "project_hash", "session_id")
-    return lines.select("project_hash", "session_id", "line_no", F.try_parse_json("line").alias("v")).where("v is not null")
+def read_lines(spark: SparkSession, projects: str, paths: list[str] | None = None) -> DataFrame:
+    """(project_hash, session_id, line_no, v): parsed transcript lines (variant); bad JSON is left out.
+
+    paths: read these transcripts only. line_no gives the order of a file's lines.
+    """
+    lines = read_numbered(spark, f"{projects}/*/*.jsonl" if paths is None else paths)
+    return lines.select(folder().alias("project_hash"), F.col("stem").alias("session_id"), "line_no", F.try_parse_json("line").alias("v")).where("v is not null")
 
 
 def messages(lines: DataFrame) -> DataFrame:
@@ -76,9 +78,8 @@ def first_lines(spark: SparkSession, projects: str) -> DataFrame:
 
     cwd is the first non-empty one; days are the dates of the time stamps. Subagent files count.
     """
-    files = read_whole(spark, f"{projects}/*/*.jsonl")
-    first = F.from_json(F.get(F.split("value", r"\r\n|\r|\n", 2), F.lit(0)), schemas.FIRST_LINE)
-    rows = files.select(folder().alias("project_hash"), "name", first.alias("f"))
+    lines = read_numbered(spark, f"{projects}/*/*.jsonl").groupBy("path", "name").agg(F.min_by("line", "line_no").alias("line"))
+    rows = lines.select(folder().alias("project_hash"), "name", F.from_json("line", schemas.FIRST_LINE).alias("f"))
     day = F.when(x.index_datetime("f.timestamp").isNotNull(), F.substring("f.timestamp", 1, 10))
     cwd = F.nullif("f.cwd", F.lit(""))
     return rows.groupBy("project_hash").agg(F.min_by(cwd, F.when(cwd.isNotNull(), F.col("name"))).alias("cwd"), F.array_sort(F.collect_set(day)).alias("days"))

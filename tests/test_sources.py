@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
 import pytest
@@ -103,28 +106,36 @@ def test_index(spark, tree):
     assert {r.firstPrompt for r in merge.rebuild_index(found, lines, "/x").collect()} == {"(recovered session)"}
 
 
-def test_lifecycle(tree, tmp_path):
+def test_lifecycle(spark, tree, tmp_path):
     layout, work = tree
-    new = tmp_path / "work" / "New"
-    assert lifecycle.validate_move(layout, str(work), str(new)).valid
-    assert not lifecycle.validate_move(layout, "/nope", "/nope/too/deep").valid
-    (tmp_path / "projects" / lifecycle.encode(work)).mkdir()
-    plan = lifecycle.plan_move(layout, str(work), str(new))
-    assert len(plan.moves) == 1 and plan.index_changes["add"]["data"]["workDays"] == ["2026-02-01"]
+    old, new = str(work), str(tmp_path / "work" / "New")
+    assert lifecycle.allowed(lifecycle.check_move(spark, layout, old, new))
+    found = lifecycle.check_move(spark, layout, "/nope", "/nope/too/deep")
+    assert not lifecycle.allowed(found) and {f.code for f in found} == {"no-source", "no-parent"}
+    assert [f.code for f in lifecycle.check_move(spark, layout, old, old)] == ["target-exists"]
+    (tmp_path / "projects" / lifecycle.encode(old)).mkdir()
+    plan = lifecycle.plan_move(spark, layout, old, new)
+    assert len(plan.of("move")) == 1 and plan.of("register")[0].value["workDays"] == ["2026-02-01"]
     with pytest.raises(PermissionError):
-        lifecycle.execute(layout, plan)
+        lifecycle.carry_out(spark, layout, plan)
     write(tmp_path / "history.jsonl", f"{work} {work}\n")
-    done = lifecycle.execute(layout, plan, confirmed=True, rewrite=(str(work), str(new)))
-    assert done["replaced"] == 2 and str(new).lower() in lifecycle.read_json(layout.projects_index, {})["projects"]
-    orphan = lifecycle.plan_merge_orphan(layout, "-g", str(new))
-    assert orphan.index_changes["remove"] == "/gone" and orphan.index_changes["merge_work_days"]["days_to_add"] == []
-    clean = lifecycle.plan_cleanup(layout)
-    assert "/gone" in clean.index_changes["remove_entries"]
-    lifecycle.execute(layout, clean, confirmed=True)
-    assert "/gone" not in lifecycle.read_json(layout.projects_index, {})["projects"]
+    write(tmp_path / "projects/-r/sessions-index.json", {"originalPath": f"{work}/sub"})
+    before = (tmp_path / "projects/-p/sessions-index.json").stat().st_mtime_ns
+    done = lifecycle.carry_out(spark, layout, plan, confirmed=True, rewrite=(old, new))
+    assert done["replaced"] == 2 and done["indexes"] == 1 and (tmp_path / "projects/-p/sessions-index.json").stat().st_mtime_ns == before
+    assert json.loads((tmp_path / "projects/-r/sessions-index.json").read_text())["originalPath"] == f"{new}/sub"
+    read = lambda: json.loads(Path(layout.projects_index).read_text())["projects"]
+    assert new.lower() in read() and (tmp_path / "projects" / lifecycle.encode(new)).is_dir()
+    orphan = lifecycle.plan_merge(spark, layout, "-g", new)
+    assert orphan.of("forget")[0].source == "/gone" and orphan.of("extend")[0].value == []
+    clean = lifecycle.plan_cleanup(spark, layout)
+    assert "/gone" in [a.source for a in clean.of("forget")] and clean.counts()["back_up"] == 1
+    lifecycle.carry_out(spark, layout, clean, confirmed=True)
+    assert "/gone" not in read()
     assert lifecycle.memory_name("My  Project_1") == "my-project1-long-term-memory.md"
-    pair = lifecycle.memory_pair(layout, "Proj", "Nope")
+    pair = lifecycle.memory_pair(spark, layout, "Proj", "Nope")
     assert pair["source_exists"] and not pair["dest_exists"]
+    assert lifecycle.plan_move(spark, layout, new, new, "abort").of("merge", "move") == []
 
 
 def test_ingest(spark, tmp_path):
@@ -212,32 +223,100 @@ def test_reports(spark, tree):
     assert got["global_long_term_tokens"] == str(15 // 4) and int(got["total_tokens"]) == sum(int(got[f"{c}_tokens"]) for c in ("global_long_term", "global_short_term", "project_long_term", "project_short_term"))
 
 
-def test_merge_orphan(tree, tmp_path):
+def test_merge_orphan(spark, tree, tmp_path):
     layout, work = tree
-    found = lifecycle.validate_merge_orphan(layout, "-q", str(work))
-    assert found.valid and len(found.warnings) == 2
-    assert not lifecycle.validate_merge_orphan(layout, "-nope", "/nope").valid
-    target = tmp_path / "projects" / lifecycle.encode(work)
+    target = tmp_path / "projects" / lifecycle.encode(str(work))
+    found = lifecycle.check_merge(spark, layout, "-q", str(work))
+    assert lifecycle.allowed(found) and [f.code for f in found] == ["target-empty"]
+    assert not lifecycle.allowed(lifecycle.check_merge(spark, layout, "-nope", "/nope"))
     write(target / "s3.jsonl", "kept")
-    index_doc = lifecycle.read_json(layout.projects_index, {})
-    index_doc["projects"]["/old"] = {"name": "Old", "originalPath": "/old", "encodedPaths": ["-q"], "workDays": ["2026-02-01", "2026-02-09"]}
-    lifecycle.save_json(layout.projects_index, index_doc)
-    write(tmp_path / "projects/-q/new.jsonl", "fresh")
-    plan = lifecycle.plan_merge_orphan(layout, "-q", str(work))
-    assert plan.index_changes == {"remove": "/old", "merge_work_days": {"target": str(work).lower(), "days_to_add": ["2026-02-09"]}} and "merges" in plan.summary
-    done = lifecycle.execute(layout, plan, confirmed=True)
-    assert (target / "s3.jsonl").read_text() == "kept" and (target / "new.jsonl").read_text() == "fresh"
+    doc = json.loads(Path(layout.projects_index).read_text())
+    doc["projects"]["/old"] = {"name": "Old", "originalPath": "/old", "encodedPaths": ["-q"], "workDays": ["2026-02-01", "2026-02-09"]}
+    write(Path(layout.projects_index), doc)
+    write(tmp_path / "projects/-q/new.jsonl", json.dumps({"type": "human", "message": {"content": "p" * 200}}) + "\n")
+    os.utime(tmp_path / "projects/-q/new.jsonl", (1_700_000_000, 1_700_000_000))
+    plan = lifecycle.plan_merge(spark, layout, "-q", str(work))
+    assert [(a.kind, a.source, a.value) for a in plan.of("forget", "extend")] == [("forget", "/old", None), ("extend", str(work).lower(), ["2026-02-09"])]
+    done = lifecycle.carry_out(spark, layout, plan, confirmed=True)
+    assert (target / "s3.jsonl").read_text() == "kept" and (target / "new.jsonl").stat().st_mtime == 1_700_000_000
     assert (tmp_path / "projects/-q.merged.bak").is_dir() and not (tmp_path / "projects/-q").exists()
-    projects = lifecycle.read_json(layout.projects_index, {})["projects"]
+    projects = json.loads(Path(layout.projects_index).read_text())["projects"]
     assert projects[str(work).lower()]["workDays"] == ["2026-02-01", "2026-02-09"] and "/old" not in projects
-    entries = lifecycle.read_json(target / "sessions-index.json", {})["entries"]
-    assert {e["sessionId"] for e in entries} == {"s3", "new"} and entries[0]["projectPath"] == str(work)
-    newer = [{"id": "s3", "modified": "2999"}, {"sessionId": "z"}, {}]
-    lifecycle.save_json(tmp_path / "other" / "sessions-index.json", {"entries": newer})
-    assert lifecycle.merge_indexes(tmp_path / "other", target, str(work), replace_older=False) == 1
-    assert lifecycle.merge_indexes(tmp_path / "other", target, str(work), replace_older=True) == 1
-    assert set(lifecycle.restore(layout, Path(done["backup"]).name)) == {layout.projects_index, f"{layout.project_memory}/proj-long-term-memory.md"}
-    assert "/old" in lifecycle.read_json(layout.projects_index, {})["projects"]
-    same = lifecycle.plan_merge_orphan(layout, lifecycle.encode(work), str(work))
-    assert not (same.moves or same.merges or same.renames)
-    assert lifecycle.plan_move(layout, str(work), str(work), "abort").merges == [] and lifecycle.validate_move(layout, str(work), str(work)).warnings
+    entries = {e["sessionId"]: e for e in json.loads((target / "sessions-index.json").read_text())["entries"]}
+    assert set(entries) == {"s3", "new"} and entries["new"]["firstPrompt"] == "p" * 150 and entries["s3"]["firstPrompt"] == "(recovered session)"
+    assert entries["new"]["projectPath"] == str(work) and entries["new"]["fullPath"] == str(tmp_path / "projects/-q/new.jsonl") and entries["new"]["created"] == "2023-11-14T22:13:20Z"
+    write(tmp_path / "other" / "sessions-index.json", {"entries": [{"id": "s3", "modified": "2999"}, {"sessionId": "z"}, {}]})
+    assert lifecycle.merge_indexes(spark, str(tmp_path / "other"), str(target), str(work), replace=False) == 1
+    assert lifecycle.merge_indexes(spark, str(tmp_path / "other"), str(target), str(work), replace=True) == 1
+    assert set(lifecycle.restore(spark, layout, Path(done["backup"]).name)) == {layout.projects_index, f"{layout.project_memory}/proj-long-term-memory.md"}
+    assert "/old" in json.loads(Path(layout.projects_index).read_text())["projects"]
+    same = lifecycle.plan_merge(spark, layout, lifecycle.encode(str(work)), str(work))
+    assert not same.of("move", "merge", "copy", "retire")
+
+
+def test_listing_opens_no_file(spark, tmp_path):
+    """A file far larger than memory is listed from the folder alone."""
+    (tmp_path / "projects/-big").mkdir(parents=True)
+    with (tmp_path / "projects/-big/s.jsonl").open("w") as f:
+        f.truncate(1 << 40)
+    row = transcripts.list_sessions(spark, str(tmp_path / "projects")).first()
+    assert (row.session_id, row.file_size) == ("s", 1 << 40)
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Numbers rise within a file that is read in many splits."""
+    (tmp_path / "t").mkdir()
+    for name in "ab":
+        (tmp_path / f"t/{name}.jsonl").write_text("".join(f"{name}{i}\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = files.read_numbered(spark, str(tmp_path / "t/*.jsonl")).orderBy("name", "line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.line for r in rows] == [f"{name}{i}" for name in "ab" for i in range(3000)]
+    assert len({(r.name, r.line_no) for r in rows}) == 6000
+    assert files.read_numbered(spark, str(tmp_path / "none*")).count() == files.read_numbered(spark, []).count() == 0
+
+
+def test_ledger_lock(spark, tree):
+    from sessionlake.sources import sinks
+
+    layout, _ = tree
+    ids = lambda *names: spark.createDataFrame([(n,) for n in names], "session_id string")
+    with sinks.locked(spark, layout.captured), pytest.raises(TimeoutError), sinks.locked(spark, layout.captured, wait=0.2):
+        pass
+    lock = Path(layout.captured + ".lock")
+    lock.touch()
+    os.utime(lock, (1, 1))
+    with ThreadPoolExecutor(4) as pool:
+        assert all(pool.map(lambda n: sinks.add_captured(spark, layout.captured, ids(n)), ["n1", "n2", "n3", "n4"]))
+    assert not lock.exists()
+    assert sinks.remove_captured(spark, layout.captured, ids("n1")) and not sinks.remove_captured(spark, layout.captured, ids("n1"))
+    assert sorted(r[0] for r in files.read_ledger(spark, layout.captured).collect()) == ["n2", "n3", "n4", "old", "s2"]
+
+
+def test_session_start(spark, tree, tmp_path):
+    layout, work = tree
+    own, now = settings.parse_settings(None), datetime(2026, 2, 12, 9, 30, tzinfo=timezone(timedelta(hours=2)))
+    rows = context.session_start(spark, layout, own, str(work), now, session_id="s2", resumed=True, extracts=str(tmp_path / "out")).collect()
+    assert rows[0].text == "Current time: 2026-02-12 09:30 (UTC+0200)"
+    prompt = rows[1].text
+    assert "Pending days: 1 (2026-02-01)" in prompt and f"read {tmp_path}/out/extract-2026-02-01.txt (limit" in prompt and "extract-2026-02-01.sessions" in prompt and "Model: default." in prompt and "global, Gone, Proj" in prompt
+    assert (tmp_path / "out/extract-2026-02-01.sessions").read_text() == "s1\n"
+    assert [r.text.split("\n")[0] for r in rows[2:]] == ["## Global Long Term", "## Project Long Term", "## Global Short Term", "## Project Short Term"]
+    assert sorted(r[0] for r in files.read_ledger(spark, layout.captured).collect()) == ["old"]
+    write(Path(layout.last_synthesis), "2026-02-12T07:00:00+00:00")
+    rows = context.session_start(spark, layout, own, "/elsewhere", now, session_id="s1").collect()
+    assert [r.ord for r in rows] == [0, 2, 4]
+    assert "without session s1" in context.synthesis_prompt(["2026-02-01"], [], exclude="s1")
+
+
+def test_day_sessions(spark, tree, tmp_path):
+    from sessionlake.plans import report
+
+    layout, _ = tree
+    got = report.day_sessions(spark, layout, "2026-02-01").collect()
+    assert [(r.session_id, r.captured, r.message_count, r.previews[0][:20]) for r in got] == [("s1", False, 1, "ASSISTANT: word word")]
+    for name, text in (("a/x", "1"), ("a/y", "2"), ("a/z", "3"), ("b/x", "1"), ("b/y", "9")):
+        write(tmp_path / name, text)
+    assert [tuple(r) for r in report.compare_folders(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect()] == [("x", "same"), ("y", "different"), ("z", "missing")]
