@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import numpy as np
+import pytest
 from helpers import docs, empty
 from pyspark.sql import functions as F
 
@@ -40,8 +42,11 @@ def test_pairs_at_the_threshold(spark):
     assert resemblance.classes(empty(spark)).count() == 0
 
 
-def test_group_of_near_copies(spark):
-    """Copies of one text, some pairs of them below the threshold, against all pairs."""
+@pytest.mark.parametrize(("heads", "chunk"), [(3, 1024), (0, 7)])
+def test_group_of_near_copies(spark, monkeypatch, heads, chunk):
+    """Copies of one text, some pairs of them below the threshold, against all pairs, also of lists in chunks."""
+    monkeypatch.setattr(resemblance, "HEADS", heads)
+    monkeypatch.setattr(resemblance, "CHUNK", chunk)
     rng = random.Random(2)
     words = [f"w{i}" for i in range(80)]
     rows = [(i, changed(words, *rng.sample(range(80), rng.randint(0, 3)))) for i in range(60)]
@@ -54,6 +59,19 @@ def test_group_of_near_copies(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(parent.values()))
 
 
+def test_prefixes():
+    """Sets that are alike share as many shingles of their prefixes as the sieve asks for."""
+    rng = random.Random(3)
+    for _ in range(2000):
+        n = rng.randint(1, 60)
+        a = {rng.getrandbits(64) for _ in range(n)}
+        b = set(rng.sample(sorted(a), rng.randint(0, n))) | {rng.getrandbits(64) for _ in range(rng.randint(0, n // 3))}
+        x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
+        if resemblance.alike(x, y) and len(x):
+            both = np.intersect1d(resemblance.sieve_prefix(x, 0.8), resemblance.sieve_prefix(y, 0.8))
+            assert all(len(both) >= resemblance.extra(resemblance.least_shared(len(s), 0.8)) for s in (x, y))
+
+
 def test_tables(spark):
     """No two kept documents of the test table are alike, and every one that went is linked."""
     table = spark.read.parquet(f"{SF}/documents.parquet")
