@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sessionlake.llm.common import ship_code, slices
 
@@ -298,8 +299,9 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     """
     ship_code(docs.sparkSession)
     field = field or train(docs, text)
-    some = docs.select(F.struct(*keep).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sent, kind = docs.sparkSession.sparkContext.broadcast(field), some.schema["doc"].dataType.simpleString()
+    some = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sent = docs.sparkSession.sparkContext.broadcast(field)
+    out = StructType().add(some.schema["doc"]).add("spans", StructType.fromDDL(f"spans {SPANS}")["spans"].dataType).add("masked", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
@@ -314,4 +316,4 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
                 masked.append(mask(value, [s[:3] for s in found]) if found else value)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(spans, pa.list_(row)), pa.array(masked, pa.string())], names=["doc", "spans", "masked"])
 
-    return some.mapInArrow(run, f"doc {kind}, spans {SPANS}, masked string")
+    return some.mapInArrow(run, out)

@@ -64,7 +64,7 @@ def with_stats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     """
     t = F.coalesce(F.col("t"), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\f\r")) != "")
-    step = docs.select(F.struct(*[F.col(c) for c in keep]).alias("doc"), F.col(text).alias("t"))
+    step = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(text).alias("t"))
     step = step.select("doc", "t", F.transform(words_of(F.col("t")), lambda w: F.xxhash64(w)).alias("h"), lines.alias("lines"))
     n = F.size("h")
     windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("h", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))

@@ -91,3 +91,36 @@ def test_one_of_each_group(spark):
     out = corpus_pipeline.near_dedup(spark, docs, SF)
     assert out.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(1, text), (5, "something else entirely is here"), (None, "all alone is this one row")], key=repr)
+
+
+CLASHING = "d bigint, r string, n bigint, root bigint, doc string, rk string, other_d bigint, node bigint, spans string, masked string, kept boolean, `a.b` int, key string, h double, item_ids string"
+
+
+def clashing(spark, rows):
+    schema = f"doc_id bigint, text string, lang string, source string, n_chars bigint, {CLASHING}"
+    return spark.createDataFrame([(d, t, "en", "s", None if t is None else len(t), 1, "r", 2, 3, "doc", "rk", 4, 5, "s", "m", True, 6, "k", 0.5, "i") for d, t in rows], schema).repartition(3)
+
+
+def test_awkward_rows(spark, monkeypatch):
+    """Nulls, empty and very long texts, ties, repeats, clashing names and empty tables in every stage."""
+    first = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    words = [f"w{i}" for i in range(80)]
+    plain, other = " ".join(words), " ".join(f"v{i}" for i in range(80))
+    long = " ".join(f"x{i}" for i in range(200_000))
+    rows = [(1, plain), (1, plain), (None, plain), (None, None), (None, None), (2, None), (3, ""), (4, " \n"), (5, long), (6, other), (6, first + " " + other), (None, other + " x"), (7, "mail a.b@c.de now")]
+    table = clashing(spark, rows)
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.select("doc_id", "text").collect()), key=repr)
+    key = lambda rows: sorted(rows, key=repr)
+    out = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        none, out[name] = stage(spark, table.limit(0), SF), stage(spark, table, SF)
+        assert none.count() == 0 and none.columns == table.columns and out[name].schema == table.schema
+    assert pairs(out["quality_rules"]) == key([r for r in rows if r[1] and len(r[1].split()) >= 20])
+    assert pairs(out["simhash_near_dedup"]) == key([(1, plain), (2, None), (5, long), (6, other), (6, first + " " + other), (7, "mail a.b@c.de now")])
+    assert pairs(out["benchmark_decontamination"]) == key([r for r in rows if r != (6, first + " " + other)])
+    assert pairs(out["pii"]) == key([(d, "mail <email> now" if d == 7 else t) for d, t in rows])
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out["pii"].collect())
+    packed = corpus_pipeline.pack(spark, table, SF).collect()
+    assert sorted((r.doc_id, r.length) for r in packed if r.doc_id in (2, 3)) == [(2, 1), (3, 1)]
+    assert sum(r.length for r in packed if r.doc_id == 1) == 2 * next(r.doc_tokens for r in packed if r.doc_id == 1)
+    assert corpus_pipeline.pack(spark, table.limit(0), SF).count() == 0
