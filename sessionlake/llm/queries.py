@@ -73,10 +73,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of every document that some benchmark window covers, and those items."""
-    found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    """Words of every document that some benchmark window covers, those items, and windows only nearly there."""
+    found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), slop=decontam.SLOP)
     n_items = F.size("item_ids").cast("bigint").alias("n_items")
-    return found.select("doc_id", "n_words", "n_hit", n_items, F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", n_items, F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
 _SQL_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -97,10 +97,23 @@ with d as (
   select rid, count(distinct q) as n_hit from (select rid, unnest(range(p, p + n)) as q from m) group by rid
 ), its as (
   select rid, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct rid, item_id from m where item_id is not null) group by rid
+), one as (
+  select distinct phrase, n, string_split(phrase, ' ') as q from win
+), need as (
+  select phrase, t, count(*) as k, any_value(n_terms) as n_terms from (select phrase, len(list_distinct(q)) as n_terms, unnest(q) as t from one) group by phrase, t
+), has as (
+  select rid, t, count(*) as k from (select rid, unnest(w) as t from d) group by rid, t
+), may as (
+  select rid, phrase from has join need on has.t = need.t and has.k >= need.k group by rid, phrase having count(*) = any_value(n_terms)
+), spans as (
+  select rid, phrase, q, w[s:s + n + 1] as c from (select rid, phrase, q, n, w, unnest(range(1, greatest(len(w) - n - 1, 1) + 1)) as s from may join one using (phrase) join d using (rid))
+), near as (
+  select rid, count(distinct phrase) as n_near from spans where list_has_all(c, q) and len(list_filter(q, lambda x: len(list_filter(c, lambda y: y = x)) < len(list_filter(q, lambda y: y = x)))) = 0
+    and not exists (select 1 from (select distinct g.rid, win.phrase from grams g join win on g.phrase = win.phrase and g.n = win.n) e where e.rid = spans.rid and e.phrase = spans.phrase) group by rid
 )
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
-       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join hit using (rid) left join its using (rid)
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, cast(coalesce(n_near, 0) as bigint) as n_near
+from d left join hit using (rid) left join its using (rid) left join near using (rid)
 """
 
 
