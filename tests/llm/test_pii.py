@@ -3,6 +3,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 from helpers import docs, empty
 
@@ -62,3 +65,77 @@ def test_query(spark):
         assert row.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(s[2] == k for s in spans) for k in range(4)]
         assert set(filter(None, listed.split(","))) <= set(row.spans.split(","))
+
+
+def planted(rng, texts):
+    """Texts with base forms and altered repeats of them, and numbers that only look alike: (text, spans to add)."""
+    luhn = lambda d: next(f"{d}{c}" for c in range(10) if pii.luhn(f"{d}{c}"))
+    out = []
+    for text in texts:
+        words, add = text.split(" "), []
+        area, mid, b = rng.randint(200, 989), rng.randint(200, 989), rng.randint(1000, 9999)
+        card = luhn("".join(str(rng.randint(0, 9)) for _ in range(15)))
+        other = luhn("".join(str(rng.randint(0, 9)) for _ in range(15)))
+        fails = card[:-1] + str((int(card[-1]) + 3) % 10)
+        ip = [str(rng.randint(11, 254)) for _ in range(4)]
+        mail = f"{rng.choice(['mara', 'jo', 'lena'])}.{rng.choice(['kiln', 'ost', 'brook'])}{rng.randint(10, 99)}"
+        base = {"phone": f"+1 ({area}) {mid}-{b}", "card": card, "ip": ".".join(ip), "email": f"{mail}@mail{rng.randint(1, 9)}.example.com"}
+        again = {
+            "phone": rng.choice([f"({area}) {mid}-{b}", f"{area}.{mid}.{b}", f"{area}-{mid}-{b}"]),
+            "card": f"{other} {card}",
+            "ip": rng.choice(["[.]".join(ip), "(.)".join(ip)]),
+            "email": base["email"].replace("@", rng.choice(["(at)", "[at]"])),
+        }
+        kind = rng.choice(list(base))
+        plain = [f"version {rng.randint(1, 9)}.{rng.randint(0, 9)}.{rng.randint(0, 9)}", f"in {rng.randint(1900, 2030)}", f"{rng.randint(1, 99999)} units", f"item {fails} and {fails}", f"{rng.randint(1, 31)}.{rng.randint(1, 12)}.{rng.randint(1990, 2030)}"]
+        pieces = [(base[kind], False), (again[kind], True)] + [(p, False) for p in rng.sample(plain, 3)]
+        at = sorted(rng.sample(range(len(words) + 1), min(len(pieces), len(words) + 1)))
+        if len(at) < len(pieces):
+            continue
+        done, start = [], 0
+        for place, (piece, counts) in zip(at, pieces, strict=True):
+            done.append(" ".join([*words[start:place], "x"]) + " ")
+            begin = len("".join(done))
+            if counts:
+                parts = piece.split(" ") if kind == "card" else [piece]
+                for p in parts:
+                    add.append((begin, begin + len(p)))
+                    begin += len(p) + 1
+            done.append(f"{piece} ")
+            start = place
+        out.append(("".join(done) + " ".join(["y", *words[start:]]), add))
+    return out
+
+
+def test_what_the_field_adds(spark):
+    """Altered repeats of found values, and cards that run into others, among texts of the 0.01 tables."""
+    rng = random.Random(9)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").orderBy("doc_id").collect()]
+    some = planted(rng, [t for t in texts if len(t.split(" ")) > 20][:400])
+    rows = [(i, t) for i, (t, _) in enumerate(some)] + [(1000 + i, t) for i, t in enumerate(texts)]
+    want, found, right = 0, 0, 0
+    for r in pii.find(docs(spark, rows)).collect():
+        add = some[r.doc.doc_id][1] if r.doc.doc_id < 1000 else []
+        mine = [(s.start, s.end) for s in r.spans if not s.base]
+        hit = [m for m in mine if any(m[0] < b and m[1] > a for a, b in add)]
+        want += len(add)
+        found += len(mine)
+        right += len(hit)
+    assert want > 400 and right >= 0.9 * found and right >= 0.9 * want, (want, found, right)
+
+
+def test_memory_of_a_million_numbers():
+    """One text of a million numbers, many of them repeated, stays under 500 MB."""
+    code = """
+import random, resource, numpy as np
+from sessionlake.llm import pii
+rng = random.Random(1)
+text = " ".join(str(rng.randint(10**6, 3 * 10**6)) for _ in range(1_000_000))
+names = {(k, v): i for i, (k, v) in enumerate((k, v) for k in range(11) for v in range(-1, 22))}
+field = pii.Field(names, np.random.default_rng(0).normal(size=(len(names) + 1, 5)), np.eye(5), 2 * np.eye(5))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+pii.added_spans(text, pii.base_spans(text[:1000]), field)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(out.stdout) < 500, out.stdout
