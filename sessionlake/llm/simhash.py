@@ -2,19 +2,22 @@
 
 A 64-bit fingerprint has eight bytes. Two fingerprints that differ in at most two bits
 differ in at most two bytes, so they share at least six positional bytes: that is the
-guaranteed minimum of the count filter. Lists of single (position, byte) postings hold
-1/256 of all fingerprints each, so tallying them pair by pair would be quadratic. The index
-therefore posts each distinct fingerprint under every set of six positions with the bytes
-found there (28 postings): a pair shows up in some list exactly if its tally of shared
-positional bytes reaches six. A list holds distinct fingerprints that agree in six bytes,
-so at most 65,536 of them, whatever the input; within it the two open bytes are probed with
-every mask of one or two bits and each hit is verified (shared bytes counted, bits compared), without forming
-all pairs. Each list yields its links as a forest, which keeps the components.
+guaranteed minimum of the count filter. Shared positional bytes are tallied for each pair of a
+list, pairs that reach the minimum are retained and verified on their bits.
+
+A list of a single positional byte holds 1/256 of all fingerprints, too many to form its pairs.
+But where two bytes may differ, of any three groups of positions one is shared whole; so lists
+are kept by the bytes of a group, which are intersections of single lists, and the tally goes on
+over the other positions. A list of more than LONG fingerprints is parted by the same
+argument on the positions that are left, until six are shared; then it holds at most
+65,536 fingerprints that differ in two bytes, whose neighbours are looked up. Lists hold distinct
+fingerprints; each yields its links as a forest, which keeps the components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -22,13 +25,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
-from sessionlake.llm.common import Scratch, ship_code, word_chunks
+from sessionlake.llm.common import Scratch, ship_code, slices, word_chunks
 
 BYTES, WIDTH = 8, 3
 MAX_BITS = 2
 MIN_SHARED = BYTES - MAX_BITS
-POSITIONS = tuple(combinations(range(BYTES), MIN_SHARED))
+#: Fingerprints of a list up to which its pairs are tallied in one task.
+LONG = 1024
 MASKS = np.array([sum(1 << b for b in c) for n in (1, 2) for c in combinations(range(16), n)], np.uint16)
 
 
@@ -68,75 +73,136 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
-def postings(distinct: DataFrame) -> DataFrame:
-    """The inverted index: a posting for each distinct fingerprint and set of six positions.
+def groups(shared: int) -> tuple[int, ...]:
+    """Sets of positions, one of which a pair that shares the set shared has in common too.
 
-    The key holds the six bytes in place and the number of the set in the bytes left open,
-    packed beside them, so it stays one bigint: set number, then the bytes.
+    Sets are bit masks. The positions that are left are cut in three; none if two or fewer are left.
     """
-    keys = []
-    for n, chosen in enumerate(POSITIONS):
-        packed = F.lit(n).cast("bigint")
-        for p in chosen:
-            packed = F.shiftleft(packed, 8).bitwiseOR(F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255).cast("bigint")))
-        keys.append(packed)
-    return distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
-
-
-def list_links(key: int, fps: np.ndarray) -> list[tuple[int, int]]:
-    """A forest of the verified links in one posting list (distinct fingerprints)."""
-    chosen = POSITIONS[(key >> 48) & 255]
-    lo, hi = (p for p in range(BYTES) if p not in chosen)
+    left = [p for p in range(BYTES) if not shared >> p & 1]
+    if len(left) <= MAX_BITS:
+        return ()
+    cut = [0, -(-len(left) // 3), len(left) - len(left) // 3, len(left)]
+    return tuple(shared | sum(1 << p for p in left[a:b]) for a, b in zip(cut, cut[1:], strict=False))
+
+
+def _all_groups() -> dict[int, tuple[int, ...]]:
+    known, todo = {}, [0]
+    while todo:
+        mask = todo.pop()
+        if mask not in known:
+            known[mask] = groups(mask)
+            todo += known[mask]
+    return known
+
+
+GROUPS = _all_groups()
+
+
+def _lookup(values: dict[int, Column], mask: str) -> Column:
+    return F.create_map(*[c for k, v in values.items() for c in (F.lit(k), v)])[F.col(mask)]
+
+
+def postings(rows: DataFrame) -> DataFrame:
+    """(mask, part, fp): rows (fp, mask) posted under each group of positions of their mask, by the bytes there."""
+    whole = {m: int(np.uint64(sum(255 << 8 * p for p in range(BYTES) if m >> p & 1)).view(np.int64)) for m in GROUPS}
+    children = _lookup({m: F.array(*map(F.lit, g)) for m, g in GROUPS.items() if g}, "mask")
+    out = rows.select("fp", F.explode(children).alias("mask")).distinct()
+    return out.select("mask", F.col("fp").bitwiseAND(_lookup({m: F.lit(v).cast("bigint") for m, v in whole.items()}, "mask")).alias("part"), "fp")
+
+
+def tallied(fps: np.ndarray, begin: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (indexes) within lists that share MIN_SHARED positional bytes and differ in MAX_BITS bits at most.
+
+    begin: for each fingerprint where its list begins; lists are stretches of fps.
+    """
+    u, left, right = fps.view(np.uint64), [], []
+    for step in range(1, longest):
+        a = np.flatnonzero(begin[step:] == begin[:-step])
+        differ = u[a] ^ u[a + step]
+        shared = (differ[:, None].view(np.uint8).reshape(-1, BYTES) == 0).sum(1)
+        good = (shared >= MIN_SHARED) & (np.bitwise_count(differ) <= MAX_BITS)
+        left.append(a[good])
+        right.append(a[good] + step)
+    return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+
+
+def neighbours(mask: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one list whose fingerprints share all positions but two: each one's neighbours are looked up."""
+    lo, hi = (p for p in range(BYTES) if not mask >> p & 1)
     u = fps.view(np.uint64)
     open_bits = (((u >> np.uint64(8 * lo)) & np.uint64(255)) | (((u >> np.uint64(8 * hi)) & np.uint64(255)) << np.uint64(8))).astype(np.int64)
-    if len(u) <= 64:
-        a, b = np.triu_indices(len(u), 1)
-        near = np.bitwise_count(open_bits[a] ^ open_bits[b]) <= MAX_BITS
-        a, b = a[near], b[near]
-    else:
-        where = np.full(1 << 16, -1, np.int64)
-        where[open_bits] = np.arange(len(u))
-        found = []
-        for mask in MASKS:
-            other = where[open_bits ^ int(mask)]
-            at = np.flatnonzero(other >= 0)
-            at = at[at < other[at]]
-            found.append((at, other[at]))
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    differ = u[a] ^ u[b]
-    shared = (differ[:, None].view(np.uint8) == 0).sum(1) if len(differ) else np.zeros(0, np.int64)
-    good = (shared >= MIN_SHARED) & (np.bitwise_count(differ) <= MAX_BITS)
-    parent = list(range(len(u)))
+    where = np.full(1 << 16, -1, np.int64)
+    where[open_bits] = np.arange(len(u))
+    left, right = [], []
+    for bits in MASKS:
+        other = where[open_bits ^ int(bits)]
+        at = np.flatnonzero(other >= 0)
+        at = at[at < other[at]]
+        left.append(at)
+        right.append(other[at])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the links a-b that join what is not joined yet."""
+    parent: dict[int, int] = {}
 
     def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = parent[p]
+            x = p
         return x
 
-    links = []
-    for x, y in zip(a[good].tolist(), b[good].tolist(), strict=True):
+    out = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
         p, q = root(x), root(y)
         if p != q:
             parent[q] = p
-            links.append((int(fps[x]), int(fps[y])))
-    return links
+            out.append((x, y))
+    return out
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints, enough of them to keep every component."""
-    ship_code(distinct.sparkSession)
-    lists = postings(distinct).groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+def list_links(lists: DataFrame) -> DataFrame:
+    """(a, b): the links of lists (mask, fps), a forest for each batch of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b)):
+            sizes = np.diff(batch.column("fps").offsets.to_numpy())
+            fps = batch.column("fps").flatten().to_numpy()
+            begin = np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), sizes) if len(sizes) else np.zeros(0, np.int64)
+            short = np.repeat(sizes <= LONG, sizes)
             found = []
-            for key, fps in zip(batch.column("key").to_pylist(), batch.column("fps"), strict=True):
-                found += list_links(key, fps.values.to_numpy(zero_copy_only=False))
-            a, b = zip(*found, strict=True) if found else ((), ())
+            for low, high in ((0, 16), (16, 128), (128, LONG)):
+                some = np.flatnonzero(short & np.repeat((sizes > low) & (sizes <= high), sizes))
+                if len(some):
+                    a, b = tallied(fps[some], begin[some], high)
+                    found.append((some[a], some[b]))
+            for k in np.flatnonzero(sizes > LONG).tolist():
+                at = int(sizes[:k].sum())
+                a, b = neighbours(batch.column("mask")[k].as_py(), fps[at : at + sizes[k]])
+                found.append((a + at, b + at))
+            a, b = (fps[np.concatenate(x)] for x in zip(*found, strict=True)) if found else (fps[:0], fps[:0])
+            links = forest(a, b)
+            a, b = zip(*links, strict=True) if links else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return lists.mapInArrow(run, "a bigint, b bigint")
+    return lists.select("mask", "fps").mapInArrow(run, "a bigint, b bigint")
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """(a, b): links between distinct fingerprints, enough of them to keep every component."""
+    ship_code(distinct.sparkSession)
+    scratch, out = Scratch(distinct.sparkSession), []
+    rows, last = distinct.select("fp", F.lit(0).alias("mask")), [m for m, g in GROUPS.items() if not g]
+    while True:
+        posted = postings(rows)
+        sizes = posted.groupBy("mask", "part").agg(F.count("*").alias("size")).where("size > 1")
+        posted = scratch.save(posted.join(sizes, ["mask", "part"]), "postings")
+        whole = (F.col("size") <= LONG) | F.col("mask").isin(last)
+        out.append(list_links(posted.where(whole).groupBy("mask", "part").agg(F.collect_list("fp").alias("fps"))))
+        rows = posted.where(~whole).select("fp", "mask")
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, out)
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:

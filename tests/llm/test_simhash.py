@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import random
+from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 from helpers import docs, empty, lower, words
 
-from sessionlake.llm import simhash
+from sessionlake.llm import queries, simhash
 from sessionlake.llm.common import Scratch
 
 
@@ -50,8 +52,21 @@ def classes(pairs):
     return {frozenset(c) for c in out.values() if len(c) > 1}
 
 
-def test_components(spark):
-    """Random walks of one to three bits, and a dense list of more than 64 that share six bytes."""
+def test_groups():
+    """Whatever two bytes a pair differs in, it shares a group of every set that it shares, down to six bytes."""
+    for differ in combinations(range(8), 2):
+        shared, todo = sum(1 << p for p in range(8) if p not in differ), [0]
+        while todo:
+            mask = todo.pop()
+            inside = [g for g in simhash.GROUPS[mask] if g & ~shared == 0]
+            assert inside or bin(mask).count("1") >= 6
+            todo += inside
+
+
+@pytest.mark.parametrize("long", [1024, 40, 3])
+def test_components(spark, monkeypatch, long):
+    """Random walks of one to three bits, and a dense list that shares six bytes, with lists parted early or late."""
+    monkeypatch.setattr(simhash, "LONG", long)
     rng = random.Random(2)
     prints = {rng.getrandbits(64) for _ in range(60)}
     for start in list(prints)[:12]:
@@ -78,3 +93,14 @@ def test_documents(spark):
     assert of == {5: 3, 3: 3, 9: 3, 7: 7, 8: 7, 2: 2}
     assert sorted((r.component_id or -1) for r in got if r.doc_id is None) == [-1, 3]
     assert simhash.near_duplicates(empty(spark)).count() == 0
+
+
+def test_query(spark):
+    """The registered query, against fingerprints and links made by hand."""
+    sf = "/root/testdata/sf0.001"
+    rows = {r.doc_id: brute(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    roots, least = close(set(rows.values())), {}
+    for d in sorted(rows):
+        least.setdefault(roots[rows[d]], d)
+    got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in queries.op2_simhash_near_dedup(spark, sf).collect())
+    assert got == sorted((d, f"{v:016x}", least[roots[v]]) for d, v in rows.items())
