@@ -15,6 +15,7 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -48,6 +49,8 @@ class Condition:
 
 
 Rule = tuple[Condition, ...]
+#: Number of a feature, whether its value is at least the threshold, and the threshold's number.
+Option = tuple[int, bool, int]
 
 
 def share(feature: str) -> Column:
@@ -101,57 +104,82 @@ def thresholds(labelled: DataFrame) -> dict[str, list[float]]:
     return made
 
 
-def cells(labelled: DataFrame, cuts: dict[str, list[float]]) -> list[tuple[tuple[int, ...], int, int, int]]:
-    """(bins, part, bad, good): counts of the labelled rows by cell; part 1 is for pruning."""
-    bins = [reduce(lambda a, b: a + b, [(share(f) >= F.lit(c)).cast("int") for c in cuts[f]], F.lit(0)).alias(f) for f in FEATURES]
-    part = (F.crc32(F.col("id").cast("string").cast("binary")) % 3 == 2).cast("int").alias("part")
-    rows = labelled.select(*bins, part, "good").groupBy(*FEATURES, "part").agg(F.sum(1 - F.col("good")).alias("bad"), F.sum("good").alias("good")).collect()
-    return sorted((tuple(r[f] for f in FEATURES), r["part"] or 0, int(r["bad"]), int(r["good"])) for r in rows)
+@dataclass
+class Cells:
+    """Counts of labelled rows by cell: bins (one row for each cell, one column for each feature), part, bad, good."""
+
+    bins: np.ndarray
+    part: np.ndarray
+    bad: np.ndarray
+    good: np.ndarray
+
+    def only(self, which: np.ndarray) -> Cells:
+        return Cells(self.bins[which], self.part[which], self.bad[which], self.good[which])
 
+    def holds(self, rule: list[Option]) -> np.ndarray:
+        out = np.ones(len(self.part), bool)
+        for k, up, b in rule:
+            out &= (self.bins[:, k] >= b) == up
+        return out
 
-def cover(table: list, cuts: dict[str, list[float]], max_rules: int = 12, max_conditions: int = 4, precision: float = 0.95, least: int = 5) -> list[Rule]:
-    """Sequential covering over the cells; see the module."""
-    names, left, rules = list(FEATURES), list(table), []
-    options = [(k, up, b) for k, f in enumerate(names) for b in range(1, len(cuts[f]) + 1) for up in (True, False)]
-    holds = lambda bins, o: (bins[o[0]] >= o[2]) == o[1]
+    def totals(self) -> tuple[int, int]:
+        return int(self.bad.sum()), int(self.good.sum())
 
-    def count(rows: list, rule: list, part: int) -> tuple[int, int]:
-        bad = good = 0
-        for bins, p, b, g in rows:
-            if p == part and all(holds(bins, o) for o in rule):
-                bad, good = bad + b, good + g
-        return bad, good
+    def by_option(self, cuts: list[int]) -> dict[Option, tuple[int, int]]:
+        """(bad, good) of the cells where each single condition holds; cuts: thresholds by feature."""
+        out, (bad, good) = {}, self.totals()
+        for k, n in enumerate(cuts):
+            b, g = (np.bincount(self.bins[:, k], x, n + 1)[::-1].cumsum()[::-1] for x in (self.bad, self.good))
+            for i in range(1, n + 1):
+                out[k, True, i] = (int(b[i]), int(g[i]))
+                out[k, False, i] = (bad - int(b[i]), good - int(g[i]))
+        return out
 
+
+def cells(labelled: DataFrame, cuts: dict[str, list[float]]) -> Cells:
+    """Counts of the labelled rows by cell; part 1 is for pruning."""
+    bins = [reduce(lambda a, b: a + b, [(share(f) >= F.lit(c)).cast("int") for c in cuts[f]], F.lit(0)).alias(f) for f in FEATURES]
+    part = F.coalesce((F.crc32(F.col("id").cast("string").cast("binary")) % 3 == 2).cast("int"), F.lit(0)).alias("part")
+    rows = labelled.select(*bins, part, "good").groupBy(*FEATURES, "part").agg(F.sum(1 - F.col("good")).alias("bad"), F.sum("good").alias("good")).toArrow()
+    order = np.lexsort([rows.column(c).to_numpy() for c in ("part", *reversed(FEATURES))])
+    column = lambda c: rows.column(c).to_numpy().astype(np.int64)[order]
+    return Cells(np.stack([column(f) for f in FEATURES], 1), column("part"), column("bad"), column("good"))
+
+
+def cover(table: Cells, cuts: dict[str, list[float]], max_rules: int = 12, max_conditions: int = 4, precision: float = 0.95, least: int = 5) -> list[Rule]:
+    """Sequential covering over the cells; see the module.
+
+    A list has at most max_rules rules of at most max_conditions conditions, so that it can be
+    read; a rule covers at least ``least`` bad rows, with the precision on the held-out
+    cells and on all. Of options with equal gain the first counts.
+    """
+    names, left, rules = list(FEATURES), table, []
+    sizes = [len(cuts[f]) for f in names]
     while len(rules) < max_rules:
-        rule, rows = [], [r for r in left if r[1] == 0]
-        bad, good = sum(r[2] for r in rows), sum(r[3] for r in rows)
+        rule, rows = [], left.only(left.part == 0)
+        bad, good = rows.totals()
         while good and bad and len(rule) < max_conditions:
-            best = (0.0, None, 0, 0)
-            for o in options:
-                b = g = 0
-                for r in rows:
-                    if holds(r[0], o):
-                        b, g = b + r[2], g + r[3]
-                gain = b * (math.log2(b / (b + g)) - math.log2(bad / (bad + good))) if b else 0.0
-                best = max(best, (gain, o, b, g), key=lambda x: x[0])
-            if best[1] is None or best[0] <= 1e-9:
+            gain = lambda b, g: b * (math.log2(b / (b + g)) - math.log2(bad / (bad + good))) if b else 0.0  # noqa: B023, E731
+            options = rows.by_option(sizes)
+            best = max(options, key=lambda o: gain(*options[o]))
+            if gain(*options[best]) <= 1e-9:
                 break
-            _, o, bad, good = best
-            rule.append(o)
-            rows = [r for r in rows if holds(r[0], o)]
+            rule.append(best)
+            rows = rows.only(rows.holds([best]))
+            bad, good = rows.totals()
         if not rule:
             break
         worth = []
         for n in range(1, len(rule) + 1):
-            b, g = count(left, rule[:n], 1)
+            b, g = left.only((left.part == 1) & left.holds(rule[:n])).totals()
             worth.append(((b - g) / (b + g) if b + g else -1.0, -n))
         rule = rule[: -max(worth)[1]]
-        pruned, grown = count(left, rule, 1), count(left, rule, 0)
-        b, g = pruned[0] + grown[0], pruned[1] + grown[1]
-        if b < least or pruned[0] < precision * sum(pruned) or b < precision * (b + g):
+        covered = left.holds(rule)
+        held, (b, g) = left.only(covered & (left.part == 1)).totals(), left.only(covered).totals()
+        if b < least or held[0] < precision * sum(held) or b < precision * (b + g):
             break
         rules.append(tuple(Condition(names[k], up, cuts[names[k]][n - 1]) for k, up, n in rule))
-        left = [r for r in left if not all(holds(r[0], o) for o in rule)]
+        left = left.only(~covered)
     return rules
 
 

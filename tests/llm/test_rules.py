@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from helpers import docs, empty, words
 
 from sessionlake.llm import queries, rules
@@ -45,6 +46,43 @@ def test_learning(spark):
     assert rules.judge(empty(spark), labels).count() == 0
 
 
+def kind_of_text(rng, kind):
+    """Texts of which symbols with long words, and short words without symbols, are good."""
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    long = kind in ("plain", "long-symbols", "upper", "echo")
+    words = [word(rng.randint(6, 9) if long else rng.randint(2, 3)) for _ in range(rng.randint(40, 80))]
+    if "symbols" in kind:
+        words = [f"{w} |" if i % 3 == 0 else w for i, w in enumerate(words)]
+    if kind == "echo":
+        words = [x for w in words for x in ([w, w] if rng.random() < 0.5 else [w])]
+    return " ".join(words).upper() if kind == "upper" else " ".join(words)
+
+
+def test_several_rules(spark):
+    """Three kinds of bad texts, one of them only told by two conditions together."""
+    rng = random.Random(5)
+    bad = ("short-symbols", "upper", "echo")
+    kinds = [k for k in ("plain", "long-symbols", "short", *bad) for _ in range(150)]
+    rows = [(i, kind_of_text(rng, k)) for i, k in enumerate(kinds)]
+    labels = spark.createDataFrame([(i, int(k not in bad)) for i, k in enumerate(kinds)], "doc_id bigint, quality int")
+    found = rules.learn(rules.with_stats(docs(spark, rows)), labels)
+    assert len(found) >= 3 and max(map(len, found)) >= 2
+    more = [(i, kind_of_text(rng, k)) for i, k in enumerate(kinds)]
+    judged = rules.with_stats(docs(spark, more)).select("doc.doc_id", rules.verdict(found).alias("kept")).collect()
+    wrong = [r.doc_id for r in judged if r.kept != (kinds[r.doc_id] not in bad)]
+    assert len(wrong) <= 0.02 * len(kinds), (found, Counter(kinds[d] for d in wrong))
+
+
+def test_cover_by_hand():
+    """Options are counted as by a loop over the cells."""
+    rng = np.random.default_rng(6)
+    table = rules.Cells(rng.integers(0, 4, (200, 6)), rng.integers(0, 2, 200), rng.integers(0, 9, 200), rng.integers(0, 9, 200))
+    for (k, up, b), counts in table.by_option([3] * 6).items():
+        rows = [i for i in range(200) if (table.bins[i, k] >= b) == up]
+        assert counts == (table.bad[rows].sum(), table.good[rows].sum())
+    assert rules.cover(table.only(np.zeros(200, bool)), {f: [0.1, 0.2, 0.3] for f in rules.FEATURES}) == []
+
+
 def test_verdict_is_native(spark):
     found = rules.verdict([(rules.Condition("symbol_share", True, 0.1), rules.Condition("mean_word_chars", False, 3.0)), (rules.Condition("upper_share", True, 0.5),)])
     frame = spark.createDataFrame([(10, 20, 5, 0, 0, 0, 0, 1), (10, 40, 5, 0, 0, 0, 0, 1), (10, 40, 0, 0, 0, 30, 0, 1), (0, 0, 0, 0, 0, 0, 0, 0)], ", ".join(f"{c} bigint" for c in rules.STATS))
