@@ -20,9 +20,9 @@ MAX_BROADCAST_ROWS = 100_000
 
 # Lines that start so are copyright notices and don't count. A wrapped line of a
 # licence's body may start with the word copyright, or with (c) as the mark of an item.
-NOTICE_LINE = r"^[ \t\r]*(copyright[ \t]*(\(c\)|©|[<\[]|[0-9]{4})|\(c\)(?![ \t]+you must)|©|all rights reserved)"
-# The wider rule of the SQL; on the test tables it drops the same lines.
-COPYRIGHT_LINE = r"^[ \t\r]*(copyright|\(c\)|©|all rights reserved)"
+NOTICE_LINE = r"^[ \t\r]*(copyright[ \t]*(\(c\)|©|[<\[]|[0-9]{4})|\(c\)|©|all rights reserved)"
+ITEM_LINE = r"^[ \t\r]*\(c\)[ \t]+you must"
+NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Spellings that licence-matching guidelines treat as equal.
 EQUIVALENT = (
@@ -58,7 +58,7 @@ EQUIVALENT = (
     ("signalling", "signaling"),
     ("utilisation", "utilization"),
     ("whilst", "while"),
-    ("wilful", "wilfull"),
+    ("wilful", "willful"),
 )
 # The same for phrases of several words.
 EQUIVALENT_PHRASES = (("sub license", "sublicense"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("copyright owner", "copyright holder"))
@@ -109,11 +109,13 @@ def known_texts() -> list[tuple[str, str]]:
 
 def canonical(text: Column) -> Column:
     """The normal form: words of letters, digits and non-ASCII characters, one space apart."""
-    lines = F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "\n"), lambda x: ~x.rlike(NOTICE_LINE))
-    spaced = F.concat(F.lit("  "), F.regexp_replace(F.array_join(lines, "\n"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  "), F.lit("  "))
-    for a, b in EQUIVALENT:
-        spaced = F.replace(spaced, F.lit(f" {a} "), F.lit(f" {b} "))
-    single = F.regexp_replace(spaced, " +", " ")
+    notice = lambda x: x.rlike(NOTICE_LINE) & ~x.rlike(ITEM_LINE)
+    lines = F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "\n"), lambda x: ~notice(x))
+    words = F.filter(F.split(F.array_join(lines, "\n"), NOT_WORD), lambda w: w != "")
+    same = F.create_map(*[F.lit(v) for pair in EQUIVALENT for v in pair])
+    least, most = (f(len(a) for a, _ in EQUIVALENT) for f in (min, max))
+    spelt = F.transform(words, lambda w: F.when(F.length(w).between(least, most), F.coalesce(F.try_element_at(same, w), w)).otherwise(w))
+    single = F.concat(F.lit(" "), F.array_join(spelt, " "), F.lit(" "))
     for a, b in EQUIVALENT_PHRASES:
         single = F.replace(single, F.lit(f" {a} "), F.lit(f" {b} "))
     return F.btrim(single)
@@ -139,14 +141,15 @@ def scan(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_id"
 
 
 def sql() -> str:
-    """The same in DuckDB SQL over the table documents, with COPYRIGHT_LINE and the texts of KNOWN."""
+    """The same in DuckDB SQL over the table documents."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    expr = "  ".join(("'  ' || regexp_replace(array_to_string(list_filter(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)),", f"lambda x: not regexp_matches(x, {quote(COPYRIGHT_LINE)})), chr(10)), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', '  ', 'g') || '  '"))
+    notice = f"regexp_matches(x, {quote(NOTICE_LINE)}) and not regexp_matches(x, {quote(ITEM_LINE)})"
+    expr = f"'  ' || regexp_replace(array_to_string(list_filter(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)), lambda x: not ({notice})), chr(10)), {quote(NOT_WORD)}, '  ', 'g') || '  '"
     for a, b in EQUIVALENT:
         expr = f"replace({expr}, ' {a} ', ' {b} ')"
     expr = f"regexp_replace({expr}, ' +', ' ', 'g')"
     for a, b in EQUIVALENT_PHRASES:
         expr = f"replace({expr}, ' {a} ', ' {b} ')"
     digest = f"sha256(trim({expr}))"
-    values = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN)
+    values = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in known_texts())
     return f"with k as (select min(license_id) as license_id, digest from (select license_id, {digest} as digest from (values {values}) as v(license_id, text)) group by digest), d as (select doc_id, {digest} as digest from documents) select doc_id, digest, license_id from d left join k using (digest)"
