@@ -10,14 +10,16 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from sessionlake.scratch import Scratch, clear_scratch, shared_dir
 
-__all__ = ["Scratch", "ascii_lower", "clear_scratch", "row_key", "shared_dir", "ship_code", "slices", "word_chunks", "words_of"]
+__all__ = ["Scratch", "ascii_lower", "clear_scratch", "row_key", "shared_dir", "ship_code", "slices", "within", "word_chunks", "words_of"]
 
+#: Rows of ids or digests (some tens of MB) up to which a side of a join is broadcast.
+MAX_BROADCAST_ROWS = 500_000
 #: The characters that separate words in the whitespace-word operators.
 WORD_SPACE = "\\x20\\x09-\\x0D"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -77,6 +79,11 @@ def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+def within(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows; a join with more goes by shuffle. df is read twice."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """Tells apart rows that share a doc_id; rows equal in doc_id and text share a key, copies don't."""
     return F.xxhash64(doc_id, doc_id.isNull(), F.coalesce(text, F.lit("")), text.isNull())

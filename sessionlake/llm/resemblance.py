@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from sessionlake.llm.common import Scratch, ship_code, slices, word_chunks
+from sessionlake.llm.common import Scratch, ship_code, slices, within, word_chunks
 from sessionlake.llm.simhash import components, fingerprint
 from sessionlake.llm.simhash import links as simhash_links
 from sessionlake.llm.windows import SIEVE_BITS, Sieve, build_sieve, mix
@@ -35,10 +35,12 @@ from sessionlake.llm.windows import SIEVE_BITS, Sieve, build_sieve, mix
 SHINGLE, SIMILARITY = 5, 0.8
 #: The share of a set's shingles that the sieve has to find elsewhere.
 EXTRA = 0.1
-#: Times that lists are compared with one member before pairs are.
+#: Times that lists are compared with one member before pairs are: any member, or one from outside the first component.
 HEADS = 3
 #: Members of a list that one task pairs with as many others.
 CHUNK = 1024
+#: Bits of a set's parity sketch: each is whether the number of shingles that hash to it is odd.
+SKETCH = 512
 _U = np.uint64
 _SLOT = _U((1 << SIEVE_BITS) - 1)
 
@@ -119,8 +121,14 @@ def count_prefixes(found: DataFrame) -> DataFrame:
     return found.select("prefix").mapInArrow(run, "key bigint, n bigint")
 
 
+def parity(grams: np.ndarray) -> bytes:
+    """A sketch of which two differ in no more bits than their sets differ in shingles."""
+    odd = np.bincount((grams >> _U(32)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
 def sets_left(docs: DataFrame, text: str, sieve: Sieve, width: int, similarity: float) -> DataFrame:
-    """(node, n, grams) of the texts that the sieve leaves, each once."""
+    """(node, n, grams, sketch) of the texts that the sieve leaves, each once."""
     sent = docs.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,10 +143,11 @@ def sets_left(docs: DataFrame, text: str, sieve: Sieve, width: int, similarity:
             sizes = [len(g) for g in left.values()]
             flat = pa.array(np.concatenate(list(left.values())).view(np.int64) if left else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(list(left), pa.int64()), pa.array(sizes, pa.int32()), lists], names=["node", "n", "grams"])
+            odd = pa.array([parity(g) for g in left.values()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(left), pa.int64()), pa.array(sizes, pa.int32()), lists, odd], names=["node", "n", "grams", "sketch"])
 
-    some = docs.select(node(F.col(text)).alias("node"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "node bigint, n int, grams array<bigint>")
-    return some.groupBy("node").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
+    some = docs.select(node(F.col(text)).alias("node"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "node bigint, n int, grams array<bigint>, sketch binary")
+    return some.groupBy("node").agg(F.first("n").alias("n"), F.first("grams").alias("grams"), F.first("sketch").alias("sketch"))
 
 
 def postings(sets: DataFrame, similarity: float) -> DataFrame:
@@ -161,7 +170,9 @@ def may_be_alike(a: Column, b: Column, similarity: float) -> Column:
 
 
 def verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of those pairs of nodes whose sets are alike."""
+    """(a, b) of those pairs of nodes whose sets are alike; sets that are in no pair are not moved."""
+    ids = within(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = sets.join(ids, "node", "left_semi")
     sides = [sets.select(F.col("node").alias(c), F.col("grams").alias(f"g{c}")) for c in "ab"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +187,9 @@ def verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
 def across(lists: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: pairs of postings in different components that may be alike.
 
-    lists: members (node, n, at, root, chunk) of two chunks of a list, or of one and the same.
+    lists: members (node, n, at, root, chunk, sketch) of two chunks of a list, or of one and the
+    same. A pair is left out if its places leave no room for enough shared shingles, or if its
+    sketches differ in more bits than sets that are alike do in shingles.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +197,17 @@ def across(lists: DataFrame, similarity: float) -> DataFrame:
             found, size = [], 0
             for members in batch.column("members"):
                 ids, n, at, root, chunk = (members.values.field(k).to_numpy() for k in ("node", "n", "at", "root", "chunk"))
+                odd = np.frombuffer(b"".join(members.values.field("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
                 mixed = chunk.min() != chunk.max()
                 for i in range(len(ids) - 1):
                     rest = slice(i + 1, None)
-                    fits = (root[rest] != root[i]) & (np.minimum(n[rest] - at[rest], n[i] - at[i]) >= (n[rest] + n[i]) * (similarity / (1 + similarity)) - 1e-9)
+                    least = np.ceil((n[rest] + n[i]) * (similarity / (1 + similarity)) - 1e-9)
+                    fits = (root[rest] != root[i]) & (np.minimum(n[rest] - at[rest], n[i] - at[i]) >= least)
                     if mixed:
                         fits &= chunk[rest] != chunk[i]
-                    other = ids[rest][fits]
+                    some = np.flatnonzero(fits)
+                    some = some[np.bitwise_count(odd[rest][some] ^ odd[i]).sum(1) <= (n[rest] + n[i] - 2 * least)[some]]
+                    other = ids[rest][some]
                     found.append(np.stack([np.minimum(other, ids[i]), np.maximum(other, ids[i])], 1))
                     size += len(other)
                 if size >= 1 << 16:
@@ -217,7 +234,9 @@ def alike_links(docs: DataFrame, found: DataFrame, text: str, width: int, simila
     roots = components(scratch, edges)
     for k in range(HEADS):
         members = index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = members.groupBy("gram").agg(F.min_by(entry, F.xxhash64("node", F.lit(k))).alias("head"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+        mixed = members.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+        some = members.join(mixed, "gram").where(F.lit(k % 2 == 0) | (F.col("root") != F.col("lo")))
+        mixed = some.groupBy("gram").agg(F.min_by(entry, F.xxhash64("node", F.lit(k))).alias("head"))
         pairs = members.select("gram", entry.alias("e")).join(mixed, "gram").where((F.col("e.root") != F.col("head.root")) & may_be_alike(F.col("e"), F.col("head"), similarity))
         pairs = scratch.save(pairs.select(F.least("e.node", "head.node").alias("a"), F.greatest("e.node", "head.node").alias("b")).distinct(), "pairs")
         good = scratch.save(verified(sets, pairs, similarity), "links")
@@ -228,8 +247,8 @@ def alike_links(docs: DataFrame, found: DataFrame, text: str, width: int, simila
     members = scratch.save(index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
     mixed = members.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gram")
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    parts = members.join(mixed, "gram").withColumn("chunk", F.pmod(F.hash("node"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    parts = parts.groupBy("gram", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")).agg(F.collect_list(F.struct("node", "n", "at", "root", "chunk")).alias("members"))
+    parts = members.join(mixed, "gram").join(sets.select("node", "sketch"), "node").withColumn("chunk", F.pmod(F.hash("node"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    parts = parts.groupBy("gram", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")).agg(F.collect_list(F.struct("node", "n", "at", "root", "chunk", "sketch")).alias("members"))
     rest = scratch.save(across(parts, similarity).distinct(), "pairs")
     more = scratch.save(verified(sets, rest, similarity), "links")
     if not more.isEmpty():
