@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from sessionlake.llm import decontam, packing, pii, resemblance, rules
-from sessionlake.llm.common import Scratch, row_key
+from sessionlake.llm.common import Scratch, row_key, within
 from sessionlake.llm.queries import tokenizer_files
 
 
@@ -54,11 +54,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = scratch.save(known.join(names, "root").select("root", "d", "n", "times", F.col("d").eqNullSafe(F.col("first.d")).alias("stays")), "named")
     same = F.col("d").eqNullSafe(F.col("other_d")) & (F.col("n") == F.col("other_n"))
     mine = [F.col(c).alias(f"other_{c}") for c in ("root", "d", "n")]
-    kept = rows.join(named.where("not stays").select(*mine), same, "left_anti")
+    kept = rows.join(within(named.where("not stays").select(*mine)), same, "left_anti")
     again = named.where("stays").groupBy("root").agg(F.sum("times").alias("size")).where("size > 1")
     again = scratch.save(named.where("stays").join(again, "root").select(*mine), "again")
     if again.isEmpty():
         return kept.select("doc.*")
+    again = within(again)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     order = F.struct(*[F.col(f"doc.`{c}`") for c in ("text", "doc_id", *rest)])
     one = kept.join(again, same).groupBy("other_root").agg(F.min(F.struct(order.alias("o"), "doc")).alias("least"))
@@ -75,6 +76,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit > 0")
     found = found.select(F.col("doc_id").alias("other_d"), F.col("rk").alias("other_r")).distinct()
     rows = _rows(docs, d=F.col("doc_id"), r=row_key(F.col("doc_id"), F.col("text")))
+    found = within(Scratch(spark).save(found, "found"))
     return rows.join(found, F.col("d").eqNullSafe(F.col("other_d")) & (F.col("r") == F.col("other_r")), "left_anti").select("doc.*")
 
 
