@@ -7,18 +7,13 @@ table, notes are documents or markdown lines made from events. Every clock is a
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionlake.catalogue import ORACLE_SQL, QUERIES, query, table
 from sessionlake.functions import text as x
 from sessionlake.operators import daily, decay, dedup, index, ledger, merge, pending, usage
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 # Analog inputs, the same text in both dialects.
 DAILY_LINE = """CASE event_id % 12
  WHEN 0 THEN '# ' || CAST(CAST(ts AS DATE) AS STRING) WHEN 1 THEN '## Learnings'
@@ -37,20 +32,6 @@ NOISE_SQL = "(starts_with(t, 'Base directory for this skill:') or contains(subst
 KEYWORDS_SQL = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9_]+'), lambda t: len(t) > 2 and not list_contains([" + ", ".join(f"'{w}'" for w in x.STOPWORDS) + "], t)))"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def note(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return note
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def daily_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.expr("CAST(CAST(ts AS DATE) AS STRING)").alias("day"), F.col("event_id").alias("line_no"), F.expr(DAILY_LINE).alias("line"))
 
@@ -63,10 +44,15 @@ def work_day_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day")).distinct()
 
 
-@query("select conv_id, count(*) as n_messages, cast(sum(strlen(text)) as bigint) as n_bytes, cast(sum(length(text) // 4) as bigint) as n_tokens from conversations where role <> 'user' and text <> '' and not " + NOISE_SQL.replace("(t,", "(text,").replace("(t)", "(text)") + " group by conv_id")
+@query("select conv_id, count(*) as n_messages, cast(sum(strlen(text)) as bigint) as n_bytes, cast(sum(length(text) // 4) as bigint) as n_tokens, sha256(string_agg(role || chr(10) || text, chr(10) order by turn)) as messages_sha256 from conversations where role <> 'user' and text <> '' and not " + NOISE_SQL.replace("(t,", "(text,").replace("(t)", "(text)") + " group by conv_id")
 def session_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where((F.col("role") != "user") & (F.col("text") != "") & ~x.is_noise("text"))
-    return rows.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.sum(F.octet_length("text")).cast("bigint").alias("n_bytes"), F.sum(x.estimate_tokens("text")).alias("n_tokens"))
+    """Each session's extract, its messages in order as a digest."""
+    talk = table(spark, sf_dir, "conversations").select(F.lit("p").alias("project_hash"), F.col("conv_id").alias("session_id"), F.col("turn").alias("line_no"), "role", F.col("text").alias("content"))
+    said = talk.where((F.col("role") != "user") & (F.col("content") != "") & ~x.is_noise("content"))
+    found = pending.extract(talk.select("project_hash", "session_id").distinct(), said)
+    total = lambda f: F.aggregate("messages", F.lit(0).cast("bigint"), lambda a, m: a + f(m["content"]))
+    order = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("\n"), m["content"])), "\n")
+    return found.select(F.col("session_id").alias("conv_id"), F.col("message_count").alias("n_messages"), total(lambda c: F.octet_length(c).cast("bigint")).alias("n_bytes"), total(x.estimate_tokens).alias("n_tokens"), F.sha2(order, 256).alias("messages_sha256"))
 
 
 @query(f"with c as (select conv_id, turn, {MARKED} as t from conversations) select conv_id, turn, {NOISE_SQL} as noise from c")
@@ -141,13 +127,13 @@ def calendar_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""with n as (select 'u' || cast(user_id as varchar) as file, event_id as line_no, {NOTE_LINE} as line from events),
  s as (select *, coalesce(last_value(case when starts_with(line, '## ') then trim(line) end ignore nulls) over (partition by file order by line_no), '') as section from n),
  i as (select *, section in ('## Key Learnings', '## Key Decisions') and starts_with(line, '- ') as item, try_cast(nullif(regexp_extract(line, '\\((\\d{{4}}-\\d{{2}}-\\d{{2}})\\)', 1), '') as date) as d from s),
- w as (select distinct 'u' || cast(user_id as varchar) as file, cast(ts as date) as day from events where user_id < 60),
+ w as (select distinct 'u' || cast(user_id as varchar) as file, cast(ts as date) as day from events where event_type < 'm'),
  a as (select i.file, line_no, count(w.day) as after from i left join w on w.file = i.file and w.day > i.d group by all)
  select i.file, i.line_no, i.section, case when item and d is not null and (case when exists (select 1 from w where w.file = i.file) then after >= 8 else d < date '2024-01-25' - 10 end) then 'archive' else 'keep' end as action
  from i join a on a.file = i.file and a.line_no = i.line_no"""
 )
 def decay_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = work_day_table(spark, sf_dir).where("user_id < 60").select(F.expr("'u' || CAST(user_id AS STRING)").alias("file"), "day")
+    days = table(spark, sf_dir, "events").where("event_type < 'm'").select(F.expr("'u' || CAST(user_id AS STRING)").alias("file"), F.to_date("ts").alias("day")).distinct()
     rows = decay.classify(note_lines(spark, sf_dir), F.to_date(F.lit("2024-01-25")), 10, days, 8)
     return rows.select("file", "line_no", "section", "action")
 
@@ -310,12 +296,16 @@ def routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.route(daily_lines(spark, sf_dir), names)
 
 
-@query("select '-c' || c_custkey as project_hash, c_name as original_path, 0 as file_count, cast(0 as bigint) as bytes from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F') and c_acctbal >= 0")
+@query(
+    """select '-c' || c_custkey as project_hash, c_name as original_path, cast(count(o_orderkey) as integer) as file_count, cast(coalesce(sum(o_orderkey), 0) as bigint) as bytes
+ from customer left join orders on o_custkey = c_custkey where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F') and c_acctbal >= 0 group by all"""
+)
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     folders = table(spark, sf_dir, "customer").select(F.expr("'-c' || c_custkey").alias("project_hash"), F.col("c_name").alias("original_path"), "c_acctbal")
     projects = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.array(F.expr("'-c' || o_custkey")).alias("encoded_paths"))
     existing = folders.where("c_acctbal < 0").select(F.col("original_path").alias("path"))
-    found = index.orphans(folders.drop("c_acctbal"), projects, existing, folders.limit(0).select("project_hash", F.lit(1).cast("bigint").alias("size")))
+    files = table(spark, sf_dir, "orders").select(F.expr("'-c' || o_custkey").alias("project_hash"), F.col("o_orderkey").cast("bigint").alias("size"))
+    found = index.orphans(folders.drop("c_acctbal"), projects, existing, files)
     return found.select("project_hash", "original_path", F.col("file_count").cast("int").alias("file_count"), "bytes")
 
 

@@ -7,7 +7,7 @@ import os
 import time
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager, suppress
+from contextlib import contextmanager
 from pathlib import Path
 from typing import Any
 
@@ -57,43 +57,65 @@ def write_document(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
-@contextmanager
-def locked(spark: SparkSession, path: str, wait: float = 10.0, stale: float = 60.0) -> Iterator[None]:
-    """Holds path + ".lock", a file that only one writer can create; TimeoutError after wait seconds.
+class _Mark:
+    """A file that only one writer can create."""
 
-    A lock older than stale seconds was left behind and is taken away.
-    """
-    where, local = _store(spark, path + ".lock")
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, path: str):
+        self.where, self.local = _store(spark, path)
+        self.fs = self.where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def taken() -> bool:
+    def create(self) -> bool:
         try:
-            if local:
-                os.makedirs(os.path.dirname(local), exist_ok=True)
-                os.close(os.open(local, os.O_CREAT | os.O_EXCL))
+            if self.local:
+                os.makedirs(os.path.dirname(self.local), exist_ok=True)
+                os.close(os.open(self.local, os.O_CREAT | os.O_EXCL))
             else:
-                fs.create(where, False).close()
+                self.fs.create(self.where, False).close()
         except FileExistsError:
-            return True
+            return False
         except Exception as e:  # the JVM's
             if "AlreadyExists" in str(e):
-                return True
+                return False
             raise
-        return False
+        return True
+
+    def older(self, seconds: float) -> bool:
+        try:
+            at = os.stat(self.local).st_mtime if self.local else self.fs.getFileStatus(self.where).getModificationTime() / 1000
+        except Exception:  # it has gone meanwhile
+            return False
+        return time.time() - at > seconds
+
+    def delete(self) -> None:
+        self.fs.delete(self.where, False)
+
+
+@contextmanager
+def locked(spark: SparkSession, path: str, wait: float = 10.0, stale: float = 60.0) -> Iterator[None]:
+    """Holds path + ".lock", a file that only one writer can create; TimeoutError after wait seconds.
 
+    A lock older than stale seconds was left behind. Only who holds path + ".unlock" may take
+    it away, and looks at its age again first, so that a lock made meanwhile stays.
+    """
+    lock, breaker = _Mark(spark, path + ".lock"), _Mark(spark, path + ".unlock")
     until = time.monotonic() + wait
-    while taken():
-        with suppress(Exception):  # it may go meanwhile
-            if time.time() - (os.stat(local).st_mtime if local else fs.getFileStatus(where).getModificationTime() / 1000) > stale:
-                fs.delete(where, False)
-                continue
+    while not lock.create():
+        if lock.older(stale) and breaker.create():
+            try:
+                if lock.older(stale):
+                    lock.delete()
+            finally:
+                breaker.delete()
+            continue
+        if breaker.older(stale):
+            breaker.delete()
         if time.monotonic() > until:
             raise TimeoutError(f"{path} is locked")
         time.sleep(0.05)
     try:
         yield
     finally:
-        fs.delete(where, False)
+        lock.delete()
 
 
 def save_json(spark: SparkSession, path: str, value: object, indent: int = 2) -> bool:

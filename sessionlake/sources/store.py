@@ -90,6 +90,10 @@ class Store:
         if not fs.rename(a, b):
             raise OSError(f"{source} can't be moved to {target}")
 
+    def set_time(self, path: str, millis: int) -> None:
+        fs, where = self._at(path)
+        fs.setTimes(where, millis, -1)
+
     def delete(self, path: str) -> None:
         fs, where = self._at(path)
         fs.delete(where, True)

@@ -18,7 +18,7 @@ def read_sessions_indexes(spark: SparkSession, projects: str) -> DataFrame:
     """(project_hash, original_path, pos, entry): all index entries; malformed files give none."""
     files = read_whole(spark, f"{projects}/*/sessions-index.json")
     doc = F.from_json("value", schemas.SESSIONS_INDEX)
-    docs = files.select(folder().alias("project_hash"), doc.alias("d")).where("d is not null")
+    docs = files.where(F.try_parse_json("value").isNotNull()).select(folder().alias("project_hash"), doc.alias("d")).where("d is not null")
     path = F.coalesce(F.nullif("d.originalPath", F.lit("")), F.get("d.entries", F.lit(0))["projectPath"])
     return docs.select("project_hash", path.alias("original_path"), F.posexplode_outer("d.entries").alias("pos", "entry"))
 

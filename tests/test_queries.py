@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from oracle import connect, same
 
-from sessionlake import queries
+from sessionlake import queries, tree_queries  # noqa: F401  (adds its own to the catalogue)
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,6 +24,6 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     df = entry.entry(spark)
-    assert df.columns == ["conv_id", "n_messages", "n_bytes", "n_tokens"]
+    assert df.columns == ["conv_id", "n_messages", "n_bytes", "n_tokens", "messages_sha256"]
     assert df.count() > 0
     assert set(queries.QUERIES) <= set(entry.queries())
