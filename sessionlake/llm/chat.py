@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from sessionlake.llm.common import ship_code
 
@@ -131,7 +132,8 @@ def json_parts(text: str | None) -> list[dict]:
 def format_chat(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text", typed: bool = True, loss_roles: tuple[str, ...] = ("assistant",), costs: Costs | None = None) -> DataFrame:
     """One row for each conversation: its key, template text, loss spans, attachments.
 
-    content: a string column (with typed, a JSON array of typed parts is flattened part by
+    content: an array of typed parts (structs with type and text, ref, width, height, seconds or
+    pages), or a string column (with typed, a JSON array of typed parts is flattened part by
     part; without, every string is plain text). Turns go in order of turn, then role, then
     content, nulls first; repeated rows are repeated turns. Null role or content is the
     empty string; null conv_id is a conversation of its own; a part that lacks a field
@@ -141,6 +143,13 @@ def format_chat(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     """
     ship_code(messages.sparkSession)
     costs, roles, key = costs or Costs(), frozenset(loss_roles), messages.schema[conv].dataType
+    listed = isinstance(messages.schema[content].dataType, ArrayType)
+
+    def parts_of(value: str | list[dict] | None) -> list[dict]:
+        if listed:
+            return [p or {} for p in value or ()]
+        return json_parts(value) if typed else [{"type": "text", "text": value}]
+
     turns = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.col(role).alias("r"), F.col(content).alias("c"))))
     grouped = messages.groupBy(F.col(conv).alias("conv_id")).agg(turns.alias("turns"))
 
@@ -149,7 +158,7 @@ def format_chat(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 some = batch.slice(lo, 512)
-                rows = [format_turns([{"role": t["r"], "parts": json_parts(t["c"]) if typed else [{"type": "text", "text": t["c"]}]} for t in turns], roles, costs) for turns in some.column("turns").to_pylist()]
+                rows = [format_turns([{"role": t["r"], "parts": parts_of(t["c"])} for t in turns], roles, costs) for turns in some.column("turns").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [some.column("conv_id"), pa.array([r["n_turns"] for r in rows], pa.int64()), pa.array([r["formatted"] for r in rows], pa.string()), pa.array([r["loss_spans"] for r in rows], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array([r["attachments"] for r in rows], pa.list_(kind)), pa.array([r["expanded_tokens"] for r in rows], pa.int64())],
                     names=["conv_id", "n_turns", "formatted", "loss_spans", "attachments", "expanded_tokens"],

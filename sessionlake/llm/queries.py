@@ -23,7 +23,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats every conversation and reads turns and loss text back from the output."""
     messages = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", INJECTION), (-1, 1, "assistant", INJECTION)], messages.schema)
-    chats = chat.format_chat(messages.unionByName(extra), typed=False)
+    part = F.struct(F.lit("text").alias("type"), "text")
+    chats = chat.format_chat(messages.unionByName(extra).withColumn("parts", F.array(part)), content="parts")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,6 +136,23 @@ def op6_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP6_SQL = r"""
+with d as (
+  select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), win as (
+  select rid, p, row_number() over (partition by array_to_string(w[p:p + 19], ' ') order by doc_id, p) as k from (select rid, doc_id, w, unnest(range(1, len(w) - 18)) as p from d where len(w) >= 20)
+), gone as (
+  select distinct rid, q from (select rid, unnest(range(p, p + 20)) as q from win where k > 1)
+), kept as (
+  select rid, string_agg(word, ' ' order by q) as text from (select rid, unnest(w) as word, unnest(range(1, len(w) + 1)) as q from d) a where not exists (select 1 from gone where gone.rid = a.rid and gone.q = a.q) group by rid
+), n as (
+  select rid, count(*) as n from gone group by rid
+)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(text, '')) as kept_sha256
+from d left join n using (rid) left join kept using (rid)
+"""
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical digest of every document and the licence that it is, if any."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
@@ -146,6 +164,26 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP8_SQL = """
+with d as (
+  select row_number() over () as rid, doc_id, encode(coalesce(text, '')) as b, hex(coalesce(text, '')) as h, strlen(coalesce(text, '')) as n from documents
+), win as (
+  select rid, p, md5(b[p:p + 199]) as t from (select rid, b, unnest(range(1, n - 198)) as p from d where n >= 200)
+), rep as (
+  select rid, p from (select rid, p, count(*) over (partition by t) as k from win) where k > 1
+), part as (
+  select rid, p, sum(fresh) over (partition by rid order by p) as g from (select rid, p, case when p - lag(p) over (partition by rid order by p) <= 200 then 0 else 1 end as fresh from rep)
+), runs as (
+  select rid, min(p) as a, max(p) + 199 as z from part group by rid, g
+), cut as (
+  select rid, count(*) as n_spans, sum(z - a + 1) as n_removed, string_agg(substr(h, 2 * last + 1, 2 * (a - 1 - last)), '' order by a) || substr(any_value(h), 2 * max(z) + 1) as kept
+  from (select rid, a, z, coalesce(lag(z) over (partition by rid order by a), 0) as last from runs) join d using (rid) group by rid
+)
+select doc_id, cast(n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
+from d left join cut using (rid)
+"""
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from those that aren't held out."""
     return langid.identify(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "accepted")
@@ -176,4 +214,4 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op7_license_scan": licenses.sql()}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op6_superkmer_dedup": OP6_SQL, "op7_license_scan": licenses.sql(), "op8_suffix_dedup": OP8_SQL}

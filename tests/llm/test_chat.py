@@ -38,3 +38,16 @@ def test_parts(spark):
     assert chat.parse_chat(got[2].formatted) == [("", ""), ("user", "[1]")]
     assert got[None].n_turns == 1
     assert chat.format_chat(frame.limit(0)).count() == 0
+
+
+def test_parts_as_columns(spark):
+    """Typed parts as an array of structs give what the same parts as JSON do; long texts and empty lists too."""
+    long = "<|x|> é " * 200_000
+    rows = [(1, 0, "user", [("text", "see ", None, None), ("image", None, "a.png", 600), ("text", "end", None, None)]), (1, 1, "assistant", [("text", long, None, None)]), (2, 0, "user", []), (2, 1, "user", None), (3, 0, "user", [None])]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, parts array<struct<type:string,text:string,ref:string,width:bigint>>")
+    got = {r.conv_id: r for r in chat.format_chat(frame, content="parts").collect()}
+    texts = spark.createDataFrame([(c, t, r, json.dumps([dict(zip(("type", "text", "ref", "width"), p)) for p in parts])) for c, t, r, parts in rows[:2]], "conv_id bigint, turn bigint, role string, text string")
+    assert chat.format_chat(texts).first().formatted == got[1].formatted
+    assert [(a.kind, a.ref, a.n_tokens) for a in got[1].attachments] == [("image", "a.png", 512)]
+    assert chat.loss_text(got[1].formatted, got[1].loss_spans) == long
+    assert chat.parse_chat(got[2].formatted) == [("user", ""), ("user", "")] and chat.parse_chat(got[3].formatted) == [("user", "")]

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -56,3 +58,66 @@ def test_edges(spark):
     assert not next(a for d, _, a in got if d == 103)
     assert {r.lang_pred for r in langid.identify(frame.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.identify(frame.limit(0)).count() == 0
+
+
+def kneser_ney(counts):
+    """Interpolated Kneser-Ney written out by its formulas: {trigram of symbols: count} to a probability of (u, v, w)."""
+    orders = [counts]
+    for _ in range(2):
+        lower = Counter()
+        for gram in orders[-1]:
+            lower[gram[1:]] += 1
+        orders.append(lower)
+
+    def prob(gram):
+        table = orders[3 - len(gram)] if gram else None
+        if table is None:
+            return 1 / 64
+        n1, n2 = (sum(c == k for c in table.values()) for k in (1, 2))
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        same = {g: c for g, c in table.items() if g[:-1] == gram[:-1]}
+        if not same:
+            return prob(gram[1:])
+        total = sum(same.values())
+        return max(same.get(gram, 0) - d, 0) / total + sum(min(c, d) for c in same.values()) / total * prob(gram[1:])
+
+    return prob
+
+
+def test_model_by_hand():
+    """Probabilities, and the language of lowest cross-entropy, against the formulas."""
+    rng = random.Random(3)
+    texts = {"aa": ["".join(rng.choice("abc d") for _ in range(60)) for _ in range(4)], "bb": ["".join(rng.choice("aabe  ") for _ in range(60)) for _ in range(4)]}
+    models, hand = {}, {}
+    for name, some in texts.items():
+        counts = Counter()
+        for t in some:
+            codes, begin, _ = langid.encode([t])
+            counts.update(codes[begin[0] + 2 :].tolist())
+        keys = np.array(sorted(counts), np.int64)
+        models[name] = langid.KneserNey.fit(keys, np.array([counts[k] for k in keys.tolist()], float))
+        hand[name] = kneser_ney({(k >> 12, k >> 6 & 63, k & 63): n for k, n in counts.items()})
+        tried = [*keys[:40].tolist(), *(rng.randrange(6) << 12 | rng.randrange(6) << 6 | rng.randrange(6) for _ in range(60))]
+        for k in tried:
+            assert models[name].prob(np.array([k]))[0] == pytest.approx(hand[name]((k >> 12, k >> 6 & 63, k & 63)))
+    for t in ["abc abc", "ae ea e", "d", "zz"]:
+        codes, begin, _ = langid.encode([t])
+        mine = {n: -np.log2(m.prob(codes[2:].astype(np.int64))).mean() for n, m in models.items()}
+        other = {n: np.mean([-np.log2(p((k >> 12, k >> 6 & 63, k & 63))) for k in codes[2:].tolist()]) for n, p in hand.items()}
+        assert mine == pytest.approx(other)
+
+
+def test_ties_and_long_texts(spark, monkeypatch):
+    """Languages learned from the same texts tie, and the first name wins; pieces of a long text are of its language."""
+    from pyspark.sql import functions as F
+
+    same = "the same words in both of them "
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2][:40]
+    rows = [(i, same) for i in ids] + [(100 + i, "ganz andere Wörter für die dritte ") for i in range(40)]
+    lang = F.when(F.col("doc_id") >= 100, F.lit("zz")).when(F.col("doc_id").isin(ids[::2]), F.lit("bb")).otherwise(F.lit("aa"))
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs(spark, rows).withColumn("lang", lang)).collect()}
+    assert {got[i] for i in ids} == {"aa"} and {got[100 + i] for i in range(40)} == {"zz"}
+    monkeypatch.setattr(langid, "PIECE", 50)
+    long = "ganz andere Wörter für die dritte " * 3000
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs(spark, [*rows, (300, long), (301, same * 3000)]).withColumn("lang", F.when(F.col("doc_id") < 300, lang))).collect()}
+    assert got[300] == "zz" and got[301] == "aa"

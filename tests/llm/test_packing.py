@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -77,3 +78,21 @@ def test_bounded_space():
     for _, _, ids, _, seq, _ in out:
         full[seq] += len(ids)
     assert max(full.values()) <= 100 and sum(full.values()) / (100 * len(full)) > 0.85
+
+
+def test_query(spark):
+    """The registered query: every id once, as the tokenizers file has it, by its checksum."""
+    sf, plain = "/root/testdata/sf0.001", Tokenizer.from_file(FILES["tokenizer"])
+    ids = {r.doc_id: [*plain.encode(r.text or "", add_special_tokens=False).ids, 1] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    by, seqs = defaultdict(list), defaultdict(list)
+    for r in queries.op10_packing(spark, sf).collect():
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes())
+        by[r.doc_id].append((r.start, r.length))
+        seqs[r.sequence_id].append((r.offset, r.length))
+    for pieces, total in [*((by[d], len(x)) for d, x in ids.items()), *((p, None) for p in seqs.values())]:
+        at = 0
+        for start, n in sorted(pieces):
+            assert start == at
+            at += n
+        assert at == total if total is not None else at <= 2048

@@ -6,11 +6,14 @@ from collections import Counter
 import numpy as np
 import pytest
 from helpers import docs, empty
+from oracle import connect, same
 from pyspark.sql import functions as F
 
-from sessionlake.llm import suffix, superkmer, windows
+from sessionlake.llm import queries, suffix, superkmer, windows
 from sessionlake.llm.common import row_key
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_suffix_array():
     rng = random.Random(8)
@@ -129,3 +132,8 @@ def test_near_copies_have_few_spans(spark, monkeypatch, n):
             if count[t[p : p + 200]] > 1:
                 gone[p : p + 200] = True
         assert got[d] == gone.sum()
+
+
+@pytest.mark.parametrize("name", ["op6_superkmer_dedup", "op8_suffix_dedup"])
+def test_oracle(spark, name):
+    same(queries.QUERIES[name](spark, SF), connect(SF), queries.ORACLE_SQL[name])
