@@ -231,18 +231,19 @@ def alike_links(docs: DataFrame, found: DataFrame, text: str, width: int, simila
     long = scratch.save(index.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "long")
     index = scratch.save(index.join(long, "gram"), "lists")
     entry = F.struct("node", "n", "at", "root")
-    roots = components(scratch, edges)
+    roots = None
     for k in range(HEADS):
-        members = index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        members = index.withColumn("root", F.col("node")) if roots is None else index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = members.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
         some = members.join(mixed, "gram").where(F.lit(k % 2 == 0) | (F.col("root") != F.col("lo")))
         mixed = some.groupBy("gram").agg(F.min_by(entry, F.xxhash64("node", F.lit(k))).alias("head"))
         pairs = members.select("gram", entry.alias("e")).join(mixed, "gram").where((F.col("e.root") != F.col("head.root")) & may_be_alike(F.col("e"), F.col("head"), similarity))
         pairs = scratch.save(pairs.select(F.least("e.node", "head.node").alias("a"), F.greatest("e.node", "head.node").alias("b")).distinct(), "pairs")
         good = scratch.save(verified(sets, pairs, similarity), "links")
-        if good.isEmpty():
-            break
-        roots = components(scratch, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(good))
+        known = edges if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(scratch, known.unionByName(good))
+    if roots is None:
+        roots = components(scratch, edges)
 
     members = scratch.save(index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
     mixed = members.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gram")
