@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one made for local runs.
 
-    Only where the setting is absent (single-machine tests) is a temporary folder made,
-    and then it is recorded in the session so that later calls use the same one.
+    Only where the setting is absent and the session runs on one machine is a temporary folder
+    made, and then it is recorded in the session so that later calls use the same one. A
+    cluster without the setting is an error, as its executors would not see this machine's folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("sessionlake.scratch", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
         root = "file://" + tempfile.mkdtemp(prefix="sessionlake-")
         spark.conf.set("sessionlake.scratch", root)
     return root
