@@ -140,7 +140,7 @@ OP6_SQL = r"""
 with d as (
   select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
 ), win as (
-  select rid, p, row_number() over (partition by array_to_string(w[p:p + 19], ' ') order by doc_id, p) as k from (select rid, doc_id, w, unnest(range(1, len(w) - 18)) as p from d where len(w) >= 20)
+  select rid, p, rank() over (partition by array_to_string(w[p:p + 19], ' ') order by doc_id, p) as k from (select rid, doc_id, w, unnest(range(1, len(w) - 18)) as p from d where len(w) >= 20)
 ), gone as (
   select distinct rid, q from (select rid, unnest(range(p, p + 20)) as q from win where k > 1)
 ), kept as (

@@ -247,15 +247,18 @@ class Bytes:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sieve_bits: int = SIEVE_BITS) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed [lo, hi)), kept (binary) of every row.
 
-    Rows equal in doc_id and text are one document, returned as often as they come; rows
-    that share only a doc_id are different documents. Null and short texts lose nothing.
-    An empty table gives no rows; other columns are ignored.
+    Every row is a document, also one whose doc_id is null or repeats: what rows share is removed
+    from each, so of rows equal in doc_id and text nothing stays but texts too short for a
+    string. Null and short texts lose nothing. An empty table gives no rows; other columns
+    are ignored.
     """
     ship_code(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("rk"), F.col(text).cast("binary").alias("text"))
     scratch = Scratch(docs.sparkSession)
     found = repetitions(rows, Bytes(), scratch, sieve_bits)
+    equal = rows.groupBy("doc_id", "rk").agg(F.count("*").alias("times"), F.max(F.octet_length("text")).cast("bigint").alias("hi")).where((F.col("times") > 1) & (F.col("hi") >= WINDOW))
+    found = found.unionByName(equal.select("doc_id", "rk", F.lit(0).cast("bigint").alias("lo"), "hi"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from helpers import docs, empty
@@ -38,8 +39,8 @@ def test_bytes(spark, monkeypatch, seed, hot, bits):
     if hot:
         monkeypatch.setattr(windows, "HOT", hot)
     rows = text_rows(seed)
-    once = {(d, t or "") for d, t in rows}
-    count = Counter(b[p : p + 200] for b in (t.encode() for _, t in once) for p in range(len(b) - 199))
+    rows += [rows[0], (None, "abc" * 200), (900, "short"), (900, "short")]
+    count = Counter(b[p : p + 200] for b in ((t or "").encode() for _, t in rows) for p in range(len(b) - 199))
     want = Counter()
     for d, t in rows:
         b = (t or "").encode()
@@ -137,3 +138,13 @@ def test_near_copies_have_few_spans(spark, monkeypatch, n):
 @pytest.mark.parametrize("name", ["op6_superkmer_dedup", "op8_suffix_dedup"])
 def test_oracle(spark, name):
     same(queries.QUERIES[name](spark, SF), connect(SF), queries.ORACLE_SQL[name])
+
+
+@pytest.mark.parametrize("name", ["op6_superkmer_dedup", "op8_suffix_dedup"])
+def test_oracle_on_repeated_rows(spark, tmp_path, name):
+    """Query and SQL agree where rows repeat."""
+    rows = [(d, t) for d, t in text_rows(5) if d is not None and d != 3]
+    spark.createDataFrame([*rows, *rows[:9]], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    same(queries.QUERIES[name](spark, str(tmp_path)), con, queries.ORACLE_SQL[name])
