@@ -11,40 +11,47 @@ from sessionlake.operators.daily import mark
 from sessionlake.scratch import Scratch
 
 
+def encoded(side: DataFrame, key: str, words: DataFrame) -> DataFrame:
+    """(key, ids): each entry's words as their numbers, rarest first; words: (w, no, count)."""
+    rows = side.select(key, F.explode("words").alias("w")).join(words, "w")
+    order = F.array_sort(F.collect_list(F.struct("count", "no")))
+    return rows.groupBy(key).agg(F.transform(order, lambda z: z["no"]).alias(f"ids_{key}"))
+
+
 def candidates(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): the pairs that share a word of the smaller set's prefix, from (a, aw) and (b, bw).
+    """(a, b): the pairs that share a word of the smaller set's prefix, from (a, ids_a) and (b, ids_b).
 
     Of the smaller set's n words, taken rarest first, one of the first
     n - ceil(threshold * n) + 1 is in the other if they match. So prefixes of either side are
     joined with whole sets of the other side that are no smaller; a word that most
     sets have is in the prefix of tiny sets only.
     """
-    df = a.select(F.explode("aw").alias("w")).unionByName(b.select(F.explode("bw").alias("w"))).groupBy("w").count()
-
-    def ranked(side: DataFrame, key: str, words: str) -> tuple[DataFrame, DataFrame]:
-        rows = side.select(key, F.size(words).alias(f"n_{key}"), F.explode(words).alias("w"))
-        n = F.col(f"n_{key}")
-        order = Window.partitionBy(key).orderBy("count", "w")
-        first = rows.join(df, "w").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n - F.ceil(n * F.lit(threshold) - 1e-9) + 1)
-        return rows, first.select(key, n, "w")
-
-    (all_a, first_a), (all_b, first_b) = ranked(a, "a", "aw"), ranked(b, "b", "bw")
-    small_a = first_a.join(all_b, "w").where("n_a <= n_b").select("a", "b")
-    small_b = first_b.join(all_a, "w").where("n_b < n_a").select("a", "b")
+
+    def posted(side: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        ids, n = F.col(f"ids_{key}"), F.size(f"ids_{key}")
+        first = F.slice(ids, F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
+        return tuple(side.select(key, n.alias(f"n_{key}"), F.explode(c).alias("no")) for c in (ids, first))
+
+    (all_a, first_a), (all_b, first_b) = posted(a, "a"), posted(b, "b")
+    small_a = first_a.join(all_b, "no").where("n_a <= n_b").select("a", "b")
+    small_b = first_b.join(all_a, "no").where("n_b < n_a").select("a", "b")
     return small_a.unionByName(small_b).distinct()
 
 
 def matches(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(a, b): ids of entries whose overlap coefficient reaches the threshold.
 
-    left, right: (id, words), words distinct. An exact prefix filter gives candidates, which
-    are verified. Both sides are written to the shared folder first, as words are dear to
-    extract and needed several times.
+    left, right: (id, words), words distinct. Words are numbered, an exact prefix filter gives
+    candidates, and those are verified on the numbers. What is needed several times is written
+    to the shared folder first, as words are dear to extract.
     """
     scratch = Scratch(left.sparkSession)
-    a = scratch.save(left.select(F.col("id").alias("a"), F.col("words").alias("aw")).where(F.size("aw") > 0), "left")
-    b = scratch.save(right.select(F.col("id").alias("b"), F.col("words").alias("bw")).where(F.size("bw") > 0), "right")
-    return candidates(a, b, threshold).join(a, "a").join(b, "b").where(x.overlap_coefficient(F.col("aw"), F.col("bw")) >= threshold).select("a", "b")
+    a, b = (scratch.save(side.select(F.col("id").alias(key), "words"), name) for side, key, name in ((left, "a", "left"), (right, "b", "right")))
+    words = a.select(F.explode("words").alias("w")).unionByName(b.select(F.explode("words").alias("w"))).groupBy("w").count()
+    words = scratch.save(words.withColumn("no", F.monotonically_increasing_id()), "words")
+    a, b = scratch.save(encoded(a, "a", words), "left"), scratch.save(encoded(b, "b", words), "right")
+    pairs = candidates(a, b, threshold).join(a, "a").join(b, "b")
+    return pairs.where(x.overlap_coefficient(F.col("ids_a"), F.col("ids_b")) >= threshold).select("a", "b")
 
 
 def word_sets(words: DataFrame) -> DataFrame:
