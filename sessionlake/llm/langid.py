@@ -214,8 +214,10 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     """doc_id, held_out, lang_pred, score, accepted, h_best for every row.
 
     Learns from rows that aren't held out and have text and language. Null texts, texts
-    without a letter, and all texts if nothing was learned, are ``und`` with score 0. Rows
-    that repeat are counted and returned as often as they come; other columns are ignored.
+    without a letter, and all texts if nothing was learned, are ``und`` with score 0. Long
+    texts are scored whole, in pieces; of languages that tie the first by name counts. Rows
+    that repeat are counted and returned as often as they come; an empty table gives no rows;
+    other columns are ignored.
     """
     ship_code(docs.sparkSession)
     out = held_out(F.col(doc_id))

@@ -131,8 +131,9 @@ def scan(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_id"
     """doc_id, digest, license_id (null if unknown) of every row.
 
     known: (digest, license_id). Null, blank and punctuation-only texts have the digest of
-    the empty text and no licence. Repeated rows come back as often as they came; other
-    columns are ignored.
+    the empty text and no licence; long texts are normalised whole. Of licences with equal
+    digests the least id counts. Repeated rows come back as often as they came; an empty table
+    gives no rows; other columns are ignored.
     """
     known = known_digests(docs.sparkSession) if known is None else known
     known = known.where(F.col("digest") != F.sha2(F.lit(""), 256))

@@ -116,7 +116,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
 
     One row for each piece; a document's ids and end_id lie in exactly one piece each. Null
     and empty texts are end_id alone; repeated rows and null ids are packed like any other;
-    an empty table gives no rows. Windows that stay short are to be padded to length.
+    a long text is cut into as many windows as it fills; an empty table gives no rows. Windows that stay short are to be padded to length.
     sequence_id holds the partition in its upper bits, so none is given twice.
     """
     ship_code(docs.sparkSession)

@@ -240,6 +240,8 @@ def alike_links(docs: DataFrame, found: DataFrame, text: str, width: int, simila
         pairs = members.select("gram", entry.alias("e")).join(mixed, "gram").where((F.col("e.root") != F.col("head.root")) & may_be_alike(F.col("e"), F.col("head"), similarity))
         pairs = scratch.save(pairs.select(F.least("e.node", "head.node").alias("a"), F.greatest("e.node", "head.node").alias("b")).distinct(), "pairs")
         good = scratch.save(verified(sets, pairs, similarity), "links")
+        if roots is not None and good.isEmpty():
+            continue
         known = edges if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = components(scratch, known.unionByName(good))
     if roots is None:

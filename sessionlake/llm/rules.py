@@ -203,8 +203,9 @@ def verdict(rules: list[Rule]) -> Column:
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] | None = None) -> DataFrame:
     """``doc`` (struct of the kept columns, default all), STATS, base_failed and kept.
 
-    Every row is judged, repeated ones and those with null ids included; a null or empty
-    text fails the base rules. Without usable labels, or with labels of one class, no rule
+    Every row is judged, repeated ones and those with null ids included, by its whole text,
+    however long; a null or empty text fails the base rules. Of labels, rows with a null id or
+    quality are ignored, and a text with several labels counts for each. Without usable labels, or with labels of one class, no rule
     is learned and the base rules decide. The statistics are written once to the shared
     folder, then learned from and judged.
     """

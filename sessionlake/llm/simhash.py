@@ -234,7 +234,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Fingerprints link at two or fewer differing bits, and components are transitive. Null
     and blank texts have fingerprint zero and link like any other. Rows that repeat, also in
     doc_id, come back as often as they came. A null doc_id never names a component unless
-    nothing else is in it. An empty table gives no rows; other columns are ignored.
+    nothing else is in it. Texts are read whole, a megabyte at a time. An empty table gives no
+    rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
     prints = scratch.save(fingerprints(docs, doc_id, text), "prints")

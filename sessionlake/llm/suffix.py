@@ -249,8 +249,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sieve_bit
 
     Every row is a document, also one whose doc_id is null or repeats: what rows share is removed
     from each, so of rows equal in doc_id and text nothing stays but texts too short for a
-    string. Null and short texts lose nothing. An empty table gives no rows; other columns
-    are ignored.
+    string. Null and short texts lose nothing; long ones are cut in stretches that share no
+    string. An empty table gives no rows; other columns are ignored.
     """
     ship_code(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()

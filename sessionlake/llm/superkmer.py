@@ -112,7 +112,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sieve_bit
     The earliest start is the one of smallest doc_id (null before all), then, among rows
     that share a doc_id, smallest row hash, then position. Rows equal in doc_id and text
     are one document and are returned as often as they come. Null and blank texts have no
-    words. An empty table gives no rows; other columns are ignored.
+    words; long texts are cut in stretches that share no window. An empty table gives no rows;
+    other columns are ignored.
     """
     ship_code(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
