@@ -227,9 +227,10 @@ def alike_links(docs: DataFrame, found: DataFrame, text: str, width: int, simila
     """(node, root): components of edges and of the pairs that are alike; found: sketches of docs."""
     sieve = build_sieve(count_prefixes(found), scratch, SIEVE_BITS)
     sets = scratch.save(sets_left(docs, text, sieve, width, similarity), "sets")
-    index = scratch.save(postings(sets, similarity), "index")
-    long = scratch.save(index.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "long")
-    index = scratch.save(index.join(long, "gram"), "lists")
+    posted = scratch.save(postings(sets, similarity), "index")
+    long = posted.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
+    index = scratch.save(posted.join(long, "gram"), "lists")
+    scratch.drop(posted)
     entry = F.struct("node", "n", "at", "root")
     roots = None
     for k in range(HEADS):
