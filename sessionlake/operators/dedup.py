@@ -12,25 +12,26 @@ from sessionlake.scratch import Scratch
 
 
 def encoded(side: DataFrame, key: str, words: DataFrame) -> DataFrame:
-    """(key, ids): each entry's words as their numbers, rarest first; words: (w, no, count)."""
-    rows = side.select(key, F.explode("words").alias("w")).join(words, "w")
+    """(key, n, ids): each entry's number of words, and of those in words (w, no, count) the numbers, rarest first."""
+    rows = side.select(key, F.size("words").alias(f"n_{key}"), F.explode("words").alias("w")).join(words, "w")
     order = F.array_sort(F.collect_list(F.struct("count", "no")))
-    return rows.groupBy(key).agg(F.transform(order, lambda z: z["no"]).alias(f"ids_{key}"))
+    return rows.groupBy(key, f"n_{key}").agg(F.transform(order, lambda z: z["no"]).alias(f"ids_{key}"))
 
 
 def candidates(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): the pairs that share a word of the smaller set's prefix, from (a, ids_a) and (b, ids_b).
+    """(a, b): the pairs that share a word of the smaller set's prefix, from encoded sides.
 
     Of the smaller set's n words, taken rarest first, one of the first
-    n - ceil(threshold * n) + 1 is in the other if they match. So prefixes of either side are
-    joined with whole sets of the other side that are no smaller; a word that most
-    sets have is in the prefix of tiny sets only.
+    n - ceil(threshold * n) + 1 is in the other if they match. Words that only one side has come
+    first and count, but are not joined. So prefixes of either side are joined with whole sets of the
+    other side that are no smaller; a word that most sets have is in the prefix of tiny sets only.
     """
 
     def posted(side: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-        ids, n = F.col(f"ids_{key}"), F.size(f"ids_{key}")
-        first = F.slice(ids, F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
-        return tuple(side.select(key, n.alias(f"n_{key}"), F.explode(c).alias("no")) for c in (ids, first))
+        ids, n = F.col(f"ids_{key}"), F.col(f"n_{key}")
+        least = F.ceil(n * F.lit(threshold) - 1e-9).cast("int")
+        first = F.slice(ids, F.lit(1), F.greatest(F.size(ids) - least + 1, F.lit(0)))
+        return tuple(side.select(key, n, F.explode(c).alias("no")) for c in (ids, first))
 
     (all_a, first_a), (all_b, first_b) = posted(a, "a"), posted(b, "b")
     small_a = first_a.join(all_b, "no").where("n_a <= n_b").select("a", "b")
@@ -38,20 +39,27 @@ def candidates(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     return small_a.unionByName(small_b).distinct()
 
 
+def shared_words(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(w, no, count): the words that both sides have, numbered, with the number of entries that have them."""
+    counts = [side.select(F.explode("words").alias("w")).groupBy("w").count() for side in (a, b)]
+    both = counts[0].join(counts[1].withColumnRenamed("count", "other"), "w")
+    return both.select("w", (F.col("count") + F.col("other")).alias("count"), F.monotonically_increasing_id().alias("no"))
+
+
 def matches(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(a, b): ids of entries whose overlap coefficient reaches the threshold.
 
-    left, right: (id, words), words distinct. Words are numbered, an exact prefix filter gives
-    candidates, and those are verified on the numbers. What is needed several times is written
-    to the shared folder first, as words are dear to extract.
+    left, right: (id, words), words distinct. Words that both sides have are numbered, an exact
+    prefix filter gives candidates, and those are verified on the numbers. What is needed several
+    times is written to the shared folder first, as words are dear to extract.
     """
     scratch = Scratch(left.sparkSession)
     a, b = (scratch.save(side.select(F.col("id").alias(key), "words"), name) for side, key, name in ((left, "a", "left"), (right, "b", "right")))
-    words = a.select(F.explode("words").alias("w")).unionByName(b.select(F.explode("words").alias("w"))).groupBy("w").count()
-    words = scratch.save(words.withColumn("no", F.monotonically_increasing_id()), "words")
+    words = scratch.save(shared_words(a, b), "words")
     a, b = scratch.save(encoded(a, "a", words), "left"), scratch.save(encoded(b, "b", words), "right")
     pairs = candidates(a, b, threshold).join(a, "a").join(b, "b")
-    return pairs.where(x.overlap_coefficient(F.col("ids_a"), F.col("ids_b")) >= threshold).select("a", "b")
+    overlap = F.size(F.array_intersect("ids_a", "ids_b")) / F.least("n_a", "n_b")
+    return pairs.where(overlap >= threshold).select("a", "b")
 
 
 def word_sets(words: DataFrame) -> DataFrame:

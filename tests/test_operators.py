@@ -211,7 +211,7 @@ def test_a_common_word_forms_no_pairs(spark):
     for n in (100, 400):
         rows = lambda side, n=n: spark.createDataFrame([(i, ["common", *(f"{side}{i}-{k}" for k in range(4))]) for i in range(n)] + [(n, [f"x{n}", "y", "common", "z"])], "id int, words array<string>")
         a, b = rows("a"), rows("b")
-        words = a.unionByName(b).select(F.explode("words").alias("w")).groupBy("w").count().withColumn("no", F.monotonically_increasing_id()).cache()
+        words = dedup.shared_words(a, b).cache()
         left, right = (dedup.encoded(side.select(F.col("id").alias(k), "words"), k, words) for side, k in ((a, "a"), (b, "b")))
         found.append(dedup.candidates(left, right, 0.5).count())
         assert [tuple(r) for r in dedup.matches(a, b).collect()] == [(n, n)]
