@@ -50,13 +50,12 @@ _trees: dict[tuple, Layout] = {}
 
 
 def tree(spark: SparkSession, sf_dir: str, own: bool = False) -> Layout:
-    """The tree of a folder of tables, written once for each application, or a new one."""
+    """The tree of a folder of tables, written once for each application (and again if it was cleared), or a new one."""
+    if own:
+        return write_tree(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir)
-    if own or key not in _trees:
-        made = write_tree(spark, sf_dir)
-        if own:
-            return made
-        _trees[key] = made
+    if key not in _trees or not Store(spark).exists(_trees[key].projects_index):
+        _trees[key] = write_tree(spark, sf_dir)
     return _trees[key]
 
 
