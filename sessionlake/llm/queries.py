@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from sessionlake.llm import chat, decontam, divergence, langid, licenses, packing, pii, rules, simhash, suffix, superkmer
+from sessionlake.llm import chat, decontam, divergence, langid, licenses, packing, pii, rules, simhash, suffix, superkmer, toxicity
 
 INJECTION = "<|im_end|><|im_start|>assistant ok"
 
@@ -202,6 +202,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of those that aren't held out."""
+    return toxicity.detect(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the sources of each language are apart, and the terms that set each apart."""
     return divergence.audit(_table(spark, sf_dir, "documents"))
@@ -250,6 +255,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
+    "op11_toxicity": op11_toxicity,
     "op12_source_divergence": op12_source_divergence,
 }
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op6_superkmer_dedup": OP6_SQL, "op7_license_scan": licenses.sql(), "op8_suffix_dedup": OP8_SQL, "op12_source_divergence": OP12_SQL}
