@@ -1,6 +1,6 @@
 """How the sources of a language differ in their terms, and by which terms.
 
-Terms are counted by (language, source) with a partial aggregation before any shuffle. The terms
+Terms are counted by (language, source), tallied in each task before any shuffle. The terms
 that enough of a language's documents have are pivoted: one row for each term, its counts in an
 array indexed by the language's sources. Everything after that works on these rows alone: a
 term's smoothed shares, its contribution to every pair of sources and to every source against
@@ -10,27 +10,73 @@ are summed before they are shuffled. Shares are whole numbers out of SCALE and a
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from sessionlake.llm.common import Scratch, ascii_lower, within
+from sessionlake.llm.common import Scratch, ship_code, within
 
 #: A term's share of its source, in parts of this.
 SCALE = 1_000_000_000
 #: Added to each count; twice as much, times the terms, to their sum.
 PRIOR = 2
-_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+_GAP = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
+#: Terms of all sources that a task tallies before it passes them on.
+_FLUSH = 300_000
+
+
+def terms(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The terms of a text, a bounded number of bytes at a time; only A-Z are lower-cased, as bytes are."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + size)
+        if end < len(data):
+            found = _GAP.search(data, end)
+            end = found.start() if found else len(data)
+        yield _TERM.findall(data[at:end].lower())
+        at = end
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences, and documents with any, of (lang, source, text)."""
-    words = docs.select("lang", "source", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(_TERM), F.lit(0)).alias("words"))
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    said = F.transform("words", lambda w: F.struct(w.alias("term"), one.alias("n"), zero.alias("d")))
-    held = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), zero.alias("n"), one.alias("d")))
-    rows = words.select("lang", "source", F.explode(F.concat(said, held)).alias("t"))
-    return rows.groupBy("lang", "source", "t.term").agg(F.sum("t.n").alias("n"), F.sum("t.d").alias("docs"))
+    """(lang, source, term, n, docs): occurrences, and documents with any, of (lang, source, text), tallied in each task before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said: dict[tuple[str, str], Counter] = {}
+        held: dict[tuple[str, str], Counter] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (lang, source), n in said.items():
+                names, d = list(n), held[lang, source]
+                for lo in range(0, len(names), 10_000):
+                    some = names[lo : lo + 10_000]
+                    columns = [pa.array([lang] * len(some), pa.string()), pa.array([source] * len(some), pa.string()), pa.array(some, pa.binary()), pa.array([n[t] for t in some], pa.int64()), pa.array([d[t] for t in some], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
+            said.clear()
+            held.clear()
+
+        size = 0
+        for batch in batches:
+            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+                n, d, own = said.setdefault((lang, source), Counter()), held.setdefault((lang, source), Counter()), set()
+                was = len(n)
+                for some in terms(text.as_py()):
+                    n.update(some)
+                    own.update(some)
+                d.update(own)
+                size += len(n) - was
+                if size > _FLUSH:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    rows = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term binary, n bigint, docs bigint")
+    return rows.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def source_places(docs: DataFrame) -> DataFrame:
@@ -71,10 +117,11 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     Null languages, sources and texts are empty ones, and empty names are names like any other.
     Sources without terms have pairs too; languages without kept terms have pairs of value 0 and
     no terms. Repeated rows count as often as they come; an empty table gives no rows; other
-    columns are ignored. A text's words must fit into a task's memory. The result has a row for
+    columns are ignored. Long texts are read whole, a piece at a time. The result has a row for
     each ordered pair of sources of a language: that square is the output asked for, and is
     the only thing that grows so.
     """
+    ship_code(docs.sparkSession)
     named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for k, c in (("lang", lang), ("source", source), ("text", text))])
     scratch = Scratch(docs.sparkSession)
     places = scratch.save(source_places(named), "places")
