@@ -115,10 +115,10 @@ def canonical(text: Column) -> Column:
     same = F.create_map(*[F.lit(v) for pair in EQUIVALENT for v in pair])
     least, most = (f(len(a) for a, _ in EQUIVALENT) for f in (min, max))
     spelt = F.transform(words, lambda w: F.when(F.length(w).between(least, most), F.coalesce(F.try_element_at(same, w), w)).otherwise(w))
-    single = F.concat(F.lit(" "), F.array_join(spelt, " "), F.lit(" "))
+    apart = F.concat(F.lit(" "), F.array_join(spelt, "  "), F.lit(" "))  # each word has two spaces of its own, so phrases side by side share none
     for a, b in EQUIVALENT_PHRASES:
-        single = F.replace(single, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.btrim(single)
+        apart = F.replace(apart, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b.replace(' ', '  ')} "))
+    return F.btrim(F.replace(apart, F.lit("  "), F.lit(" ")))
 
 
 def known_digests(spark: SparkSession, known: tuple | None = None) -> DataFrame:
@@ -142,15 +142,16 @@ def scan(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_id"
 
 
 def sql() -> str:
-    """The same in DuckDB SQL over the table documents."""
+    """The same in DuckDB SQL over the table documents, word by word."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     notice = f"regexp_matches(x, {quote(NOTICE_LINE)}) and not regexp_matches(x, {quote(ITEM_LINE)})"
-    expr = f"'  ' || regexp_replace(array_to_string(list_filter(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)), lambda x: not ({notice})), chr(10)), {quote(NOT_WORD)}, '  ', 'g') || '  '"
-    for a, b in EQUIVALENT:
-        expr = f"replace({expr}, ' {a} ', ' {b} ')"
-    expr = f"regexp_replace({expr}, ' +', ' ', 'g')"
-    for a, b in EQUIVALENT_PHRASES:
-        expr = f"replace({expr}, ' {a} ', ' {b} ')"
-    digest = f"sha256(trim({expr}))"
+    lines = f"list_filter(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)), lambda x: not ({notice}))"
+    spelt = "case z " + " ".join(f"when {quote(a)} then {quote(b)}" for a, b in EQUIVALENT) + " else z end"
+    pairs = [(*a.split(" "), b) for a, b in EQUIVALENT_PHRASES]
+    joined = " ".join(f"when w[i] = {quote(x)} and w[i + 1] = {quote(y)} then {quote(b)} when w[i] = {quote(y)} and w[i - 1] = {quote(x)} then null" for x, y, b in pairs)
     values = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in known_texts())
-    return f"with k as (select min(license_id) as license_id, digest from (select license_id, {digest} as digest from (values {values}) as v(license_id, text)) group by digest), d as (select doc_id, {digest} as digest from documents) select doc_id, digest, license_id from d left join k using (digest)"
+    return f"""with t as (select 'known' as side, license_id as id, null as doc_id, text from (values {values}) as v(license_id, text) union all select 'doc', null, doc_id, text from documents),
+ s as (select side, id, doc_id, list_transform(list_filter(string_split_regex(array_to_string({lines}, chr(10)), {quote(NOT_WORD)}), lambda z: z <> ''), lambda z: {spelt}) as w from t),
+ c as (select side, id, doc_id, sha256(coalesce(array_to_string(list_filter(list_transform(range(1, len(w) + 1), lambda i: case {joined} else w[i] end), lambda z: z is not null), ' '), '')) as digest from s),
+ k as (select min(id) as license_id, digest from c where side = 'known' group by digest)
+ select doc_id, digest, license_id from c left join k using (digest) where side = 'doc'"""

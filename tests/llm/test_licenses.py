@@ -57,3 +57,15 @@ def test_oracle_meets_licences(spark, tmp_path):
     same(found, con, queries.ORACLE_SQL["op7_license_scan"])
     held = {r.doc_id for r in found.where("license_id is not null").collect()}
     assert held >= set(range(len(licenses.known_texts()))) and len(held) > 1.4 * len(licenses.known_texts()) and max(held) < 1999
+
+
+def test_phrases_side_by_side(spark):
+    """Equal texts have equal digests also where equivalent phrases follow one another, in the query and in its SQL."""
+    pairs = [("per cent per cent", "percent percent"), ("sub-licence sub-license sub license", "sublicense sublicense sublicense"), ("copyright owner copyright owner non-commercial", "copyright holder copyright holder noncommercial"), ("per", "per"), ("sub sub license", "sub sublicense")]
+    rows = [(2 * k + j, f"x {text}" if k % 2 else text) for k, pair in enumerate(pairs) for j, text in enumerate(pair)]
+    got = {r.doc_id: r.digest for r in licenses.scan(docs(spark, rows)).collect()}
+    assert all(got[2 * k] == got[2 * k + 1] for k in range(len(pairs))) and len(set(got.values())) == len(pairs)
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert {d: h for d, h, _ in con.sql("select doc_id, digest, license_id from (" + licenses.sql() + ")").fetchall()} == got
