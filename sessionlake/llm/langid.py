@@ -1,123 +1,114 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-Letters map to 63 symbols (a-z; others by code point), runs of other characters to one
-boundary, so each language has at most 64 ** 3 trigrams: the counts that reach the driver
-and the models that reach the tasks are bounded by that, whatever the corpus. Counts are
-over every training text. A model keeps, for each order, the sorted hashes of its n-grams
-beside their discounted probabilities, and of its contexts beside their backoff weights; a
-task looks all codes up once and then scores whole texts. A text gets the language of
-lowest cross-entropy per symbol, a posterior calibrated on the training texts, and is
-rejected where its entropy is beyond nearly all training texts of that language.
+Symbols are the letters as they are, lower-cased, and one boundary for every run of other
+characters; no alphabet is fixed. 5-grams of all training texts are counted by Spark, and the lower
+orders' continuation counts, discounts, probabilities and backoff weights are aggregations of
+those. A model keeps, for each order, the sorted hashes of its n-grams beside their discounted
+probabilities, and of its contexts beside their backoff weights; that is all a task needs. A task
+finds the distinct 5-grams of many texts at once, looks each up in the sorted arrays of every
+language, and sums up texts from those. A text gets the language of lowest cross-entropy per
+symbol, a posterior, and is rejected where its entropy is beyond nearly all texts of that
+language; both are calibrated on training rows that the models have not counted.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from sessionlake.llm.common import Scratch, ship_code
 
-BITS, ORDER = 6, 3
-CODES = 1 << (BITS * ORDER)
+ORDER = 5
+#: The models' size: languages at most (those with most training texts), and n-grams of an order in all of them together.
+LANGUAGES, ENTRIES = 256, 1 << 20
 #: Texts are scored in pieces of at most so many characters, each from a fresh context.
-PIECE = 4_000_000
+PIECE = 1_000_000
+#: Characters that are looked up at a time.
+_GROUP = 4_000_000
 SHARPNESS = (0.5, 1, 2, 5, 10, 20, 50, 100)
 REJECT_AT = 0.999
+_OTHER = re.compile(r"[\W\d_]+")
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_PAD = " " * (ORDER - 1)
 
 
-@lru_cache(maxsize=1)
-def symbols() -> np.ndarray:
-    """Symbol of each code point: 0 for all but letters."""
-    table = np.zeros(0x110000, np.uint8)
-    for cp in range(0x110000):
-        if chr(cp).isalpha():
-            table[cp] = cp - 96 if 97 <= cp <= 122 else 27 + cp % 37
-    return table
-
-
-def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, begin, letters): trigram codes of all texts, where each text's start, its letters."""
-    parts = [t.lower() for t in texts]
-    lens = np.array([len(p) + 2 for p in parts], np.int64)
-    at = np.concatenate([[0], np.cumsum(lens)])
-    points = np.frombuffer("".join("\0\0" + p for p in parts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sym = symbols()[points]
-    letter = sym != 0
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    keep[at[:-1]] = keep[at[:-1] + 1] = True
-    total = np.concatenate([[0], np.cumsum(letter)])
-    begin = np.concatenate([[0], np.cumsum(keep)])[at]
-    s = sym[keep].astype(np.int32)
-    codes = s.copy()
-    codes[1:] |= s[:-1] << BITS
-    codes[2:] |= s[:-2] << (2 * BITS)
-    return codes, begin, total[at[1:]] - total[at[:-1]]
-
-
-def _hash(code: np.ndarray) -> np.ndarray:
-    x = code.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def symbols(text: str) -> str:
+    """Lower-cased letters, and a blank for every run of other characters."""
+    return _OTHER.sub(" ", text.lower())
+
+
+def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, begin): of texts of symbols one after another, each after its padding, and where each one's padding starts."""
+    begin = np.concatenate([[0], np.cumsum([len(t) + len(_PAD) for t in texts])]).astype(np.int64)
+    joined = "".join(_PAD + t for t in texts)
+    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), begin
+
+
+def rolled(codes: np.ndarray) -> np.ndarray:
+    """The hash of the last ORDER code points at every place; windows that begin before the first are short."""
+    out, own = np.zeros(len(codes), np.uint64), codes.astype(np.uint64) + np.uint64(1)
+    for _ in range(ORDER):
+        out[1:] = out[:-1].copy()
+        out[:1] = 0
+        out = out * _BASE + own
+    return out
+
+
+def hashed(window: np.ndarray) -> np.ndarray:
+    """The hash of each row of code points, the same as rolled() has for it."""
+    out = np.zeros(len(window), np.uint64)
+    for j in range(window.shape[1]):
+        out = out * _BASE + (window[:, j].astype(np.uint64) + np.uint64(1))
+    return out
+
+
+def hashes_of(grams: list[str], k: int) -> np.ndarray:
+    """The same of strings of k symbols."""
+    return hashed(np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(grams), k))
 
 
 @dataclass
 class SortedHashes:
-    """Values by n-gram code, as a sorted array of hashes beside an array of values."""
+    """Values by n-gram, as a sorted array of hashes beside an array of values."""
 
     hashes: np.ndarray
     values: np.ndarray
 
     @classmethod
-    def of(cls, codes: np.ndarray, values: np.ndarray) -> SortedHashes:
-        h = _hash(codes)
+    def of(cls, h: np.ndarray, values: np.ndarray) -> SortedHashes:
         order = np.argsort(h)
         return cls(h[order], values[order].astype(np.float64))
 
-    def get(self, codes: np.ndarray, default: float) -> np.ndarray:
+    def get(self, h: np.ndarray, default: float) -> np.ndarray:
         if not len(self.hashes):
-            return np.full(len(codes), default)
-        h = _hash(codes)
+            return np.full(len(h), default)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, self.values[at], default)
 
 
 @dataclass
 class KneserNey:
-    """Interpolated Kneser-Ney over trigram codes (context symbols in the upper bits)."""
+    """Interpolated Kneser-Ney: probabilities by n-gram and backoff weights by context, from the highest order down; base is what an unseen symbol gets."""
 
     probs: list[SortedHashes] = field(default_factory=list)
     backoffs: list[SortedHashes] = field(default_factory=list)
+    base: float = 1.0
 
-    @classmethod
-    def fit(cls, codes: np.ndarray, counts: np.ndarray) -> KneserNey:
-        made = cls()
-        for order in range(ORDER, 0, -1):
-            n1, n2 = int((counts == 1).sum()), int((counts == 2).sum())
-            d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-            ctx, inverse = np.unique(codes >> BITS, return_inverse=True)
-            total = np.bincount(inverse, counts)
-            made.probs.append(SortedHashes.of(codes, np.maximum(counts - d, 0) / total[inverse]))
-            made.backoffs.append(SortedHashes.of(ctx, np.bincount(inverse, np.minimum(counts, d)) / total))
-            codes, counts = np.unique(codes & ((1 << (BITS * (order - 1))) - 1), return_counts=True)
-        return made
-
-    def prob(self, codes: np.ndarray) -> np.ndarray:
-        out, weight = np.zeros(len(codes)), np.ones(len(codes))
-        for k, (p, b) in enumerate(zip(self.probs, self.backoffs, strict=True)):
-            low = codes & ((1 << (BITS * (ORDER - k))) - 1)
-            ctx = low >> BITS
-            out += weight * p.get(low, 0.0)
-            weight = weight * b.get(ctx, 1.0)
-        return out + weight / (1 << BITS)
+    def prob(self, window: np.ndarray) -> np.ndarray:
+        """Of the last symbol of each row of ORDER code points, after those before it."""
+        out, weight = np.zeros(len(window)), np.ones(len(window))
+        for k, p, b in zip(range(ORDER, 0, -1), self.probs, self.backoffs, strict=True):
+            out += weight * p.get(hashed(window[:, ORDER - k :]), 0.0)
+            weight = weight * b.get(hashed(window[:, ORDER - k : -1]), 1.0)
+        return out + weight * self.base
 
 
 def _pieces(texts: list[str | None]) -> Iterator[tuple[int, str]]:
@@ -127,59 +118,95 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[int, str]]:
 
 
 def _groups(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """(which texts, symbols of their pieces), so many characters at a time."""
     at, some, size = [], [], 0
     for k, t in _pieces(texts):
         at.append(k)
-        some.append(t)
+        some.append(symbols(t))
         size += len(t)
-        if size >= 1 << 20:
+        if size >= _GROUP:
             yield at, some
             at, some, size = [], [], 0
     if at:
         yield at, some
 
 
+def _distinct(codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number, window, upto): the number of each symbol's 5-gram, the code points of each number, and how many symbols are before each text."""
+    real = np.ones(len(codes), bool)
+    for k in range(len(_PAD)):
+        real[begin[:-1] + k] = False
+    places = np.flatnonzero(real)
+    number, _ = pd.factorize(rolled(codes)[places])
+    first = np.zeros(number.max() + 1 if len(number) else 0, np.int64)
+    first[number[::-1]] = places[::-1]
+    window = np.stack([codes[first - k] for k in range(ORDER - 1, -1, -1)], axis=1)
+    return number, window, np.searchsorted(places, begin)
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id's text mod 4 is 2; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    return _part(doc_id) == 2
 
 
-def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, KneserNey]:
-    """A model for each non-null language of docs, from all its texts."""
+def _part(doc_id: Column) -> Column:
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies: dict[str, np.ndarray] = {}
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for name, tally in tallies.items():
-                codes = np.flatnonzero(tally)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes, pa.int32()), pa.array(tally[codes], pa.int64())], names=["lang", "code", "n"])
-            tallies.clear()
+def count_grams(docs: DataFrame) -> DataFrame:
+    """(lang, gram, n): how often the texts of each language, of (lang, text), have each 5-gram of symbols."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
             by: dict[str, list[str]] = {}
-            for name, t in zip(langs, batch.column("text"), strict=True):
+            for name, t in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
                 by.setdefault(name, []).append(t.as_py())
             for name, texts in by.items():
                 for _, some in _groups(texts):
-                    codes, begin, _ = encode(some)
-                    real = np.ones(len(codes), bool)
-                    real[begin[:-1]] = real[begin[:-1] + 1] = False
-                    tally = tallies.setdefault(name, np.zeros(CODES, np.int64))
-                    tally += np.bincount(codes[real], minlength=CODES)
-            if len(tallies) > 64:
-                yield from flush()
-        yield from flush()
-
-    usable = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    rows = usable.mapInArrow(run, "lang string, code int, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
-    names, codes, counts = np.array(rows.column("lang").to_pylist(), object), rows.column("code").to_numpy(), rows.column("n").to_numpy()
-    models = {}
-    for name in sorted(set(names.tolist())):
-        mine = np.flatnonzero(names == name)
-        mine = mine[np.argsort(codes[mine])]
-        models[name] = KneserNey.fit(codes[mine].astype(np.int64), counts[mine].astype(np.float64))
+                    codes, begin = points(some)
+                    number, window, _ = _distinct(codes, begin)
+                    if len(window):
+                        grams = np.ascontiguousarray(window).view(f"<U{ORDER}").ravel().tolist()
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(np.bincount(number, minlength=len(window)), pa.int64())], names=["lang", "gram", "n"])
+
+    return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def lower_counts(counts: DataFrame) -> DataFrame:
+    """Continuation counts of the next lower order: how many n-grams end in each."""
+    return counts.groupBy("lang", F.substring("gram", 2, ORDER).alias("gram")).agg(F.count("*").alias("n"))
+
+
+def smoothed(counts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(probabilities, backoffs) of order k: (lang, gram, n, value) and (lang, gram, n, value), the latter by context."""
+    n1, n2 = (F.count(F.when(F.col("n") == c, True)) for c in (1, 2))
+    off = counts.groupBy("lang").agg(F.when((n1 > 0) & (n2 > 0), n1 / (n1 + 2 * n2)).otherwise(F.lit(0.5)).alias("d"))
+    seen = counts.withColumn("context", F.substring("gram", 1, k - 1) if k > 1 else F.lit("")).join(F.broadcast(off), "lang")  # a row for each language
+    totals = seen.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.first("d") * F.count("*")).alias("left"))
+    probs = seen.join(totals, ["lang", "context"]).select("lang", "gram", "n", ((F.col("n") - F.col("d")) / F.col("total")).alias("value"))
+    return probs, totals.select("lang", F.col("context").alias("gram"), F.col("total").alias("n"), (F.col("left") / F.col("total")).alias("value"))
+
+
+def train(docs: DataFrame, lang: str = "lang", text: str = "text", languages: int = LANGUAGES, entries: int = ENTRIES) -> dict[str, KneserNey]:
+    """A model for each non-null language of docs, from all its texts; of each order the most frequent n-grams, entries of all languages together."""
+    usable = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
+    names = sorted(r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
+    if not names:
+        return {}
+    scratch, each = Scratch(docs.sparkSession), max(1, entries // len(names))
+    counts = scratch.save(count_grams(usable.where(F.col("lang").isin(names))), "grams")
+    n_symbols = counts.select(F.substring("gram", ORDER, 1).alias("s")).distinct().count()
+    models = {n: KneserNey(base=1 / (n_symbols + 1)) for n in names}
+    most = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    for k in range(ORDER, 0, -1):
+        for rows, to, width in zip(smoothed(counts, k), ("probs", "backoffs"), (k, k - 1), strict=True):
+            held = rows.withColumn("rn", most).where(F.col("rn") <= each).select("lang", "gram", "value").toArrow()
+            whose, grams, values = np.array(held.column("lang").to_pylist(), object), np.array(held.column("gram").to_pylist(), object), held.column("value").to_numpy()
+            for name, model in models.items():
+                mine = np.flatnonzero(whose == name)
+                getattr(model, to).append(SortedHashes.of(hashes_of(grams[mine].tolist(), width), values[mine]))
+        if k > 1:
+            counts = scratch.save(lower_counts(counts), "grams")
     return models
 
 
@@ -190,19 +217,18 @@ def entropies(docs: DataFrame, models: dict[str, KneserNey], text: str, keep: li
     kind = some.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = np.arange(CODES, dtype=np.int64)
-        tables = [(-np.log2(sent.value[n].prob(every))).astype(np.float32) for n in names]
         for batch in batches:
             texts = [t.as_py() for t in batch.column("text")]
             bits, n, letters = np.zeros((len(texts), len(names))), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             for at, pieces in _groups(texts):
-                codes, begin, letter = encode(pieces)
-                lo, hi = begin[:-1] + 2, begin[1:]
-                np.add.at(letters, at, letter)
-                np.add.at(n, at, hi - lo)
-                for k, table in enumerate(tables):
-                    part = np.concatenate([[0.0], np.cumsum(table[codes], dtype=np.float64)])
-                    np.add.at(bits[:, k], at, part[hi] - part[lo])
+                codes, begin = points(pieces)
+                number, window, upto = _distinct(codes, begin)
+                np.add.at(letters, at, [len(p) - p.count(" ") for p in pieces])
+                np.add.at(n, at, np.diff(upto))
+                for k, name in enumerate(names):
+                    cost = -np.log2(sent.value[name].prob(window))
+                    part = np.concatenate([[0.0], np.cumsum(cost[number])])
+                    np.add.at(bits[:, k], at, np.diff(part[upto]))
             h = bits / np.maximum(n, 1)[:, None]
             offsets = np.arange(0, h.size + 1, max(len(names), 1)) if names else np.zeros(len(texts) + 1)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(letters), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h.ravel()))], names=["row", "n_letters", "h"])
@@ -213,17 +239,19 @@ def entropies(docs: DataFrame, models: dict[str, KneserNey], text: str, keep: li
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score, accepted, h_best for every row.
 
-    Learns from rows that aren't held out and have text and language. Null texts, texts
+    Learns from rows that aren't held out and have text and language; a third of those calibrates the
+    posterior and the limits, and is not counted by the models (if the rest has no text, all are counted, and if
+    the third has none, all calibrate). Null texts, texts
     without a letter, and all texts if nothing was learned, are ``und`` with score 0. Long
     texts are scored whole, in pieces; of languages that tie the first by name counts. Rows
     that repeat are counted and returned as often as they come; an empty table gives no rows;
     other columns are ignored.
     """
     ship_code(docs.sparkSession)
-    out = held_out(F.col(doc_id))
-    models = train(docs.where(~out), lang, text)
+    out, tuning = held_out(F.col(doc_id)), _part(F.col(doc_id)) == 3
+    models = train(docs.where(~out & ~tuning), lang, text) or train(docs.where(~out), lang, text)
     names = sorted(models)
-    keep = [F.col(doc_id).alias("doc_id"), out.alias("held_out"), F.col(lang).cast("string").alias("lang")]
+    keep = [F.col(doc_id).alias("doc_id"), out.alias("held_out"), tuning.alias("tuning"), F.col(lang).cast("string").alias("lang")]
     table = Scratch(docs.sparkSession).save(entropies(docs, models, text, keep), "entropies").select("row.*", "n_letters", "h")
     if not names:
         return table.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"), F.lit(None).cast("double").alias("h_best"))
@@ -235,6 +263,8 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
         return 1 / F.aggregate("h", F.lit(0.0), lambda a, x: a + F.exp(F.least(F.lit(500.0), sharp * (of - x))))
 
     known = table.where(~F.col("held_out") & (F.col("n_letters") > 0) & F.col("lang").isin(*names))
+    kept_back = known.where("tuning")
+    known = known if kept_back.isEmpty() else kept_back
     true = F.get("h", F.array_position(F.array(*[F.lit(n) for n in names]), F.col("lang")).cast("int") - 1)
     fits = known.agg(*[F.avg(F.log(F.greatest(posterior(true, s), F.lit(1e-12)))).alias(f"s{k}") for k, s in enumerate(SHARPNESS)]).first()
     sharp = SHARPNESS[max(range(len(SHARPNESS)), key=lambda k: (fits[k] is not None, fits[k] or 0.0))]
