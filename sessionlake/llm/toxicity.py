@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from sessionlake.llm.common import ship_code, within
+from sessionlake.llm.common import Scratch, ship_code, within
 from sessionlake.llm.langid import held_out
 
 #: Labelled documents of either label that weights are fitted on, at most.
@@ -187,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     ship_code(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("id"), F.col(toxic).alias("y")).where("id is not null and y is not null").groupBy("id").agg((F.max("y") > 0).cast("int").alias("y"))
     labelled = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(within(known), "id").withColumn("h", F.xxhash64("id"))
-    names, n_pos, n_neg = choose(_spread(labelled))
+    counts = Scratch(docs.sparkSession).save(_spread(labelled), "features")
+    names, n_pos, n_neg = choose(counts)
     ends = known.withColumn("h", F.xxhash64("id"))
     last = {y: ends.where(F.col("y") == y).orderBy("h").limit(sample).agg(F.max("h")).first()[0] for y in (0, 1)}
     some = labelled.where(F.when(F.col("y") == 1, F.col("h") <= F.lit(last[1]).cast("bigint")).otherwise(F.col("h") <= F.lit(last[0]).cast("bigint")))
