@@ -13,7 +13,6 @@ from __future__ import annotations
 import json
 import logging
 import sys
-from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from sessionlake.operators import workdays  # noqa: E402
 from sessionlake.session import get_spark  # noqa: E402
+from sessionlake.sources.sinks import dynamic_overwrite  # noqa: E402
 
 log = logging.getLogger("work_day_index")
 
@@ -29,18 +29,6 @@ ACTIVITY = "project string, folder string, days bigint, events bigint, last_ts t
 INDEX = "project string, n_days int, work_days string, events bigint, folders string, last_ts timestamp, month string"
 
 
-@contextmanager
-def dynamic_overwrite(spark: SparkSession):
-    """Overwrites replace only the partitions that are written; the session's own setting comes back."""
-    name = "spark.sql.sources.partitionOverwriteMode"
-    was = spark.conf.get(name)
-    spark.conf.set(name, "dynamic")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, was)
-
-
 def activity(events: DataFrame) -> DataFrame:
     """(month, project, folder, days, events, last_ts) of a batch; days is the month's bitmap. Events without a time or project are left out."""
     day = F.to_date("ts")

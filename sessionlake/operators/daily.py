@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from sessionlake.functions import text as x
+from sessionlake.operators import scan
 from sessionlake.sources.text import join_lines
 
 
 def with_section(lines: DataFrame, key: str, order: str = "line_no", line: str = "line") -> DataFrame:
     """Lines with section (the latest ``## `` heading, stripped; "" before any) and sec_no."""
     head = F.col(line).startswith("## ")
-    so_far = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("sec_no", F.count(F.when(head, True)).over(so_far))
-    return rows.withColumn("section", F.coalesce(F.last(F.when(head, x.stripped(line)), ignorenulls=True).over(so_far), F.lit("")))
+    rows = scan.running(lines, key, order, sums={"sec_no": F.when(head, F.lit(1).cast("bigint"))}, lasts={"section": F.when(head, x.stripped(line))})
+    return rows.withColumn("section", F.coalesce("section", F.lit("")))
 
 
 def scope_lines(lines: DataFrame, scope: str) -> DataFrame:
@@ -27,16 +27,15 @@ def scope_lines(lines: DataFrame, scope: str) -> DataFrame:
     """
     line = F.col("line")
     top, head = line.startswith("# "), line.startswith("## ")
-    so_far = Window.partitionBy("day").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("part", F.count(F.when(top | head, True)).over(so_far)).withColumn("open", F.last(F.when(top, F.lit(False)).when(head, F.lit(True)), ignorenulls=True).over(so_far))
+    rows = scan.running(lines.select("day", "line_no", "line"), "day", "line_no", sums={"part": F.when(top | head, F.lit(1).cast("bigint"))}, lasts={"open": F.when(top, F.lit(False)).when(head, F.lit(True))})
     blank = line.rlike(x.BLANK)
     tag = F.nullif(F.regexp_extract(line, x.TAGGED, 1), F.lit(""))
     paragraph = ~blank & ~x.stripped(line).startswith("-") & F.lit(scope.lower() == "global")
     entry = F.when(tag.isNotNull(), F.lower(tag) == scope.lower()).otherwise(paragraph)
     content = F.coalesce(F.col("open"), F.lit(False)) & ~head & ~line.rlike(x.ROUTED) & entry
-    rows = rows.withColumn("content", content).withColumn("any", F.max("content").over(Window.partitionBy("day", "part")))
-    inside = F.coalesce(F.col("open"), F.lit(False)) & F.col("any") & (head | F.col("content") | (blank & ~line.rlike(x.ROUTED)))
-    return rows.where(top | inside).select("day", "line_no", "line")
+    rows = rows.withColumn("content", content).where(top | (F.coalesce(F.col("open"), F.lit(False)) & (head | F.col("content") | (blank & ~line.rlike(x.ROUTED))))).withColumn("__part", F.struct("day", "part"))
+    hit = rows.where("content").select("__part").distinct().withColumn("any", F.lit(True))
+    return rows.join(hit, "__part", "left").where(top | F.col("any")).select("day", "line_no", "line")
 
 
 def scope_text(lines: DataFrame, scope: str) -> DataFrame:

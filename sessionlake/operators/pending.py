@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionlake.operators import scan
+
 MIN_SIZE, MIN_LINES = 1000, 15
 DAY_LINE_BUDGET = 1950
 
@@ -46,8 +48,8 @@ def budget_lines(lines: DataFrame, session: str, order: str, total: int) -> Data
     the first third and the last two thirds of that stay.
     """
     sessions = lines.select(session).distinct().agg(F.greatest(F.floor(F.lit(total) / F.greatest(F.count("*"), F.lit(1))), F.lit(MIN_LINES)).cast("int").alias("__cap"))
-    own = Window.partitionBy(session)
-    rows = lines.join(F.broadcast(sessions)).withColumn("__n", F.count("*").over(own)).withColumn("__rn", F.row_number().over(own.orderBy(order)))
+    one = F.lit(1).cast("bigint")
+    rows = scan.running(lines, session, order, sums={"__rn": one}, totals={"__n": one}).join(F.broadcast(sessions))
     n, rn, cap = F.col("__n"), F.col("__rn"), F.col("__cap")
     head = F.floor(cap / 3)
     tail_from = n - (cap - head)

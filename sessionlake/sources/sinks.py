@@ -118,6 +118,24 @@ def locked(spark: SparkSession, path: str, wait: float = 10.0, stale: float = 60
         lock.delete()
 
 
+@contextmanager
+def dynamic_overwrite(spark: SparkSession) -> Iterator[None]:
+    """Overwrites replace only the partitions that they write; the session's own setting comes back."""
+    name = "spark.sql.sources.partitionOverwriteMode"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "dynamic")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+def replace_partitions(rows: DataFrame, table: str, by: list[str]) -> None:
+    """Writes rows to a Parquet table in place of the partitions that they have; others stay, and a table without rows is none."""
+    with dynamic_overwrite(rows.sparkSession):
+        rows.write.mode("overwrite").partitionBy(*by).parquet(table)
+
+
 def save_json(spark: SparkSession, path: str, value: object, indent: int = 2) -> bool:
     return write_document(spark, path, json.dumps(value, indent=indent, ensure_ascii=False))
 

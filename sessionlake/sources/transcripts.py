@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionlake import schemas
 from sessionlake.functions import text as x
+from sessionlake.sources import growing
 from sessionlake.sources.text import list_files, read_numbered, read_whole
 
 
@@ -74,12 +75,13 @@ def assistant_sessions(lines: DataFrame) -> DataFrame:
 
 
 def first_lines(spark: SparkSession, projects: str) -> DataFrame:
-    """(project_hash, cwd, days): from the first line of each file, in order of name.
+    """(project_hash, cwd, days): from the first line of each file, in order of name; no more of a file is read than its first block.
 
     cwd is the first non-empty one; days are the dates of the time stamps. Subagent files count.
     """
-    lines = read_numbered(spark, f"{projects}/*/*.jsonl").groupBy("path", "name").agg(F.min_by("line", "line_no").alias("line"))
-    rows = lines.select(folder().alias("project_hash"), "name", F.from_json("line", schemas.FIRST_LINE).alias("f"))
+    growing.register(spark)
+    lines = spark.read.format("growing_lines").option("path", projects).option("depth", 2).option("first", True).load()
+    rows = lines.select(folder().alias("project_hash"), F.element_at(F.split("path", "/"), -1).alias("name"), F.from_json("line", schemas.FIRST_LINE).alias("f"))
     day = F.when(x.index_datetime("f.timestamp").isNotNull(), F.substring("f.timestamp", 1, 10))
     cwd = F.nullif("f.cwd", F.lit(""))
     return rows.groupBy("project_hash").agg(F.min_by(cwd, F.when(cwd.isNotNull(), F.col("name"))).alias("cwd"), F.array_sort(F.collect_set(day)).alias("days"))

@@ -1,7 +1,7 @@
-"""Incremental ingest: a ledger for files that grow, a stream for files that don't.
+"""Incremental ingest: transcripts that grow by a stream of their new lines, sessions by a ledger, drops by a file stream.
 
-A file stream never reads an appended file again, so transcripts, which grow in place, are taken by
-batch scan and ledger; the stream form is for immutable drops only.
+Spark's file stream never reads an appended file again, so it is for immutable drops only; what
+transcripts gain comes through sources.growing, whose position is a byte in each file.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql.column import Column
 from pyspark.sql.streaming import StreamingQuery
 
 from sessionlake.operators import ledger
+from sessionlake.sources import growing
+from sessionlake.sources.sinks import replace_partitions
 
 
 def process_once(extracted: DataFrame, captured: DataFrame, sink: Callable[[DataFrame], None], commit: Callable[[DataFrame], None], today: Column) -> None:
@@ -37,6 +39,26 @@ def stream_drops(spark: SparkSession, path: str, schema: str, transform: Callabl
     return transform(spark.readStream.schema(schema).parquet(path)).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_lines(spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], None], checkpoint: str, **options: str | int) -> StreamingQuery:
+    """Gives the sink the whole lines (path, start, line) that files below the folder gained since the checkpoint, and stops."""
+    growing.register(spark)
+    lines = spark.readStream.format("growing_lines").options(path=folder, **options).load()
+    return lines.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def keep_lines(spark: SparkSession, folder: str, table: str, checkpoint: str, **options: str | int) -> DataFrame:
+    """Adds the lines that files gained to a table, and gives the whole table: (path, start, line, batch).
+
+    A batch has a partition of its own, so one that is repeated after a failure replaces itself.
+    """
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        replace_partitions(batch.withColumn("batch", F.lit(batch_id).cast("bigint")), table, ["batch"])
+
+    stream_lines(spark, folder, sink, checkpoint, **options).awaitTermination()
+    return spark.read.schema(f"{growing.SCHEMA}, batch bigint").parquet(table)
+
+
 def daily_activity(events: DataFrame, late: str = "1 day") -> DataFrame:
     """(user_id, day, events) as a watermarked stream or batch: work days as they close."""
     day = F.window("ts", "1 day")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from oracle import connect, same
 
-from sessionlake import queries, tree_queries  # noqa: F401  (adds its own to the catalogue)
+from sessionlake import queries, table_queries, tree_queries  # noqa: F401  (adds its own to the catalogue)
 
 SF = "/root/testdata/sf0.001"
 
