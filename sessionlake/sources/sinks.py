@@ -173,6 +173,38 @@ def write_documents(texts: DataFrame, folder: str, key: str = "file", text: str
     texts.select(F.col(key), F.regexp_replace(F.col(text), "\n$", "").alias("value")).repartition(F.col(key)).write.mode("overwrite").partitionBy(key).text(folder)
 
 
+def write_files(files: DataFrame) -> int:
+    """Files (path, text, mtime) written by the executors under their own names, each staged and renamed; their number.
+
+    mtime: milliseconds, or null for now; only file systems that are mounted can set it. A task that
+    is repeated writes the same files again; of rows that share a path any one counts. Null texts are empty.
+    """
+
+    def run(batches):
+        import os as system
+        import uuid as ids
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, text, at in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), batch.column("mtime").to_pylist(), strict=True):
+                store, where = fs.FileSystem.from_uri("/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path)
+                folder, _, name = where.rpartition("/")
+                stage = f"{folder}/.{name}.{ids.uuid4().hex}.stage"
+                store.create_dir(folder, recursive=True)
+                with store.open_output_stream(stage) as out:
+                    out.write((text or "").encode())
+                if at is not None:
+                    if store.type_name != "local":
+                        raise NotImplementedError(f"times can't be set on {path}")
+                    system.utime(stage, (at / 1000, at / 1000))
+                store.move(stage, where)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return files.select("path", "text", F.col("mtime").cast("bigint").alias("mtime")).mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_extract(spark: SparkSession, extracted: DataFrame, path: str, sidecar: str, total: int | None = None, as_json: bool = False) -> int:
     """An extract as text or JSON and its session ids beside it; never marks anything.
 

@@ -1,10 +1,9 @@
 """Queries over a memory tree that is written out of the table conversations.
 
 Every conversation becomes a transcript file, its project's folder, session index, ledger
-entry, notes and days follow from its id, and the sources, sinks and plans run over the files. The
-DuckDB SQL tells the same from the table, so it knows nothing of the files. Trees are written by
-the driver, one small file for each conversation, below the shared folder; queries that change
-a tree have one of their own.
+entry, notes, settings, backups and days follow from the table, and the sources, sinks and plans run over
+the files. The DuckDB SQL tells the same from the table, so it knows nothing of the files. Trees are
+written by the executors below the shared folder; queries that change a tree have one of their own.
 """
 
 from __future__ import annotations
@@ -36,14 +35,20 @@ TAIL = "CASE WHEN c % 11 = 0 THEN concat(chr(10), '{bad') ELSE '' END"
 CREATED = "CASE c % 7 WHEN 0 THEN concat('2024-03-', lpad(cast(1 + c % 28 as varchar(9)), 2, '0'), 'T23:30:00-05:00') WHEN 1 THEN concat('2024-04-', lpad(cast(1 + c % 28 as varchar(9)), 2, '0'), 'T01:00:00Z') END"
 #: Modification times: noon of a day of February 2024.
 FIRST_MTIME, DAY_MS = 1_706_788_800_000, 86_400_000
-INDEX_0, INDEX_1, INDEX_3 = "/work/P0", "/work/P1", "/gone/P3"
+#: The day of a conversation's entry in the notes, and which conversations stand for a project that is gone.
+ENTRY_DAY = "concat(CASE WHEN c % 3 = 0 THEN '2023-06-' ELSE '2024-02-' END, lpad(cast(1 + c % 28 as varchar(9)), 2, '0'))"
+GONE = "c % 50 = 9"
 
 SQL = f"""with talk as (select *, {KIND} as kind from (select conv_id as c, turn, role, {CLEAN} as clean from conversations)),
  f as (select c, concat('-p', cast(c % 7 as varchar)) as project_hash, cast(c as varchar) as session_id, concat({HEAD}, chr(10), string_agg({LINE}, chr(10) order by turn), {TAIL}) as body,
    date '2024-02-01' + cast(c % 28 as integer) as mday, {CREATED} as created, case when c % 7 < 2 and c % 2 = 0 then concat('s', cast(c as varchar)) end as summary, bool_or(role = 'assistant') as said from talk group by c),
  s as (select *, strlen(body) as size, case when created is not null then substr(created, 1, 10) else cast(mday as varchar) end as date from f),
  said as (select project_hash, session_id, turn, clean as content from talk join f using (c) where role = 'assistant' and clean <> '' and not (starts_with(clean, 'Base directory for this skill:') or contains(substr(clean, 1, 200), '<command-name>') or contains(clean, '<system-reminder>'))),
- todo as (select * from s where size >= 1000 and c % 4 <> 0)"""
+ todo as (select * from s where size >= 1000 and c % 4 <> 0),
+ gone as (select c, {DAY} as day from f where {GONE}),
+ known as (select concat('/work/p', cast(c % 7 as varchar)) as key, concat('P', cast(c % 7 as varchar)) as name, {DAY} as day from f where c % 7 < 2 group by all union all select concat('/gone/p', cast(c as varchar)), concat('P', cast(c as varchar)), day from gone),
+ gnote as (select concat('## Pinned', chr(10), '- é', chr(10), '## Key Learnings', chr(10), string_agg(concat('- (', {ENTRY_DAY}, ') [tip] g', cast(c as varchar)), chr(10) order by c), chr(10)) as text from f),
+ pnote as (select concat('## Key Decisions', chr(10), string_agg(concat('- (', {ENTRY_DAY}, ') [design] p', cast(c as varchar)), chr(10) order by c), chr(10)) as text from f where c % 7 = 1)"""
 
 __all__ = ["ORACLE_SQL", "QUERIES", "tree", "write_tree"]
 _trees: dict[tuple, Layout] = {}
@@ -59,39 +64,52 @@ def tree(spark: SparkSession, sf_dir: str, own: bool = False) -> Layout:
     return _trees[key]
 
 
-def write_tree(spark: SparkSession, sf_dir: str) -> Layout:
-    layout, store = Layout(Scratch(spark).root), Store(spark)
+def _document(rows: DataFrame, line: str, before: str = "", after: str = "\n") -> DataFrame:
+    """(path, text, mtime) of documents whose lines come from rows (path, c) in order of c."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", F.expr(line).alias("l")))), lambda z: z["l"]), "\n")
+    return rows.groupBy("path").agg(lines.alias("t")).select("path", F.concat(F.lit(before), "t", F.lit(after)).alias("text"), F.lit(None).cast("bigint").alias("mtime"))
+
+
+def documents(spark: SparkSession, sf_dir: str, layout: Layout) -> DataFrame:
+    """(path, text, mtime): every file of the tree but the last settings, from the table conversations."""
     talk = table(spark, sf_dir, "conversations").withColumn("c", F.col("conv_id")).withColumn("clean", F.expr(CLEAN)).withColumn("kind", F.expr(KIND))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.expr(LINE).alias("l")))), lambda z: z["l"]), "\n")
-    sessions = talk.groupBy("c").agg(lines.alias("lines")).select("c", F.concat(F.expr(HEAD), F.lit("\n"), "lines", F.expr(TAIL)).alias("body"), F.expr(CREATED).alias("created"), F.expr(DAY).alias("day")).orderBy("c")
-    indexes: dict[int, list] = {0: [], 1: []}
-    notes: dict[str, list[str]] = {}
-    captured = []
-    for r in sessions.toLocalIterator():
-        c = r["c"]
-        path = f"{layout.projects}/-p{c % 7}/{c}.jsonl"
-        store.write(path, r["body"])
-        store.set_time(path, FIRST_MTIME + c % 28 * DAY_MS)
-        if c % 7 in indexes:
-            entry = {"sessionId" if c % 7 == 0 else "id": str(c), "created": r["created"], "projectPath": f"/work/P{c % 7}"}
-            indexes[c % 7].append(entry | ({"summary": f"s{c}"} if c % 2 == 0 else {}))
-        if c % 4 == 0:
-            captured += [f" {c} ", "", str(c)]
-        notes.setdefault(r["day"], [f"# {r['day']}", "## Actions"]).extend([f"- [global/implement] g{c}", f"- [P{c % 7}/implement] p{c}"])
-    for p, doc in ((0, {"originalPath": INDEX_0, "entries": indexes[0]}), (1, {"originalPath": "", "entries": indexes[1]}), (3, {"originalPath": INDEX_3, "entries": []})):
-        store.write_json(f"{layout.projects}/-p{p}/sessions-index.json", doc)
-    store.write(f"{layout.projects}/-p2/sessions-index.json", "{bad")
-    store.write(layout.captured, "\r\n".join(captured))
-    for day, text in notes.items():
-        store.write(f"{layout.daily}/{day}.md", "\n".join(text))
-    projects = {f"/work/p{p}": {"name": f"P{p}", "originalPath": f"/work/P{p}", "encodedPaths": [f"-p{p}"], "workDays": ["2024-01-05", "2024-02-05"][: p + 1]} for p in (0, 1)}
-    store.write_json(layout.projects_index, {"version": 1, "projects": projects | {"/gone/p9": {"name": "P9", "originalPath": "/gone/P9", "encodedPaths": ["-p9"], "workDays": ["2024-01-09"]}}})
-    store.write(layout.global_memory, "## Pinned\n- é\n## Key Learnings\n- (2023-01-01) [tip] old\n- (2024-02-20) [tip] new\n")
-    store.write(f"{layout.project_memory}/p1-long-term-memory.md", "## Key Decisions\n- (2024-01-01) [design] first\n- (2024-02-06) [design] last\n")
-    store.write(layout.settings, '{"globalShortTerm": {"workingDays": 3}, "decay": {"ageDays": 40}}')
-    store.write(f"{layout.backups}/20240101_000000/a.md", "x")
-    store.write(f"{layout.backups}/20240202_000000/b.md", "y")
-    store.write(f"{layout.backups}/20240202_000000/a.md", "z")
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.expr(LINE).alias("l")))), lambda z: z["l"]), "\n")
+    at = lambda e: F.expr(f"concat({e})").alias("path")
+    transcript = talk.groupBy("c").agg(said.alias("lines")).select(at(f"'{layout.projects}/-p', c % 7, '/', c, '.jsonl'"), F.concat(F.expr(HEAD), F.lit("\n"), "lines", F.expr(TAIL)).alias("text"), F.expr(f"{FIRST_MTIME} + c % 28 * {DAY_MS}").alias("mtime"))
+    ids = talk.select("c").distinct().withColumn("day", F.expr(DAY)).withColumn("created", F.expr(CREATED))
+
+    def whole(path: str, text: F.Column, rows: DataFrame) -> DataFrame:
+        return rows.select(at(path), text.alias("text"), F.lit(None).cast("bigint").alias("mtime"))
+
+    name = F.expr("concat('/work/P', c % 7)")
+    entry = F.to_json(F.struct(F.expr("CASE WHEN c % 7 = 0 THEN cast(c as string) END").alias("sessionId"), F.expr("CASE WHEN c % 7 = 1 THEN cast(c as string) END").alias("id"), "created", name.alias("projectPath"), F.expr("CASE WHEN c % 2 = 0 THEN concat('s', c) END").alias("summary")))
+    listed = ids.where("c % 7 < 2").groupBy((F.col("c") % 7).alias("c")).agg(F.array_join(F.array_sort(F.collect_list(entry)), ", ").alias("entries"))
+    indexes = whole(f"'{layout.projects}/-p', c, '/sessions-index.json'", F.expr("""concat('{"originalPath": "', CASE WHEN c = 0 THEN '/work/P0' ELSE '' END, '", "entries": [', entries, ']}')"""), listed)
+    gone = ids.where(GONE)
+    indexes = indexes.unionByName(whole(f"'{layout.projects}/-p', c, '/sessions-index.json'", F.expr("""concat('{"originalPath": "/gone/P', c, '", "entries": []}')"""), gone))
+    indexes = indexes.unionByName(whole(f"'{layout.projects}/-p2/sessions-index.json'", F.lit("{bad"), ids.limit(1)))
+
+    held = ids.where("c % 7 < 2").groupBy((F.col("c") % 7).alias("c")).agg(F.array_sort(F.collect_set("day")).alias("days")).withColumn("where", F.lit("work"))
+    held = held.unionByName(gone.select("c", F.array("day").alias("days"), F.lit("gone").alias("where")))
+    project = F.struct(F.expr("concat('P', c)").alias("name"), F.expr("concat('/', where, '/P', c)").alias("originalPath"), F.array(F.expr("concat('-p', c)")).alias("encodedPaths"), F.col("days").alias("workDays"))
+    known = held.groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.expr("concat('/', where, '/p', c)").alias("k"), project.alias("v"))))).alias("projects")).where("size(projects) > 0")
+    indexes = indexes.unionByName(whole(f"'{layout.projects_index}'", F.to_json(F.struct(F.lit(1).alias("version"), "projects")), known))
+
+    fixed = lambda path: ids.withColumn("path", F.lit(path))
+    notes = _document(fixed(layout.captured).where("c % 4 = 0"), "concat(' ', c, ' ', chr(13), chr(10), chr(13), chr(10), c)", after="\r\n")
+    notes = notes.unionByName(_document(fixed(layout.global_memory), f"concat('- (', {ENTRY_DAY}, ') [tip] g', c)", "## Pinned\n- é\n## Key Learnings\n"))
+    notes = notes.unionByName(_document(fixed(f"{layout.project_memory}/p1-long-term-memory.md").where("c % 7 = 1"), f"concat('- (', {ENTRY_DAY}, ') [design] p', c)", "## Key Decisions\n"))
+    daily_notes = _document(ids.withColumn("path", F.concat(F.lit(f"{layout.daily}/"), "day", F.lit(".md"))), "concat('- [global/implement] g', c, chr(10), '- [P', c % 7, '/implement] p', c)", after="")
+    notes = notes.unionByName(daily_notes.withColumn("text", F.concat(F.lit("# "), F.regexp_extract("path", r"([^/]*)\.md$", 1), F.lit("\n## Actions\n"), "text")))
+    saved = ids.select("c", at(f"'{layout.backups}/', replace(day, '-', ''), '_000000/', c % 3, '.md'"))
+    notes = notes.unionByName(_document(saved, "cast(c as string)"))
+    own = ids.agg(F.count("*").alias("n")).select(F.expr("""concat('{"globalShortTerm": {"workingDays": ', 1 + n % 20, '}, "decay": {"ageDays": ', 10 + n % 100, '}}')""").alias("text"))
+    return transcript.unionByName(indexes).unionByName(notes).unionByName(own.select(F.lit(layout.settings).alias("path"), "text", F.lit(None).cast("bigint").alias("mtime")))
+
+
+def write_tree(spark: SparkSession, sf_dir: str) -> Layout:
+    layout = Layout(Scratch(spark).root)
+    sinks.write_files(documents(spark, sf_dir, layout))
     return layout
 
 
@@ -104,14 +122,14 @@ def tree_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     SQL + """ select '-p0' as project_hash, '/work/P0' as original_path, session_id as id, created from s where c % 7 = 0
- union all select '-p1', '/work/P1', session_id, created from s where c % 7 = 1 union all select '-p3', '/gone/P3', null, null"""
+ union all select '-p1', '/work/P1', session_id, created from s where c % 7 = 1 union all select concat('-p', cast(c as varchar)), concat('/gone/P', cast(c as varchar)), null, null from gone"""
 )
 def tree_index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = transcripts.read_sessions_indexes(spark, tree(spark, sf_dir).projects)
     return rows.select("project_hash", "original_path", F.coalesce("entry.sessionId", "entry.id").alias("id"), "entry.created")
 
 
-@query("select * from (values ('-p0', '/work/P0'), ('-p1', '/work/P1'), ('-p3', '/gone/P3')) as v(project_hash, original_path)")
+@query(SQL + " select distinct project_hash, concat('/work/P', cast(c % 7 as varchar)) as original_path from f where c % 7 < 2 union all select concat('-p', cast(c as varchar)), concat('/gone/P', cast(c as varchar)) from gone")
 def tree_original_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.original_paths(transcripts.read_sessions_indexes(spark, tree(spark, sf_dir).projects))
 
@@ -153,7 +171,7 @@ def tree_ledger_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_ledger(spark, path)
 
 
-@query("select * from (values ('global', 82, '##'), ('p1', 76, '##'), ('none', 0, '')) as v(component, bytes, mark)")
+@query(SQL + " select 'global' as component, cast(strlen(text) as integer) as bytes, substr(text, 1, 2) as mark from gnote union all select 'p1', cast(strlen(text) as integer), substr(text, 1, 2) from pnote union all select 'none', 0, ''")
 def tree_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout = tree(spark, sf_dir)
     parts = [files.document_size(spark, layout.global_memory, "global"), files.document_size(spark, f"{layout.project_memory}/p1-long-term-memory.md", "p1"), files.document_size(spark, f"{layout.project_memory}/none.md", "none")]
@@ -169,7 +187,7 @@ def tree_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_daily(spark, tree(spark, sf_dir).daily)
 
 
-@query("select * from (values (0, '20240202_000000', 'a.md,b.md'), (1, '20240101_000000', 'a.md')) as v(pos, backup, files)")
+@query(SQL + f" select cast(row_number() over (order by backup desc) - 1 as integer) as pos, backup, files from (select replace({DAY}, '-', '') || '_000000' as backup, string_agg(distinct concat(cast(c % 3 as varchar), '.md'), ',' order by concat(cast(c % 3 as varchar), '.md')) as files from f group by 1)")
 def tree_backups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = files.list_backups(spark, tree(spark, sf_dir).backups)
     return rows.select("backup", F.array_join("files", ",").alias("files")).coalesce(1).withColumn("pos", F.monotonically_increasing_id().cast("int"))
@@ -179,7 +197,10 @@ def _pairs(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-@query("select * from (values ('file', 3, 2250, 40, 17500), ('missing', 2, 1500, 30, 16750), ('bad', 2, 1500, 30, 16750)) as v(source, days, day_tokens, age, total)")
+@query(
+    SQL + """, n as (select count(*) as n from f) select 'file' as source, cast(1 + n % 20 as integer) as days, cast(750 * (1 + n % 20) as integer) as day_tokens, cast(10 + n % 100 as integer) as age, cast(16750 + 750 * (n % 20 - 1) as integer) as total from n
+ union all select * from (values ('missing', 2, 1500, 30, 16750), ('bad', 2, 1500, 30, 16750))"""
+)
 def tree_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings of a file over the defaults, of no file and of one that is no JSON, with derived limits."""
     layout, rows = tree(spark, sf_dir), []
@@ -189,12 +210,15 @@ def tree_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, rows, "source string, days int, day_tokens int, age int, total int")
 
 
-@query("""select * from (values (0, 'set decay.ageDays 9', '9'), (1, 'set decay.ageDays 6', 'refused'), (2, 'set synthesis.background False', 'False'), (3, 'set synthesis.background 1', 'refused'), (4, 'set no.such 1', 'refused'),
- (5, 'reset decay.ageDays', '30'), (6, 'saved', '9'), (7, 'usage', '120.0 True')) as v(k, step, value)""")
+@query(
+    """with n as (select count(*) as n, 8 + count(*) % 300 as age from conversations)
+ select 0 as k, 'set decay.ageDays ' || cast(age as varchar) as step, cast(age as varchar) as value from n union all select 1, 'set decay.ageDays ' || cast(-n as varchar), 'refused' from n union all select 2, 'set synthesis.background False', 'False' union all select 3, 'set synthesis.background 1', 'refused'
+ union all select 4, 'set no.such 1', 'refused' union all select 5, 'reset decay.ageDays', '30' union all select 6, 'saved', cast(age as varchar) from n union all select 7, 'usage', cast(100.0::double * n / 1000 as varchar) || ' ' || case when n > 1000 then 'True' else 'False' end from n"""
+)
 def tree_settings_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes allowed and refused, a reset, what is saved and read back, and a share of a limit."""
-    layout, own, rows = tree(spark, sf_dir, own=True), settings.parse_settings(None), []
-    for path, value in (("decay.ageDays", 9), ("decay.ageDays", 6), ("synthesis.background", False), ("synthesis.background", 1), ("no.such", 1)):
+    """Changes allowed and refused, a reset, what is saved and read back, and a share of a limit; the values come from the number of turns."""
+    layout, own, rows, n = tree(spark, sf_dir, own=True), settings.parse_settings(None), [], table(spark, sf_dir, "conversations").count()
+    for path, value in (("decay.ageDays", 8 + n % 300), ("decay.ageDays", -n), ("synthesis.background", False), ("synthesis.background", 1), ("no.such", 1)):
         part, _, key = path.partition(".")
         try:
             own = settings.set_value(own, path, value)
@@ -205,15 +229,20 @@ def tree_settings_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.save_settings(spark, layout.settings, own)
     rows.append((5, "reset decay.ageDays", str(settings.reset(own, "decay.ageDays")["decay"]["ageDays"])))
     rows.append((6, "saved", str(settings.load_settings(spark, layout.settings)["decay"]["ageDays"])))
-    rows.append((7, "usage", " ".join(map(str, settings.usage_ratio(1200, 1000)))))
+    rows.append((7, "usage", " ".join(map(str, settings.usage_ratio(n, 1000)))))
     return _pairs(spark, rows, "k int, step string, value string")
 
 
-@query("select * from (values ('ok', true, '{' || chr(10) || '  \"a\": \"é\"' || chr(10) || '}'), ('again', true, '[]'), ('default', false, '5')) as v(step, saved, text)")
+@query(
+    SQL + f""", d as (select {DAY} as day, count(*) as n from f group by 1), w as (select cast(sum(n) as varchar) as n from d)
+ select 'ok' as step, true as saved, concat('{{', chr(10), string_agg(concat('  "', day, '": ', cast(n as varchar)), ',' || chr(10) order by day), chr(10), '}}') as text from d union all select 'again', true, concat('[', chr(10), '  ', n, chr(10), ']') from w union all select 'default', false, n from w"""
+)
 def tree_saved_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document saved, replaced, and a missing one's default."""
+    """A document of sessions by day saved, replaced by their number, and that as a missing one's default."""
     store, path = Store(spark), f"{Scratch(spark).root}/doc.json"
-    rows = [("ok", sinks.save_json(spark, path, {"a": "é"}), store.read(path)), ("again", sinks.save_json(spark, path, []), store.read(path)), ("default", store.exists(path + "-none"), str(store.json(path + "-none", 5)))]
+    days = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("c")).distinct().groupBy(F.expr(DAY).alias("day")).count().orderBy("day").collect()  # days of a month
+    n = sum(r["count"] for r in days)
+    rows = [("ok", sinks.save_json(spark, path, {r["day"]: r["count"] for r in days}), store.read(path)), ("again", sinks.save_json(spark, path, [n]), store.read(path)), ("default", store.exists(path + "-none"), str(store.json(path + "-none", n)))]
     return _pairs(spark, rows, "step string, saved boolean, text string")
 
 
@@ -234,18 +263,18 @@ def tree_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(transcripts.folder().alias("project_hash"), x.count_literal("value", "/moved/Q").alias("n"))
 
 
-@query("select * from (values ('p0-long-term-memory.md', '2024-01-05'), ('p1-long-term-memory.md', '2024-01-05'), ('p1-long-term-memory.md', '2024-02-05'), ('p9-long-term-memory.md', '2024-01-09')) as v(file, day)")
+@query(SQL + " select concat(lower(name), '-long-term-memory.md') as file, day from known")
 def tree_work_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.note_work_days(spark, tree(spark, sf_dir))
 
 
-@query("select * from (values ('P0'), ('P1'), ('P9')) as v(name)")
+@query(SQL + " select distinct name from known")
 def tree_project_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.project_names(transcripts.read_projects_index(spark, tree(spark, sf_dir).projects_index))
 
 
 @query(
-    SQL + f""", p as (select project_hash, case c % 7 when 3 then '/gone/P3' else concat('/work/P', cast(c % 7 as varchar)) end as path, {DAY} as day from f union all select project_hash, concat('/work/P', cast(c % 7 as varchar)), substr(created, 1, 10) from f where created is not null)
+    SQL + f""", p as (select project_hash, concat('/work/P', cast(c % 7 as varchar)) as path, {DAY} as day from f union all select project_hash, concat('/work/P', cast(c % 7 as varchar)), substr(created, 1, 10) from f where created is not null)
  select lower(path) as canonical_path, any_value(regexp_extract(path, '[^/]+$')) as name, any_value(project_hash) as encoded_paths, string_agg(distinct day, ',' order by day) as work_days from p group by lower(path)"""
 )
 def tree_projects_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,9 +295,12 @@ def tree_rebuilt_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, [(r["sessionId"], r["firstPrompt"], r["fileMtime"], r["created"]) for r in rows], "session_id string, first_prompt string, mtime bigint, created string")
 
 
-@query("""select * from (values ('count', 'archived 2'), ('count', 'purged 0'), ('global', '- (2024-02-20) [tip] new'), ('global', '- é'), ('global', '## Pinned'), ('global', '## Key Learnings'),
- ('p1', '## Key Decisions'), ('p1', '- (2024-02-06) [design] last'), ('archive', '# Decay Archive'), ('archive', '## Archived 2024-03-01'), ('archive', '- (2023-01-01) [tip] old'), ('archive', '  - *Source: global-long-term-memory.md*'),
- ('archive', '- (2024-01-01) [design] first'), ('archive', '  - *Source: p1-long-term-memory.md*')) as v(file, line)""")
+@query(
+    SQL + f""", e as (select c, {ENTRY_DAY} as day, 'global' as file, 'global-long-term-memory.md' as source, concat('- (', {ENTRY_DAY}, ') [tip] g', cast(c as varchar)) as line from f
+   union all select c, {ENTRY_DAY}, 'p1', 'p1-long-term-memory.md', concat('- (', {ENTRY_DAY}, ') [design] p', cast(c as varchar)) from f where c % 7 = 1), old as (select * from e where day < '2024-01-01')
+ select 'count' as file, concat('archived ', cast(count(*) as varchar)) as line from old union all select 'count', 'purged 0' union all select file, line from e where day > '2024-01-01' union all select * from (values ('global', '- é'), ('global', '## Pinned'), ('global', '## Key Learnings'))
+ union all select distinct 'p1', '## Key Decisions' from e where file = 'p1' union all select 'archive', line from old union all select 'archive', concat('  - *Source: ', source, '*') from old union all select distinct 'archive', unnest(['# Decay Archive', '## Archived 2024-03-01']) from old"""
+)
 def tree_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes and archive after a decay run: the global note by calendar, the project's by its work days."""
     layout = tree(spark, sf_dir, own=True)
@@ -300,22 +332,31 @@ def tree_uncaptured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.remove(files.read_ledger(spark, tree(spark, sf_dir).captured), ids)
 
 
-@query("""select * from (values ('move', 'no-source', true), ('move', 'no-parent', true), ('move to itself', 'target-exists', false), ('merge', 'no-orphan', true), ('merge', 'no-target', true), ('merge', 'target-empty', false)) as v(operation, code, blocking)""")
+@query(
+    SQL + """ select * from (values ('move', 'no-source', true), ('move', 'no-parent', true), ('move to itself', 'target-exists', false), ('merge', 'no-orphan', true), ('merge', 'no-target', true), ('merge', 'target-empty', false)) as v(operation, code, blocking)
+ union all select concat('merge -p', cast(c as varchar)), unnest(['no-target', 'target-empty']), unnest([true, false]) from gone"""
+)
 def tree_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the checks of moves and merges find: missing folders, an existing target, and nothing where all is well."""
+    """What the checks of moves and merges find: missing folders, an existing target, and nothing where all is well; and of every gone project's folder."""
     layout = tree(spark, sf_dir)
     here = layout.projects
     found = [("move", f) for f in lifecycle.check_move(spark, layout, "/none/such", "/none/of/this")]
     found += [("move to itself", f) for f in lifecycle.check_move(spark, layout, here, here)]
     found += [("fine", f) for f in lifecycle.check_move(spark, layout, here, f"{layout.root}/new")]
     found += [("merge", f) for f in lifecycle.check_merge(spark, layout, "-none", "/none/such")]
+    gone = [r["c"] for r in table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("c")).distinct().where(GONE).collect()]  # projects that are gone
+    found += [(f"merge -p{c}", f) for c in gone for f in lifecycle.check_merge(spark, layout, f"-p{c}", f"/gone/P{c}")]
     return _pairs(spark, [(o, f.code, f.blocking) for o, f in found], "operation string, code string, blocking boolean")
 
 
-@query("""select * from (values ('move', 'back_up', 'memory/projects-index.json', '', ''), ('move', 'forget', '/work/p0', '', ''), ('move', 'register', '/work/q0', '', 'Q0 -work-Q0 2024-01-05'),
+@query(
+    SQL + """, a as (select string_agg(day, ',' order by day) as days from known where key = '/work/p0'), x as (select coalesce(string_agg(day, ',' order by day), '') as days from known where key = '/work/p0' and day not in (select day from known where key = '/work/p1'))
+ select * from (values ('move', 'back_up', 'memory/projects-index.json', '', ''), ('move', 'forget', '/work/p0', '', ''),
  ('folder', 'back_up', 'memory/projects-index.json', '', ''), ('folder', 'move', 'projects/-p0', 'projects/-work-Q0', ''), ('into', 'back_up', 'memory/projects-index.json', '', ''), ('into', 'merge', 'projects/-p0', 'projects/-p1', ''), ('stop', 'back_up', 'memory/projects-index.json', '', ''),
  ('merge', 'back_up', 'memory/projects-index.json', '', ''), ('merge', 'back_up', 'memory/project-memory/p1-long-term-memory.md', '', ''), ('merge', 'copy', 'projects/-p0', 'projects/-work-P1', ''), ('merge', 'retire', 'projects/-p0', 'projects/-p0.merged.bak', ''),
- ('merge', 'forget', '/work/p0', '', ''), ('merge', 'extend', '/work/p1', '', ''), ('clean', 'back_up', 'memory/projects-index.json', '', ''), ('clean', 'forget', '/work/p0', '', ''), ('clean', 'forget', '/work/p1', '', ''), ('clean', 'forget', '/gone/p9', '', '')) as v(plan, kind, source, target, value)""")
+ ('merge', 'forget', '/work/p0', '', ''), ('clean', 'back_up', 'memory/projects-index.json', '', '')) as v(plan, kind, source, target, value)
+ union all select 'move', 'register', '/work/q0', '', concat('Q0 -work-Q0 ', days) from a union all select 'merge', 'extend', '/work/p1', '', days from x union all select distinct 'clean', 'forget', key, '', '' from known"""
+)
 def tree_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans of moves (of an indexed project, of a folder, into another, or not), a merge and a clean-up, action by action."""
     layout, rows = tree(spark, sf_dir), []
@@ -343,8 +384,8 @@ def _state(spark: SparkSession, layout: Layout, step: str) -> DataFrame:
     return _pairs(spark, [tuple(r) for r in found], "step string, place string, n bigint")
 
 
-_COUNTS = SQL + """, n as (select project_hash as place, count(*) as n from f group by 1), i as (select 'index of ' || place as place, n from n where place in ('-p0', '-p1') union all select 'index of -p3', 0),
- p as (select * from (values ('project /work/p0', 1), ('project /work/p1', 2), ('project /gone/p9', 1)) as v(place, n)), was as (select * from n union all select * from i union all select * from p),
+_COUNTS = SQL + """, n as (select project_hash as place, count(*) as n from f group by 1), i as (select 'index of ' || place as place, n from n where place in ('-p0', '-p1') union all select concat('index of -p', cast(c as varchar)), 0 from gone),
+ p as (select concat('project ', key) as place, count(*) as n from known group by key), was as (select * from n union all select * from i union all select * from p),
  total as (select sum(n) as n from n where place in ('-p0', '-p1'))"""
 
 
@@ -352,7 +393,7 @@ _COUNTS = SQL + """, n as (select project_hash as place, count(*) as n from f gr
     _COUNTS + """ select 'moved' as step, replace(place, '-p2', '-work-P2') as place, cast(n as bigint) as n from was
  union all select 'merged', place, cast(case place when '-p1' then (select n from total) when 'index of -p1' then (select n from total) else n end as bigint) from was where place not in ('-p0', 'index of -p0', 'project /work/p0')
  union all select 'merged', replace(place, '-p0', '-p0.merged.bak'), n from was where place in ('-p0', 'index of -p0')
- union all select 'cleaned', place, n from was where place not in ('project /work/p0', 'project /work/p1', 'project /gone/p9')
+ union all select 'cleaned', place, n from was where place not like 'project %'
  union all select 'restored', place, n from was"""
 )
 def tree_carried_out(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,13 +413,13 @@ def tree_carried_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
-@query("select * from (values ('source', 'p1', true, 76), ('dest', 'P9', false, 0)) as v(side, name, there, size)")
+@query(SQL + " select 'source' as side, 'p1' as name, true as there, cast(length(text) as integer) as size from pnote union all select 'dest', 'P9', false, 0")
 def tree_memory_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = lifecycle.memory_pair(spark, tree(spark, sf_dir), "p1", "P9")
     return _pairs(spark, [(s, pair[f"{s}_name"], pair[f"{s}_exists"], len(pair[f"{s}_content"])) for s in ("source", "dest")], "side string, name string, there boolean, size int")
 
 
-@query("select * from (values (0, '## Pinned'), (1, '- é'), (2, '- (2024-03-01) [tip] kept'), (3, '## Key Learnings'), (4, '- (2023-01-01) [tip] old'), (5, '- (2024-02-20) [tip] new')) as v(pos, line)")
+@query(SQL + f" select * from (values (0, '## Pinned'), (1, '- é'), (2, '- (2024-03-01) [tip] kept'), (3, '## Key Learnings')) as v(pos, line) union all select cast(3 + row_number() over (order by c) as integer), concat('- (', {ENTRY_DAY}, ') [tip] g', cast(c as varchar)) from f")
 def tree_remembered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The global note with an entry put at the end of its pinned section."""
     lines = files.read_notes(spark, tree(spark, sf_dir).global_memory).where("line <> ''")
@@ -393,10 +434,11 @@ _RECENT = _DAILY + """, g as (select day, string_agg('- [global/implement] g' ||
 @query(
     _RECENT + """ select 0 as ord, 'Current time: 2024-03-01 09:00 (UTC+0000)' as text
  union all select 1, '## Synthesis is due' || chr(10) || 'Pending days: ' || cast(count(distinct date) as varchar) || ' (' || string_agg(distinct date, ', ' order by date) || ')' from todo where said
- union all select 2, '## Global Long Term' || chr(10) || chr(10) || '## Pinned' || chr(10) || '- é' || chr(10) || '## Key Learnings' || chr(10) || '- (2023-01-01) [tip] old' || chr(10) || '- (2024-02-20) [tip] new' || chr(10)
- union all select 3, '## Project Long Term' || chr(10) || chr(10) || '## Key Decisions' || chr(10) || '- (2024-01-01) [design] first' || chr(10) || '- (2024-02-06) [design] last' || chr(10)
+ union all select 2, concat('## Global Long Term', chr(10), chr(10), text) from gnote
+ union all select 3, concat('## Project Long Term', chr(10), chr(10), text) from pnote
  union all select 4, '## Global Short Term' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) order by day desc) from r
- union all select 5, '## Project Short Term' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) order by day) from own"""
+ union all select 5, '## Project Short Term' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) order by day) from own
+ union all select 6, concat('Memory is over budget: ', cast(t as varchar), ' of 16750 tokens') from (select cast(sum(strlen(text)) as bigint) // 4 as t from (select text from gnote union all select text from pnote union all select text from r union all select text from own)) where t > 16750"""
 )
 def tree_session_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a session in project P1 starts with; of the summariser's part, what is pending."""
@@ -405,7 +447,7 @@ def tree_session_start(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    SQL + """ select 'scopes' as part, 'global, P0, P1, P9' as text union all select 'without', '3' union all select 'types', 'design, tradeoff, scope' union all select 'model', 'default'
+    SQL + """ select 'scopes' as part, concat('global, ', string_agg(distinct name, ', ' order by name)) as text from known union all select 'without', '3' union all select 'types', 'design, tradeoff, scope' union all select 'model', 'default'
  union all select 'days', string_agg(distinct date, ', ' order by date) from todo join said using (project_hash, session_id) where session_id <> '3'"""
 )
 def tree_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -446,10 +488,10 @@ def tree_day_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _RECENT + """ select * from (values ('project_name', 'P1'), ('global_long_term_tokens', '20'), ('project_long_term_tokens', '19'), ('global_long_limit', '5000'), ('total_budget', '16750')) as v(metric, value)
- union all select 'global_short_term_tokens', cast(cast(sum(strlen(text)) as bigint) // 4 as varchar) from r union all select 'project_short_days_actual', cast(count(*) as varchar) from own"""
+    _RECENT + """, b as (select 'global_long' as part, strlen(text) as n, 0 as days from gnote union all select 'project_long', strlen(text), 0 from pnote union all select 'global_short', cast(sum(strlen(text)) as bigint), count(*) from r union all select 'project_short', cast(sum(strlen(text)) as bigint), count(*) from own), v as (select part, n // 4 as tokens, days from b)
+ select * from (values ('project_name', 'P1'), ('global_long_limit', '5000'), ('project_long_limit', '5000'), ('global_short_limit', '1500'), ('project_short_limit', '5250'), ('total_budget', '16750')) as w(metric, value)
+ union all select concat(part, '_term_tokens'), cast(tokens as varchar) from v union all select concat(part, '_days_actual'), cast(days as varchar) from v where part like '%short' union all select 'total_tokens', cast(cast(sum(tokens) as bigint) as varchar) from v"""
 )
 def tree_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some of the token usage figures of a session in project P1."""
-    rows = report.token_usage(spark, tree(spark, sf_dir), settings.parse_settings(None), "/work/P1")
-    return rows.where(F.col("metric").isin("project_name", "global_long_term_tokens", "project_long_term_tokens", "global_long_limit", "total_budget", "global_short_term_tokens", "project_short_days_actual")).select("metric", "value")
+    """The thirteen usage figures of a session in project P1."""
+    return report.token_usage(spark, tree(spark, sf_dir), settings.parse_settings(None), "/work/P1").select("metric", "value")
