@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import socket
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -58,19 +60,24 @@ def write_document(spark: SparkSession, path: str, text: str) -> bool:
 
 
 class _Mark:
-    """A file that only one writer can create."""
+    """A file that only one writer can create, with the writer's token in it."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.where, self.local = _store(spark, path)
         self.fs = self.where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.jvm = spark.sparkContext._jvm
 
-    def create(self) -> bool:
+    def create(self, token: str) -> bool:
         try:
             if self.local:
                 os.makedirs(os.path.dirname(self.local), exist_ok=True)
-                os.close(os.open(self.local, os.O_CREAT | os.O_EXCL))
+                made = os.open(self.local, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+                os.write(made, token.encode())
+                os.close(made)
             else:
-                self.fs.create(self.where, False).close()
+                out = self.fs.create(self.where, False)
+                out.write(bytearray(token.encode()))
+                out.close()
         except FileExistsError:
             return False
         except Exception as e:  # the JVM's
@@ -79,6 +86,19 @@ class _Mark:
             raise
         return True
 
+    def owner(self) -> str | None:
+        """The token, or None if the file has gone."""
+        try:
+            if self.local:
+                return Path(self.local).read_text()
+            stream = self.fs.open(self.where)
+            try:
+                return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+            finally:
+                stream.close()
+        except Exception:  # it has gone meanwhile
+            return None
+
     def older(self, seconds: float) -> bool:
         try:
             at = os.stat(self.local).st_mtime if self.local else self.fs.getFileStatus(self.where).getModificationTime() / 1000
@@ -86,6 +106,13 @@ class _Mark:
             return False
         return time.time() - at > seconds
 
+    def renew(self) -> None:
+        now = time.time()
+        if self.local:
+            os.utime(self.local, (now, now))
+        else:
+            self.fs.setTimes(self.where, int(now * 1000), -1)
+
     def delete(self) -> None:
         self.fs.delete(self.where, False)
 
@@ -94,15 +121,19 @@ class _Mark:
 def locked(spark: SparkSession, path: str, wait: float = 10.0, stale: float = 60.0) -> Iterator[None]:
     """Holds path + ".lock", a file that only one writer can create; TimeoutError after wait seconds.
 
-    A lock older than stale seconds was left behind. Only who holds path + ".unlock" may take
-    it away, and looks at its age again first, so that a lock made meanwhile stays.
+    The file holds its writer's token and is renewed as long as the writer lives and holds it, however
+    long that is; only its own writer deletes it in the end. One that was not renewed for stale
+    seconds was left behind: who holds path + ".unlock" may take it away, if its token is still the one
+    that was seen to be stale.
     """
+    token = f"{socket.gethostname()} {os.getpid()} {uuid.uuid4().hex}"
     lock, breaker = _Mark(spark, path + ".lock"), _Mark(spark, path + ".unlock")
     until = time.monotonic() + wait
-    while not lock.create():
-        if lock.older(stale) and breaker.create():
+    while not lock.create(token):
+        seen = lock.owner()
+        if lock.older(stale) and breaker.create(token):
             try:
-                if lock.older(stale):
+                if lock.older(stale) and lock.owner() == seen:
                     lock.delete()
             finally:
                 breaker.delete()
@@ -110,12 +141,25 @@ def locked(spark: SparkSession, path: str, wait: float = 10.0, stale: float = 60
         if breaker.older(stale):
             breaker.delete()
         if time.monotonic() > until:
-            raise TimeoutError(f"{path} is locked")
+            raise TimeoutError(f"{path} is locked by {seen}")
         time.sleep(0.05)
+    done = threading.Event()
+
+    def keep() -> None:
+        while not done.wait(stale / 4):
+            if lock.owner() != token:
+                return
+            lock.renew()
+
+    keeper = threading.Thread(target=keep, daemon=True)
+    keeper.start()
     try:
         yield
     finally:
-        lock.delete()
+        done.set()
+        keeper.join()
+        if lock.owner() == token:
+            lock.delete()
 
 
 @contextmanager

@@ -10,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.catalogue import ORACLE_SQL, QUERIES, query, table
-from sessionlake.operators import scan, workdays
+from sessionlake.functions import text as x
+from sessionlake.operators import daily, scan, workdays
+from sessionlake.plans import report
+from sessionlake.plans.rewrite import rewrite_files
+from sessionlake.queries import NOTE_LINE, note_lines
 from sessionlake.scratch import Scratch
-from sessionlake.sources import growing, ledger_table
+from sessionlake.sources import growing, ledger_table, sinks
+from sessionlake.sources import text as files
 from sessionlake.streaming import ingest
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -87,3 +92,37 @@ def running_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.lit(1).cast("bigint")
     got = scan.running(rows, "key", "event_id", {"total": F.col("value"), "clicks": F.when(F.col("event_type") == "click", one)}, {"last_error": F.when(F.col("event_type") == "error", F.col("event_id"))}, {"n": one}, width=500)
     return got.select("event_id", (F.col("total") > 1000).alias("over"), "clicks", "last_error", "n")
+
+
+@query(
+    f"""with n as (select 'u' || cast(user_id as varchar) as file, event_id as line_no, {NOTE_LINE} as line from events),
+ s as (select *, coalesce(last_value(case when starts_with(line, '## ') then trim(line) end ignore nulls) over (partition by file order by line_no), '') as section from n)
+ select file, line_no, section, section = '## Pinned' as protected, section in ('## Key Learnings', '## Key Decisions') as eligible from s"""
+)
+def note_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the section of each line of the notes is protected from decay, or subject to it."""
+    rows = daily.with_section(note_lines(spark, sf_dir), "file")
+    return rows.select("file", "line_no", "section", x.is_protected("section").alias("protected"), x.is_decay_eligible("section").alias("eligible"))
+
+
+@query("select 'page-' || cast(page_id as varchar) || '.html' as name, case when length(url) % 5 = 0 then 'missing' when length(url) % 5 = 1 then 'different' else 'same' end as status from pages where page_id is not null")
+def folder_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a file to two folders, to the second not or changed where its address says so; what the comparison finds."""
+    root, pages = Scratch(spark).root, table(spark, sf_dir, "pages").where("page_id is not null")
+    text, rest, when = F.coalesce("html", F.lit("")), F.length("url") % 5, F.lit(None).cast("bigint").alias("mtime")
+    at = lambda folder: F.concat(F.lit(f"{root}/{folder}/page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("path")
+    sinks.write_files(pages.select(at("source"), text.alias("text"), when))
+    sinks.write_files(pages.where(F.coalesce(rest, F.lit(2)) != 0).select(at("installed"), F.when(rest == 1, F.concat(text, F.lit("changed"))).otherwise(text).alias("text"), when))
+    return report.compare_folders(spark, f"{root}/source", f"{root}/installed", "*.html")
+
+
+@query("select page_id, replace(coalesce(html, ''), 'the', 'a the') as html, cast((length(coalesce(html, '')) - length(replace(coalesce(html, ''), 'the', ''))) // 3 as bigint) as n from pages where page_id is not null")
+def rewritten_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a file, rewritten in place by ranges of 100 bytes; the texts as they are then and the replacements counted."""
+    root, pages = Scratch(spark).root, table(spark, sf_dir, "pages").where("page_id is not null")
+    path = F.concat(F.lit(f"{root}/"), F.col("page_id").cast("string"), F.lit(".html"))
+    sinks.write_files(pages.select(path.alias("path"), F.coalesce("html", F.lit("")).alias("text"), F.lit(None).cast("bigint").alias("mtime")))
+    found = rewrite_files(spark, root, ".html", "the", "a the", split=100)
+    counts = spark.createDataFrame([(int(p.removesuffix(".html")), n) for p, n in found.items()], "page_id bigint, n bigint")
+    held = files.read_whole(spark, f"{root}/*.html").select(F.col("stem").cast("bigint").alias("page_id"), F.col("value").alias("html"))
+    return held.join(counts, "page_id", "left").fillna(0, ["n"]).select("page_id", "html", "n")
