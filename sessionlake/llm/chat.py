@@ -4,7 +4,8 @@ A message's content is an ordered list of typed parts. ``PartVisitor`` has one m
 each type: text goes into the output escaped, an image, audio or document part leaves an
 ordered placeholder and a record of what it refers to and how many tokens it stands for
 once expanded. The template marks turns with control strings; a text that contains
-them is escaped reversibly, so ``parse_chat`` reads the turns back exactly.
+them is escaped reversibly, so ``parse_parts`` reads turns and parts back exactly, and a text that
+looks like a placeholder stays a text.
 
 Escaping: any ``<``, n backslashes, ``|`` becomes the same with n + 1 backslashes. An
 escaped text therefore contains no ``<|``, and removing one backslash restores it.
@@ -107,9 +108,29 @@ def format_turns(turns: list[dict], loss_roles: frozenset[str], costs: Costs) ->
     return {"formatted": "".join(out), "loss_spans": spans, "attachments": visitor.attachments, "expanded_tokens": sum(a["n_tokens"] for a in visitor.attachments), "n_turns": len(turns)}
 
 
+def parse_parts(formatted: str, attachments: list[dict] = ()) -> list[tuple[str, list[dict]]]:
+    """The (role, parts) turns of a formatted conversation, typed as they were: text parts, and of a placeholder its type, ordinal and, if attachments are given, ref.
+
+    Escaped text holds no control string, so whatever reads as a placeholder is one. Text parts side by side come back as one, empty ones not at all.
+    """
+    refs = {a["ordinal"]: a["ref"] for a in attachments}
+    turns = []
+    for role, body in _TURN.findall(formatted):
+        parts, at = [], 0
+        for m in [*_PLACE.finditer(body), None]:
+            text = body[at : m.start() if m else len(body)]
+            if text:
+                parts.append({"type": "text", "text": unescape(text)})
+            if m:
+                parts.append({"type": m[1], "ordinal": int(m[2])} | ({"ref": refs[int(m[2])]} if int(m[2]) in refs else {}))
+                at = m.end()
+        turns.append((unescape(role.replace(NEWLINE, "\n")), parts))
+    return turns
+
+
 def parse_chat(formatted: str) -> list[tuple[str, str]]:
-    """The (role, text) turns of a formatted conversation; placeholders stay in the text."""
-    return [(unescape(role.replace(NEWLINE, "\n")), unescape(text)) for role, text in _TURN.findall(formatted)]
+    """The (role, text) turns of a formatted conversation; attachments have no text, parse_parts tells where they are."""
+    return [(role, "".join(p.get("text", "") for p in parts)) for role, parts in parse_parts(formatted)]
 
 
 def loss_text(formatted: str, spans: list[dict]) -> str:
@@ -129,12 +150,12 @@ def json_parts(text: str | None) -> list[dict]:
     return [{"type": "text", "text": text or ""}]
 
 
-def format_chat(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text", typed: bool = True, loss_roles: tuple[str, ...] = ("assistant",), costs: Costs | None = None) -> DataFrame:
+def format_chat(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text", typed: bool = False, loss_roles: tuple[str, ...] = ("assistant",), costs: Costs | None = None) -> DataFrame:
     """One row for each conversation: its key, template text, loss spans, attachments.
 
     content: an array of typed parts (structs with type and text, ref, width, height, seconds or
-    pages), or a string column (with typed, a JSON array of typed parts is flattened part by
-    part; without, every string is plain text). Turns go in order of turn, then role, then
+    pages), or a string column: every string is plain text, whatever it looks like; only with typed, which
+    is for strings that are trusted, a JSON array of typed parts is flattened part by part. Turns go in order of turn, then role, then
     content, nulls first; repeated rows are repeated turns. Null role or content is the
     empty string; null conv_id is a conversation of its own; a part that lacks a field
     counts as empty; an unknown part type counts as text. An empty table gives no rows.
