@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.functions import text as x
+from sessionlake.operators import prefix
 
 
 def build_projects(folders: DataFrame) -> DataFrame:
@@ -39,19 +40,15 @@ def project_names(projects: DataFrame) -> DataFrame:
 def match_project(paths: DataFrame, projects: DataFrame, path: str = "path", include_subdirs: bool = True) -> DataFrame:
     """Paths with the project of the longest key that they start with (or equal), inner.
 
-    Keys are compared as plain prefixes, so a key also matches its longer siblings. Each path
-    is cut at every length that a key has and joined on equality.
+    Keys are compared as plain prefixes, so a key also matches its longer siblings. Paths that
+    differ in case only are matched once.
     """
     low = F.lower(F.col(path))
     if not include_subdirs:
         return paths.withColumn("canonical_path", low).join(projects, "canonical_path")
-    lengths = [r[0] for r in projects.select(F.length("canonical_path")).distinct().collect()]  # at most the longest path's length
-    if not lengths:
-        return paths.withColumn("canonical_path", low).join(projects, "canonical_path")
-    cut = F.filter(F.transform(F.array(*map(F.lit, sorted(lengths))), lambda n: F.when(n <= F.length(low), F.substring(low, F.lit(1), n))), lambda p: p.isNotNull())
-    hits = paths.select(path, F.explode(cut).alias("canonical_path")).distinct().join(projects, "canonical_path")
-    best = Window.partitionBy(path).orderBy(F.desc(F.length("canonical_path")))
-    return hits.withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn")
+    found = prefix.longest_prefix(paths.select(low.alias("s")), projects.select(F.col("canonical_path").alias("key")))
+    hits = paths.select(path).distinct().withColumn("s", low).join(found, "s").select(path, F.col("key").alias("canonical_path"))
+    return hits.join(projects, "canonical_path")
 
 
 def orphans(folders: DataFrame, projects: DataFrame, existing: DataFrame, files: DataFrame | None = None) -> DataFrame:

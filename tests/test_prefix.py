@@ -1,0 +1,42 @@
+"""The longest key a string begins with, against a plain search, however the sorted strings are cut."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from sessionlake.operators import prefix
+
+
+def plain(strings, keys):
+    held = {k for k in keys if k is not None}
+    return {s: max((k for k in held if s.startswith(k)), key=len) for s in strings if s is not None and any(s.startswith(k) for k in held)}
+
+
+def run(spark, strings, keys, partitions=None):
+    got = prefix.longest_prefix(spark.createDataFrame([(s,) for s in strings], "s string"), spark.createDataFrame([(k,) for k in keys], "key string"), partitions).collect()
+    assert len(got) == len({r["s"] for r in got})
+    return {r["s"]: r["key"] for r in got}
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_random(spark, partitions):
+    rng = random.Random(partitions)
+    word = lambda n: "".join(rng.choice("ab/é𝒳") for _ in range(rng.randrange(n)))
+    strings, keys = [word(9) for _ in range(400)], [word(5) for _ in range(60)] + ["zzz"]
+    assert run(spark, strings, keys, partitions) == plain(strings, keys)
+    keys = [k for k in keys if k]
+    assert run(spark, strings, keys, partitions) == plain(strings, keys)
+
+
+def test_one_key_opens_everything(spark):
+    """A key in the first partition that all strings begin with, below nested ones of very many lengths."""
+    strings = [f"/home/{k:05d}/x" for k in range(5000)]
+    keys = ["/home/", "/home/0", "/home/00", "/home/04999/x", "/homer"] + ["/home/" + "q" * n for n in range(1, 300)]
+    assert run(spark, strings, keys, 16) == plain(strings, keys)
+
+
+def test_nulls_repeats_and_none(spark):
+    assert run(spark, ["a", "a", None, "b", ""], ["a", "a", None, ""]) == {"a": "a", "b": "", "": ""}
+    assert run(spark, [], ["a"]) == {} and run(spark, ["a"], []) == {}
