@@ -172,19 +172,22 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def lower_counts(counts: DataFrame) -> DataFrame:
-    """Continuation counts of the next lower order: how many n-grams end in each."""
-    return counts.groupBy("lang", F.substring("gram", 2, ORDER).alias("gram")).agg(F.count("*").alias("n"))
+def all_orders(counts: DataFrame) -> DataFrame:
+    """(lang, k, gram, n) of every order: counts of the highest, and of a lower one how many n-grams of the next end in each."""
+    top = F.transform(F.sequence(F.lit(1), F.lit(ORDER - 1)), lambda k: F.struct(k.alias("k"), F.substring("gram", F.lit(ORDER) - k, k + 1).alias("longer")))
+    longer = counts.select("lang", F.explode(top).alias("s")).select("lang", "s.*").distinct()
+    lower = longer.groupBy("lang", "k", F.expr("substring(longer, 2)").alias("gram")).agg(F.count("*").alias("n"))
+    return counts.select("lang", F.lit(ORDER).alias("k"), "gram", "n").unionByName(lower)
 
 
-def smoothed(counts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(probabilities, backoffs) of order k: (lang, gram, n, value) and (lang, gram, n, value), the latter by context."""
+def smoothed(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(probabilities, backoffs): (lang, k, gram, n, value) each, the latter by context."""
     n1, n2 = (F.count(F.when(F.col("n") == c, True)) for c in (1, 2))
-    off = counts.groupBy("lang").agg(F.when((n1 > 0) & (n2 > 0), n1 / (n1 + 2 * n2)).otherwise(F.lit(0.5)).alias("d"))
-    seen = counts.withColumn("context", F.substring("gram", 1, k - 1) if k > 1 else F.lit("")).join(F.broadcast(off), "lang")  # a row for each language
-    totals = seen.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.first("d") * F.count("*")).alias("left"))
-    probs = seen.join(totals, ["lang", "context"]).select("lang", "gram", "n", ((F.col("n") - F.col("d")) / F.col("total")).alias("value"))
-    return probs, totals.select("lang", F.col("context").alias("gram"), F.col("total").alias("n"), (F.col("left") / F.col("total")).alias("value"))
+    off = counts.groupBy("lang", "k").agg(F.when((n1 > 0) & (n2 > 0), n1 / (n1 + 2 * n2)).otherwise(F.lit(0.5)).alias("d"))
+    seen = counts.withColumn("context", F.expr("substring(gram, 1, k - 1)")).join(F.broadcast(off), ["lang", "k"])  # a row for each language and order
+    totals = seen.groupBy("lang", "k", "context").agg(F.sum("n").alias("total"), (F.first("d") * F.count("*")).alias("left"))
+    probs = seen.join(totals, ["lang", "k", "context"]).select("lang", "k", "gram", "n", ((F.col("n") - F.col("d")) / F.col("total")).alias("value"))
+    return probs, totals.select("lang", "k", F.col("context").alias("gram"), F.col("total").alias("n"), (F.col("left") / F.col("total")).alias("value"))
 
 
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", languages: int = LANGUAGES, entries: int = ENTRIES) -> dict[str, KneserNey]:
@@ -194,19 +197,18 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", languages: in
     if not names:
         return {}
     scratch, each = Scratch(docs.sparkSession), max(1, entries // len(names))
-    counts = scratch.save(count_grams(usable.where(F.col("lang").isin(names))), "grams")
-    n_symbols = counts.select(F.substring("gram", ORDER, 1).alias("s")).distinct().count()
+    counts = scratch.save(all_orders(scratch.save(count_grams(usable.where(F.col("lang").isin(names))), "grams")), "orders")
+    n_symbols = counts.where("k = 1").select("gram").distinct().count()
     models = {n: KneserNey(base=1 / (n_symbols + 1)) for n in names}
-    most = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    for k in range(ORDER, 0, -1):
-        for rows, to, width in zip(smoothed(counts, k), ("probs", "backoffs"), (k, k - 1), strict=True):
-            held = rows.withColumn("rn", most).where(F.col("rn") <= each).select("lang", "gram", "value").toArrow()
-            whose, grams, values = np.array(held.column("lang").to_pylist(), object), np.array(held.column("gram").to_pylist(), object), held.column("value").to_numpy()
-            for name, model in models.items():
-                mine = np.flatnonzero(whose == name)
-                getattr(model, to).append(SortedHashes.of(hashes_of(grams[mine].tolist(), width), values[mine]))
-        if k > 1:
-            counts = scratch.save(lower_counts(counts), "grams")
+    most = F.row_number().over(Window.partitionBy("lang", "k").orderBy(F.desc("n"), "gram"))
+    for rows, to, less in zip(smoothed(counts), ("probs", "backoffs"), (0, 1), strict=True):
+        held = rows.withColumn("rn", most).where(F.col("rn") <= each).select("lang", "k", "gram", "value").toArrow()
+        groups = held.select(["lang", "k"]).to_pandas().groupby(["lang", "k"]).indices
+        grams, values = np.array(held.column("gram").to_pylist(), object), held.column("value").to_numpy()
+        for name, model in models.items():
+            for k in range(ORDER, 0, -1):
+                mine = groups.get((name, k), np.zeros(0, np.int64))
+                getattr(model, to).append(SortedHashes.of(hashes_of(grams[mine].tolist(), k - less), values[mine]))
     return models
 
 
