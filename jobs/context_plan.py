@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from sessionlake.functions import text as x  # noqa: E402
 from sessionlake.operators import dedup, scan  # noqa: E402
+from sessionlake.scratch import Scratch  # noqa: E402
 from sessionlake.session import get_spark  # noqa: E402
 
 log = logging.getLogger("context_plan")
@@ -40,6 +41,7 @@ def plan(notes: DataFrame, long_term: DataFrame, budget: int, threshold: float)
     words = notes.select(F.col("doc_id").alias("id"), x.keywords("text").alias("words"))
     known = long_term.select(F.col("item_id").alias("id"), x.keywords("text").alias("words"))
     routed = dedup.matches(words, known, threshold).groupBy(F.col("a").alias("doc_id")).agg(F.count("*").alias("repeats"))
+    routed = Scratch(notes.sparkSession).save(routed, "routed")  # it is read once for the carries and once for the rows
     rows = notes.withColumn("tokens", x.estimate_tokens("text")).join(routed, "doc_id", "left").withColumn("newest", -F.col("doc_id"))
     counts = (F.col("tokens") > 0) & F.col("repeats").isNull()
     rows = scan.running(rows, "project", "newest", sums={"running_tokens": F.when(counts, F.col("tokens")), "place": F.when(counts, F.lit(1).cast("bigint"))}, totals={"bytes": F.octet_length("text").cast("bigint")})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
@@ -62,6 +62,17 @@ def matches(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFr
     return pairs.where(overlap >= threshold).select("a", "b")
 
 
+def matched(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(id): the word sets of left that match any of right's; both (id, words), the id being the sorted words.
+
+    A set that both sides have needs no search, and leaves it before candidates are made.
+    """
+    left, right = left.where("id <> ''"), right.where("id <> ''")
+    same = left.join(right.select("id"), "id", "left_semi").select("id")
+    rest = left.join(right.select("id"), "id", "left_anti")
+    return same.unionByName(matches(rest, right, threshold).select(F.col("a").alias("id")).distinct())
+
+
 def word_sets(words: DataFrame) -> DataFrame:
     """(id, words): each distinct word set once; its id is the sorted words."""
     return words.select(set_id().alias("id"), "words").groupBy("id").agg(F.first("words").alias("words"))
@@ -79,9 +90,10 @@ def mark_routed(daily: DataFrame, notes: DataFrame, threshold: float = 0.5) -> D
     """
     topic = F.regexp_replace("section", r"(?U)^[# ]+|[# ]+$", "")
     entry = topic.isin("Learnings", "Lessons") & F.col("line").rlike(r"(?U)^\s*-\s*\[") & ~F.col("line").rlike(r"(?U)^\s*-\s*\[routed")
-    left = daily.where(entry).select("day", "line_no", x.keywords("line").alias("words"))
+    scratch = Scratch(daily.sparkSession)
+    left = scratch.save(daily.where(entry).select("day", "line_no", x.keywords("line").alias("words")).withColumn("id", set_id()), "entries")
     right = notes.where(F.col("line").rlike(r"(?U)^\s*-\s*\(")).select("line").distinct().select(x.keywords("line").alias("words"))
-    found = matches(word_sets(left), word_sets(right), threshold).select(F.col("a").alias("id")).distinct()
-    found = left.withColumn("id", set_id()).join(found, "id").select("day", "line_no").distinct().withColumn("marked", F.lit(True))
+    found = matched(word_sets(left), scratch.save(word_sets(right), "notes"), threshold)
+    found = left.join(found, "id").select("day", "line_no").distinct().withColumn("marked", F.lit(True))
     rows = daily.join(found, ["day", "line_no"], "left").fillna(False, ["marked"])
     return rows.withColumn("line", F.when(F.col("marked"), mark(F.col("line"))).otherwise(F.col("line")))
