@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.catalogue import ORACLE_SQL, QUERIES, query, table
 from sessionlake.functions import text as x
-from sessionlake.operators import daily, scan, workdays
+from sessionlake.operators import daily, recall, scan, workdays
 from sessionlake.plans import report
 from sessionlake.plans.rewrite import rewrite_files
 from sessionlake.queries import NOTE_LINE, note_lines
@@ -126,3 +126,15 @@ def rewritten_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = spark.createDataFrame([(int(p.removesuffix(".html")), n) for p, n in found.items()], "page_id bigint, n bigint")
     held = files.read_whole(spark, f"{root}/*.html").select(F.col("stem").cast("bigint").alias("page_id"), F.col("value").alias("html"))
     return held.join(counts, "page_id", "left").fillna(0, ["n"]).select("page_id", "html", "n")
+
+
+@query(
+    """with l as (select doc_id, unnest(string_split(text, chr(10))) as line, cast(unnest(range(len(string_split(text, chr(10))))) as bigint) as line_no from documents),
+ h as (select *, contains(lower(line), 'version 2') as hit from l)
+ select doc_id, line_no, line, hit from (select *, bool_or(hit) over (partition by doc_id order by line_no rows between 2 preceding and 2 following) as near from h) where near"""
+)
+def recall_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A term of two words, with the lines around it, by an index of the lines of all documents."""
+    folder = Scratch(spark).root
+    recall.build(table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")), folder, "doc_id")
+    return recall.search(spark, folder, "Version 2", key="doc_id", key_type="bigint")
