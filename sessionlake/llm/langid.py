@@ -32,7 +32,7 @@ LANGUAGES, ENTRIES = 256, 1 << 20
 #: Texts are scored in pieces of at most so many characters, each from a fresh context.
 PIECE = 1_000_000
 #: Characters that are looked up at a time.
-_GROUP = 4_000_000
+_GROUP = 2_000_000
 SHARPNESS = (0.5, 1, 2, 5, 10, 20, 50, 100)
 REJECT_AT = 0.999
 _OTHER = re.compile(r"[\W\d_]+")
