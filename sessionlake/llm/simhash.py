@@ -2,13 +2,13 @@
 
 A 64-bit fingerprint has eight bytes. Two fingerprints that differ in at most two bits
 differ in at most two bytes, so they share at least six positional bytes: that is the
-guaranteed minimum of the count filter. Shared positional bytes are tallied for each pair of a
-list, pairs that reach the minimum are retained and verified on their bits.
+guaranteed minimum of the count filter.
 
 A list of a single positional byte holds 1/256 of all fingerprints, too many to form its pairs.
 But where two bytes may differ, of any three groups of positions one is shared whole; so lists
-are kept by the bytes of a group, which are intersections of single lists, and the tally goes on
-over the other positions. A list of more than LONG fingerprints is parted by the same
+are kept by the bytes of a group, which are intersections of single lists. Inside a list every other
+position is indexed by its bytes, and each posting adds one to the tally of its pairs. Pairs whose tally
+reaches the minimum are retained, and only those are compared bit by bit. A list of more than LONG fingerprints is parted by the same
 argument on the positions that are left, until six are shared; then it holds at most
 65,536 fingerprints that differ in two bytes, whose neighbours are looked up. Lists hold distinct
 fingerprints; each yields its links as a forest, which keeps the components.
@@ -34,6 +34,8 @@ MAX_BITS = 2
 MIN_SHARED = BYTES - MAX_BITS
 #: Fingerprints of a list up to which its pairs are tallied in one task.
 LONG = 1024
+#: Pairs, as squares of sizes, of the lists that are tallied at once.
+PAIRS = 1 << 21
 MASKS = np.array([sum(1 << b for b in c) for n in (1, 2) for c in combinations(range(16), n)], np.uint16)
 
 
@@ -110,39 +112,66 @@ def postings(rows: DataFrame) -> DataFrame:
     return out.select("mask", F.col("fp").bitwiseAND(_lookup({m: F.lit(v).cast("bigint") for m, v in whole.items()}, "mask")).alias("part"), "fp")
 
 
-def tallied(fps: np.ndarray, begin: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (indexes) within lists that share MIN_SHARED positional bytes and differ in MAX_BITS bits at most.
+def tally(fps: np.ndarray, number: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, shared): pairs of fingerprints of a list, by index, with the positional bytes that they share.
 
-    begin: for each fingerprint where its list begins; lists are stretches of fps.
+    number and mask: each fingerprint's list and the positions that the list has in common. Every other
+    position is an inverted index: fingerprints are posted under list and byte, and each posting adds one to its
+    pairs. A pair that shares nothing beyond its list is in no posting and isn't given.
     """
-    u, left, right = fps.view(np.uint64), [], []
-    for step in range(1, longest):
-        a = np.flatnonzero(begin[step:] == begin[:-step])
-        differ = u[a] ^ u[a + step]
-        shared = (differ[:, None].view(np.uint8).reshape(-1, BYTES) == 0).sum(1)
-        good = (shared >= MIN_SHARED) & (np.bitwise_count(differ) <= MAX_BITS)
-        left.append(a[good])
-        right.append(a[good] + step)
-    return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+    u, found = fps.view(np.uint64), [np.zeros(0, np.int64)]
+    for p in range(BYTES):
+        rows = np.flatnonzero(mask >> p & 1 == 0)
+        key = number[rows] << 8 | (u[rows] >> np.uint64(8 * p) & np.uint64(255)).astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        rows, key = rows[order], key[order]
+        at, step = np.arange(len(key)), 1
+        while len(at):
+            at = at[at + step < len(key)]
+            at = at[key[at + step] == key[at]]
+            found.append(rows[at] * len(fps) + rows[at + step])
+            step += 1
+    pairs, counts = np.unique(np.concatenate(found), return_counts=True)
+    a, b = np.divmod(pairs, max(len(fps), 1))
+    return a, b, counts + np.bitwise_count(mask[a]).astype(np.int64)
+
+
+def near(fps: np.ndarray, number: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that the count filter retains and whose bits, compared last, differ in MAX_BITS at most."""
+    a, b, shared = tally(fps, number, mask)
+    a, b = a[shared >= MIN_SHARED], b[shared >= MIN_SHARED]
+    u = fps.view(np.uint64)
+    good = np.bitwise_count(u[a] ^ u[b]) <= MAX_BITS
+    return a[good], b[good]
 
 
 def neighbours(mask: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same for one list whose fingerprints share all positions but two: each one's neighbours are looked up."""
+    """The same for one list that shares six positions, so that the filter retains all of it: neighbours are looked up."""
     lo, hi = (p for p in range(BYTES) if not mask >> p & 1)
     u = fps.view(np.uint64)
     open_bits = (((u >> np.uint64(8 * lo)) & np.uint64(255)) | (((u >> np.uint64(8 * hi)) & np.uint64(255)) << np.uint64(8))).astype(np.int64)
-    where = np.full(1 << 16, -1, np.int64)
-    where[open_bits] = np.arange(len(u))
-    left, right = [], []
+    order = np.argsort(open_bits)
+    known, left, right = open_bits[order], [], []
     for bits in MASKS:
-        other = where[open_bits ^ int(bits)]
-        at = np.flatnonzero(other >= 0)
-        at = at[at < other[at]]
-        left.append(at)
-        right.append(other[at])
+        place = np.minimum(np.searchsorted(known, known ^ int(bits)), len(known) - 1)
+        at = np.flatnonzero((known[place] == known ^ int(bits)) & (np.arange(len(known)) < place))
+        left.append(order[at])
+        right.append(order[place[at]])
     return np.concatenate(left), np.concatenate(right)
 
 
+def portions(sizes: np.ndarray) -> Iterator[slice]:
+    """Stretches of lists that hold PAIRS pairs at most, or one list."""
+    total, start = 0, 0
+    for k, n in enumerate((sizes * sizes).tolist()):
+        if total and total + n > PAIRS:
+            yield slice(start, k)
+            total, start = 0, k
+        total += n
+    if len(sizes):
+        yield slice(start, len(sizes))
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Those of the links a-b that join what is not joined yet."""
     parent: dict[int, int] = {}
@@ -167,19 +196,18 @@ def list_links(lists: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in slices(b)):
-            sizes = np.diff(batch.column("fps").offsets.to_numpy())
-            fps = batch.column("fps").flatten().to_numpy()
-            begin = np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), sizes) if len(sizes) else np.zeros(0, np.int64)
-            short = np.repeat(sizes <= LONG, sizes)
-            found = []
-            for low, high in ((0, 16), (16, 128), (128, LONG)):
-                some = np.flatnonzero(short & np.repeat((sizes > low) & (sizes <= high), sizes))
-                if len(some):
-                    a, b = tallied(fps[some], begin[some], high)
-                    found.append((some[a], some[b]))
-            for k in np.flatnonzero(sizes > LONG).tolist():
-                at = int(sizes[:k].sum())
-                a, b = neighbours(batch.column("mask")[k].as_py(), fps[at : at + sizes[k]])
+            masks, sizes = batch.column("mask").to_numpy(), np.diff(batch.column("fps").offsets.to_numpy()).astype(np.int64)
+            fps, ends, found = batch.column("fps").flatten().to_numpy(), np.cumsum(sizes), []
+            full = np.bitwise_count(masks) >= MIN_SHARED
+            for some in portions(np.where(full, 0, sizes)):
+                at = np.arange(*(ends[some][-1] - sizes[some].sum(), ends[some][-1]))
+                number, mask = (np.repeat(x[some], sizes[some]) for x in (np.arange(len(sizes)), masks))
+                at, number, mask = (x[~full[number]] for x in (at, number, mask))
+                a, b = near(fps[at], number, mask)
+                found.append((at[a], at[b]))
+            for k in np.flatnonzero(full).tolist():
+                at = int(ends[k] - sizes[k])
+                a, b = neighbours(int(masks[k]), fps[at : at + sizes[k]])
                 found.append((a + at, b + at))
             a, b = (fps[np.concatenate(x)] for x in zip(*found, strict=True)) if found else (fps[:0], fps[:0])
             links = forest(a, b)

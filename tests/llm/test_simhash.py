@@ -63,6 +63,51 @@ def test_groups():
             todo += inside
 
 
+def test_filter():
+    """The tally is the number of bytes shared; the filter rejects pairs, loses no link, and what it retains is still verified."""
+    rng = random.Random(3)
+    prints, lists = [], []
+    for number, mask in enumerate((0b111, 0b11000, 0b11100000)):
+        base, seen = rng.getrandbits(64), set()
+        while len(seen) < 60:
+            v = base if rng.random() < 0.5 or not seen else rng.choice(sorted(seen))
+            for p in rng.sample([p for p in range(8) if not mask >> p & 1], rng.randint(0, 4)):
+                v = v & ~(255 << 8 * p) | (rng.getrandbits(8) << 8 * p) if rng.random() < 0.5 else v ^ 1 << 8 * p + rng.randint(0, 7)
+            seen.add(v)
+        prints += sorted(seen)
+        lists += [(number, mask)] * 60
+    fps, (number, mask) = np.array(prints, np.uint64).view(np.int64), np.array(lists, np.int64).T
+    a, b, shared = simhash.tally(fps, number, mask)
+    got = dict(zip(zip(a.tolist(), b.tolist(), strict=True), shared.tolist(), strict=True))
+    want, linked = {}, set()
+    for i, j in combinations(range(len(prints)), 2):
+        if lists[i][0] == lists[j][0]:
+            differ = prints[i] ^ prints[j]
+            same = sum(differ >> 8 * p & 255 == 0 for p in range(8))
+            if same > bin(lists[i][1]).count("1"):
+                want[i, j] = same
+            if bin(differ).count("1") <= 2:
+                linked.add((i, j))
+    assert got == want
+    retained = {k for k, n in got.items() if n >= simhash.MIN_SHARED}
+    assert linked < retained < set(got) and len(got) > 2 * len(retained)
+    a, b = simhash.near(fps, number, mask)
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == linked
+
+
+def test_neighbours_and_portions():
+    rng = random.Random(4)
+    base = rng.getrandbits(64) & ~0xFF0000FF0000
+    prints = [base | (x & 255) << 16 | (x >> 8) << 40 for x in rng.sample(range(1 << 16), 500)]
+    mask = 0b11011011
+    a, b = simhash.neighbours(mask, np.array(prints, np.uint64).view(np.int64))
+    assert {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)} == {frozenset(p) for p in combinations(range(500), 2) if bin(prints[p[0]] ^ prints[p[1]]).count("1") <= 2}
+    sizes = np.array([2, 1500, 3, 0, 1024, 1024, 1024])
+    cut = list(simhash.portions(sizes))
+    assert [k for s in cut for k in range(s.start, s.stop)] == list(range(7)) and len(cut) > 3
+    assert list(simhash.portions(sizes[:0])) == []
+
+
 @pytest.mark.parametrize("long", [1024, 40, 3])
 def test_components(spark, monkeypatch, long):
     """Random walks of one to three bits, and a dense list that shares six bytes, with lists parted early or late."""
