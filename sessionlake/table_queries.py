@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.catalogue import ORACLE_SQL, QUERIES, query, table
 from sessionlake.functions import text as x
-from sessionlake.operators import daily, recall, scan, workdays
+from sessionlake.operators import daily, nested, recall, scan, workdays
 from sessionlake.plans import report
 from sessionlake.plans.rewrite import rewrite_files
 from sessionlake.queries import NOTE_LINE, note_lines
@@ -138,3 +138,55 @@ def recall_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark).root
     recall.build(table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")), folder, "doc_id")
     return recall.search(spark, folder, "Version 2", key="doc_id", key_type="bigint")
+
+
+_DOCS = """with e as (select user_id, cast(cast(ts as date) as varchar) as day, event_type, value, cast(json_extract(props, '$.k') as bigint) as k from events),
+b as (select user_id, day, count(*) as n, max(k) as k from e where value < 50 group by all), o as (select user_id, day, count(*) as n from e where value >= 20 group by all),
+d as (select user_id, count(*) as n_days, cast(sum(coalesce(o.n, b.n)) as bigint) as n, cast(sum(b.k) as bigint) as k from b full join o using (user_id, day) group by user_id),
+t as (select user_id, event_type, day, min(case when value < 50 then 0 else 1 end) as side from e where value is not null group by all)"""
+
+
+def _user_documents(events: DataFrame, *of_day: F.Column, **own: str) -> DataFrame:
+    """(id, text): a JSON document for each user, with figures by day and what kinds of events each day had."""
+    days = events.groupBy("user_id", "day").agg(*of_day).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("day", F.struct(*("n", "k")[: len(of_day)])))).alias("days"))
+    entry = F.struct(F.col("event_type").alias("kind"), F.array(F.struct(F.col("day").alias("at"))).alias("seen"))
+    kinds = events.select("user_id", "event_type", "day").distinct().groupBy("user_id").agg(F.struct(F.array_sort(F.collect_list(entry)).alias("entries")).alias("log"))
+    return days.join(kinds, "user_id").select(F.col("user_id").alias("id"), F.to_json(F.struct("days", "log", F.struct(*[F.lit(v).alias(k) for k, v in own.items()]).alias("marks"))).alias("text"))
+
+
+def _merged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").cast("string").alias("day"), "event_type", "value", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    n = F.count("*").alias("n")
+    base, new = _user_documents(events.where("value < 50"), n, F.max("k").alias("k"), a="base", b="base"), _user_documents(events.where("value >= 20"), n, b="new")
+    return nested.merge_documents(base, new, [("log", "entries")])
+
+
+def _entries() -> F.Column:
+    return F.array_join(F.transform("d.log.entries", lambda e: F.concat(e["kind"], F.lit(":"), e["seen"][0]["at"])), ",")
+
+
+_DOC = "days map<string,struct<n:bigint,k:bigint>>, log struct<entries:array<struct<kind:string,seen:array<struct<at:string>>>>>, marks struct<a:string,b:string>"
+
+
+@query(
+    _DOCS + """ select d.user_id, n_days, n, k, x.entries, case when b.user_id is not null then 'base' end as a, case when o.user_id is not null then 'new' else 'base' end as b from d
+join (select user_id, string_agg(event_type || ':' || day, ',' order by side, event_type, day) as entries from t group by user_id) x on x.user_id = d.user_id
+left join (select distinct user_id from b) b on b.user_id = d.user_id left join (select distinct user_id from o) o on o.user_id = d.user_id"""
+)
+def documents_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' documents of some events over those of others, merged by key, and lists within them by element."""
+    read = _merged_documents(spark, sf_dir).select("id", F.from_json("text", _DOC).alias("d"))
+    total = lambda c: F.aggregate(F.filter(F.transform(F.map_values("d.days"), lambda x: x[c]), F.isnotnull), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    sums = [total("n").alias("n"), F.when(F.exists(F.map_values("d.days"), lambda x: x["k"].isNotNull()), total("k")).alias("k")]
+    return read.select(F.col("id").alias("user_id"), F.size("d.days").cast("bigint").alias("n_days"), *sums, _entries().alias("entries"), "d.marks.a", "d.marks.b")
+
+
+@query(
+    _DOCS + """ select user_id, count(*) filter (where gone) as n_removed, count(*) filter (where not gone) > 0 as has_log, string_agg(event_type || ':' || day, ',' order by side, event_type, day) filter (where not gone) as entries
+from (select *, contains(day, '-01-1') or contains(day, '-01-3') as gone from t) group by user_id"""
+)
+def documents_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged documents without the elements that saw certain days."""
+    seen = lambda e: F.transform(F.try_variant_get(e, "$.seen", "array<variant>"), lambda s: F.try_variant_get(s, "$.at", "string"))
+    left = nested.remove_elements(_merged_documents(spark, sf_dir), [("log", "entries")], seen, ["-01-1", "-01-3"]).select("id", "n_removed", F.from_json("text", _DOC).alias("d"))
+    return left.select(F.col("id").alias("user_id"), "n_removed", F.col("d.log").isNotNull().alias("has_log"), _entries().alias("entries"))
