@@ -1,9 +1,10 @@
 """Literal rewriting of files of any size by the executors.
 
 A file is cut into byte ranges, and a range takes the lines that start in it, so matches, which hold no
-line end, lie in one range each and come out as str.replace has them. Only files that hold the old
-text are written: their ranges go to parts beside them, then one task for each file puts its parts together in
-order and renames the result into place, so a reader sees the old or the new file. Nothing but
+line end, lie in one range each and come out as str.replace has them. Ranges that follow each other go as one run of
+_RUN bytes or a range, so that no file is opened or created for each of many small ranges. Only files that hold the old
+text are written: their runs go to parts beside them, of files of one run in the pass that counts, then one task for each file
+puts its parts together in order and renames the result into place, so a reader sees the old or the new file. Nothing but
 paths, sizes and counts passes through the driver. A run that is repeated after a failure does what is left; only
 where the new text holds the old one would it replace again what was finished.
 """
@@ -22,12 +23,14 @@ from pyspark.sql import functions as F
 
 from sessionlake.sources import growing
 
-_WRITE = 4 << 20
+_WRITE = _RUN = 4 << 20
+#: The least that a range is read by; files of one task.
+_BLOCK, _FILES = 1 << 10, 256
 
 
-def changed_lines(handle, lo: int, hi: int, size: int, old: bytes, new: bytes) -> Iterator[tuple[bytes, int]]:
+def changed_lines(handle, lo: int, hi: int, size: int, old: bytes, new: bytes, block: int = growing.BLOCK) -> Iterator[tuple[bytes, int]]:
     """(bytes, replacements) of each line that starts in [lo, hi) of a file of so many bytes, with its line end."""
-    for start, line in growing.lines_between(handle, lo, hi):
+    for start, line in growing.lines_between(handle, lo, hi, block):
         n = line.count(old)
         yield (line.replace(old, new) if n else line) + (b"\n" if start + len(line) < size else b""), n
 
@@ -56,33 +59,49 @@ def rewrite_files(spark: SparkSession, root: str, suffix: str, old: str, new: st
     files = growing._Files({"path": root, "suffix": suffix, "depth": str(depth)})
     a, b, mark = old.encode(), new.encode(), uuid4().hex
     sizes = files.sizes()
-    pieces = [(p, lo, min(n, lo + split), n) for p, n in sizes.items() for lo in range(0, n, split)]
+    run = max(split, _RUN // split * split)
+    pieces = [(p, lo, min(n, lo + run), n) for p, n in sizes.items() for lo in range(0, n, run)]
     if not pieces:
         return {}
-    many = spark.sparkContext.defaultParallelism * 4
-    ranges = spark.createDataFrame(pieces, "path string, lo bigint, hi bigint, size bigint").repartition(min(len(pieces), max(many, len(pieces) // 64)), "path", "lo")
+    many, block = spark.sparkContext.defaultParallelism * 4, min(growing.BLOCK, max(split, _BLOCK))
+    tasks = lambda n: min(n, max(many, n // _FILES))
+    runs = spark.createDataFrame(pieces, "path string, lo bigint, hi bigint, size bigint").repartition(tasks(len(pieces)), "path", "lo")
 
-    def count(row: dict) -> Iterator[dict]:
-        with files.open(row["path"]) as handle:
-            yield {"path": row["path"], "n": sum(line.count(a) for _, line in growing.lines_between(handle, row["lo"], row["hi"]))}
+    def cuts(row: dict) -> Iterator[tuple[int, int]]:
+        for lo in range(row["lo"], row["hi"], split):
+            yield lo, min(row["hi"], lo + split)
 
     def part(path: str, lo: int) -> str:
         folder, _, name = path.rpartition("/")
         return f"{folder}/.{name}.{mark}.{lo}".lstrip("/")
 
-    def write(row: dict) -> Iterator[dict]:
+    def put(row: dict, handle) -> None:
         store, base = files.store()
-        at = f"{base}/{part(row['path'], row['lo'])}"
-        with files.open(row["path"]) as handle, store.open_output_stream(at, buffer_size=_WRITE) as out:
-            for line, _ in changed_lines(handle, row["lo"], row["hi"], row["size"], a, b):
-                out.write(line)
+        with store.open_output_stream(f"{base}/{part(row['path'], row['lo'])}", buffer_size=min(_WRITE, row["size"] + 1)) as out:
+            for lo, hi in cuts(row):
+                for line, _ in changed_lines(handle, lo, hi, row["size"], a, b, block):
+                    out.write(line)
+
+    def count(row: dict) -> Iterator[dict]:
+        with files.open(row["path"]) as handle:
+            n = sum(line.count(a) for lo, hi in cuts(row) for _, line in growing.lines_between(handle, lo, hi, block))
+            if n and row["hi"] - row["lo"] == row["size"]:  # the whole file, which stays as it is until its part is renamed
+                put(row, handle)
+        yield {"path": row["path"], "n": n}
+
+    def write(row: dict) -> Iterator[dict]:
+        with files.open(row["path"]) as handle:
+            put(row, handle)
         yield {"path": row["path"], "lo": row["lo"]}
 
     def join(row: dict) -> Iterator[dict]:
         store, base = files.store()
         whole, parts = f"{base}/{part(row['path'], -1)}", [f"{base}/{part(row['path'], lo)}" for lo in sorted(row["los"])]
         target = f"{base}/{row['path']}"
-        if all(store.get_file_info(p).type == fs.FileType.File for p in parts):  # else this task has been here
+        if len(parts) == 1:
+            if store.get_file_info(parts[0]).type == fs.FileType.File:  # else this task has been here
+                store.move(parts[0], target)
+        elif all(store.get_file_info(p).type == fs.FileType.File for p in parts):
             with store.open_output_stream(whole) as out:
                 for p in parts:
                     with store.open_input_stream(p) as stream:
@@ -93,14 +112,13 @@ def rewrite_files(spark: SparkSession, root: str, suffix: str, old: str, new: st
                 store.delete_file(p)
         yield {"path": row["path"]}
 
-    found = {r["path"]: r["n"] for r in _tasks(ranges, count, "path string, n bigint").groupBy("path").agg(F.sum("n").alias("n")).where("n > 0").collect()}  # files that change
+    found = {r["path"]: r["n"] for r in _tasks(runs, count, "path string, n bigint").groupBy("path").agg(F.sum("n").alias("n")).where("n > 0").collect()}  # files that change
     if found:
-        some = ranges.where(F.col("path").isin(list(found))) if len(found) < 1000 else ranges.join(F.broadcast(spark.createDataFrame([(p,) for p in found], "path string")), "path")
-        _tasks(some, write, "path string, lo bigint").count()
-        los: dict[str, list[int]] = {}
-        for p, lo, _, _ in pieces:
-            if p in found:
-                los.setdefault(p, []).append(lo)
-        todo = spark.createDataFrame(list(los.items()), "path string, los array<bigint>").repartition(len(los) if len(los) < many else many, "path")
+        los = {p: list(range(0, sizes[p], run)) for p in found}
+        more = [(p, lo, min(sizes[p], lo + run), sizes[p]) for p, at in los.items() if len(at) > 1 for lo in at]
+        if more:
+            some = spark.createDataFrame(more, "path string, lo bigint, hi bigint, size bigint").repartition(tasks(len(more)), "path", "lo")
+            _tasks(some, write, "path string, lo bigint").count()
+        todo = spark.createDataFrame(list(los.items()), "path string, los array<bigint>").repartition(tasks(len(los)), "path")
         _tasks(todo, join, "path string").count()
     return found

@@ -60,6 +60,8 @@ def lines_between(handle, lo: int, hi: int, block: int = BLOCK, unfinished: bool
         if not passing:
             parts.append(data[cut:])
         at += len(data)
+        if passing and at >= hi:
+            return  # the range lies within one line
     if unfinished and not passing and any(parts) and begin < hi:
         yield begin, b"".join(parts)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import random
 import time
@@ -9,8 +10,9 @@ from pathlib import Path
 
 import pytest
 
+from sessionlake.plans import rewrite
 from sessionlake.plans.rewrite import rewrite_files
-from sessionlake.sources import sinks
+from sessionlake.sources import growing, sinks
 
 
 def test_a_lock_is_kept_as_long_as_its_writer_lives(spark, tmp_path):
@@ -73,3 +75,33 @@ def test_overlaps_bytes_and_refusals(spark, tmp_path):
         with pytest.raises(ValueError):
             rewrite_files(spark, str(tmp_path), "x.jsonl", bad, "c")
     assert rewrite_files(spark, f"{tmp_path}/none", ".jsonl", "a", "b") == {}
+
+
+@pytest.mark.parametrize("run", [1 << 22, 20])
+def test_ranges_of_a_run_share_one_opening(spark, tmp_path, monkeypatch, run):
+    """Of one run each file is opened once, however small its ranges; of several its parts come together in order."""
+    opened, log = growing._Files.open, str(tmp_path / "log")
+
+    def noted(self, path):
+        with open(log, "a") as f:
+            f.write(path + "\n")
+        return opened(self, path)
+
+    monkeypatch.setattr(growing._Files, "open", noted)
+    monkeypatch.setattr(rewrite, "_RUN", run)
+    texts = {f"in/{k}.html": "".join(f"{'the' * (i % 3)}{i} é\n" for i in range(40 * k)) + "the" for k in (1, 2, 3)}
+    (tmp_path / "in").mkdir()
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    assert rewrite_files(spark, str(tmp_path / "in"), ".html", "the", "a the", split=5) == {n[3:]: t.count("the") for n, t in texts.items()}
+    for name, text in texts.items():
+        assert (tmp_path / name).read_bytes() == text.replace("the", "a the").encode()
+    assert sorted(p.name for p in (tmp_path / "in").iterdir()) == ["1.html", "2.html", "3.html"]
+    n = len(open(log).readlines())
+    assert n == 3 if run > 20 else n == 2 * sum(-(-len(t.encode()) // 20) for t in texts.values())
+
+
+def test_a_range_within_a_line_reads_no_further():
+    handle = io.BytesIO(b"x" * 100_000 + b"\ny\n")
+    assert list(growing.lines_between(handle, 10, 20, block=16)) == [] and handle.tell() < 50
+    assert list(growing.lines_between(handle, 100_001, 100_003, block=16)) == [(100_001, b"y")]

@@ -320,3 +320,14 @@ def test_day_sessions(spark, tree, tmp_path):
     for name, text in (("a/x", "1"), ("a/y", "2"), ("a/z", "3"), ("b/x", "1"), ("b/y", "9")):
         write(tmp_path / name, text)
     assert [tuple(r) for r in report.compare_folders(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect()] == [("x", "same"), ("y", "different"), ("z", "missing")]
+
+
+def test_a_pattern_takes_files_of_its_depth(spark, tmp_path):
+    for name in ("a/x.txt", "a/k=v/y.txt", "b/z.txt", "b/z.md", "top.txt", "a/_h.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "c.txt").mkdir()
+    for root in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        for pattern, want in (("*/*.txt", {"a/x.txt", "b/z.txt"}), ("*.txt", {"top.txt"}), ("*/z.*", {"b/z.txt", "b/z.md"}), ("*/x.txt", {"a/x.txt"}), ("{a,b}/[xz].txt", {"a/x.txt", "b/z.txt"}), ("none/*.txt", set())):
+            assert {r.value for r in files.read_whole(spark, f"{root}/{pattern}").collect()} == want
+            assert {r.path.split(f"{tmp_path}/")[1] for r in files.list_files(spark, f"{root}/{pattern}").collect()} == want
