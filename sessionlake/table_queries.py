@@ -154,9 +154,14 @@ def _user_documents(events: DataFrame, *of_day: F.Column, **own: str) -> DataFra
     return days.join(kinds, "user_id").select(F.col("user_id").alias("id"), F.to_json(F.struct("days", "log", F.struct(*[F.lit(v).alias(k) for k, v in own.items()]).alias("marks"))).alias("text"))
 
 
+#: Events of one task: partitions grow with the table, and hold every user's whole.
+_TASK_EVENTS = 100_000
+
+
 def _merged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").cast("string").alias("day"), "event_type", "value", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-    n = F.count("*").alias("n")
+    parts = max(spark.sparkContext.defaultParallelism, events.count() // _TASK_EVENTS)
+    events, n = events.repartition(parts, "user_id"), F.count("*").alias("n")
     base, new = _user_documents(events.where("value < 50"), n, F.max("k").alias("k"), a="base", b="base"), _user_documents(events.where("value >= 20"), n, b="new")
     return nested.merge_documents(base, new, [("log", "entries")])
 

@@ -86,3 +86,12 @@ def test_remove(spark):
         4: ({"list": ["old.py"]}, 0),
         None: (8, 0),
     }
+
+
+def test_merging_has_more_tasks_for_more_text(spark, monkeypatch):
+    """Partitions follow the documents' size, and small ones aren't put together again."""
+    monkeypatch.setattr(nested, "TASK_BYTES", 500, raising=False)
+    a, b = ({i: {"log": [{"at": f"{s}{i}"}], "days": {str(d): {"n": d} for d in range(s, 5 + s)}} for i in range(40)} for s in (0, 2))
+    rows = nested.merge_documents(*(frame(spark, [(i, json.dumps(v)) for i, v in s.items()]) for s in (a, b)), [("log",)])
+    assert read(rows) == {i: merged(a[i], b[i], [("log",)]) for i in a}
+    assert rows.rdd.getNumPartitions() > 4 * spark.sparkContext.defaultParallelism - 1
