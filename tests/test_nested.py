@@ -95,3 +95,11 @@ def test_merging_has_more_tasks_for_more_text(spark, monkeypatch):
     rows = nested.merge_documents(*(frame(spark, [(i, json.dumps(v)) for i, v in s.items()]) for s in (a, b)), [("log",)])
     assert read(rows) == {i: merged(a[i], b[i], [("log",)]) for i in a}
     assert rows.rdd.getNumPartitions() > 4 * spark.sparkContext.defaultParallelism - 1
+
+
+def test_pruning_has_more_tasks_for_more_text(spark, monkeypatch):
+    monkeypatch.setattr(nested, "TASK_BYTES", 500, raising=False)
+    docs = [(i, json.dumps({"log": [{"at": f"day {d}"} for d in range(5)], "n": i})) for i in range(40)]
+    rows = nested.remove_elements(frame(spark, docs), [("log",)], lambda e: F.array(F.to_json(e)), ["day 3"])
+    assert {r.id: (json.loads(r.text), r.n_removed) for r in rows.collect()} == {i: ({"log": [{"at": f"day {d}"} for d in (0, 1, 2, 4)], "n": i}, 1) for i in range(40)}
+    assert rows.rdd.getNumPartitions() > 4 * spark.sparkContext.defaultParallelism - 1
