@@ -9,6 +9,7 @@ import time
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from sessionlake.plans import rewrite
 from sessionlake.plans.rewrite import rewrite_files
@@ -105,3 +106,18 @@ def test_a_range_within_a_line_reads_no_further():
     handle = io.BytesIO(b"x" * 100_000 + b"\ny\n")
     assert list(growing.lines_between(handle, 10, 20, block=16)) == [] and handle.tell() < 50
     assert list(growing.lines_between(handle, 100_001, 100_003, block=16)) == [(100_001, b"y")]
+
+
+def test_an_extract_is_worked_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def noted(n):
+        seen.add(1)
+        return n
+
+    rows = [("2024-02-03", "-p", f"s{i}", 1, [(1, "assistant", f"text {i}")]) for i in range(5)]
+    extracted = spark.createDataFrame(rows, "date string, project_hash string, session_id string, n bigint, messages array<struct<line_no:bigint,role:string,content:string>>")
+    extracted = extracted.select("date", "project_hash", "session_id", F.lit("2024-02-03").cast("timestamp").alias("file_mtime"), noted("n").alias("message_count"), "messages")
+    assert sinks.write_extract(spark, extracted, f"{tmp_path}/x.txt", f"{tmp_path}/x.sessions", 100) == 5
+    assert seen.value == 5 and "(5 sessions, 5 messages)" in (tmp_path / "x.txt").read_text()
