@@ -103,8 +103,9 @@ def merge_documents(base: DataFrame, override: DataFrame, arrays: list[Path] | N
     n = _parts(*docs)
     sides = [_roots(d, n) for d in docs]
     while True:
-        b = sides[0].select(F.struct("id").alias("k"), "path", F.col("v").alias("b")).repartition(n, "k", "path")  # a null within a struct is equal to another
-        o = sides[1].select(F.struct("id").alias("k_"), F.col("path").alias("path_"), F.col("v").alias("o")).repartition(n, "k_", "path_")
+        by = ("k", "path") if depth else ("k",)  # the roots' one path drops out of the join, which would then be dealt out anew
+        b = sides[0].select(F.struct("id").alias("k"), "path", F.col("v").alias("b")).repartition(n, *by)  # a null within a struct is equal to another
+        o = sides[1].select(F.struct("id").alias("k_"), F.col("path").alias("path_"), F.col("v").alias("o")).repartition(n, *[f"{c}_" for c in by])
         both = b.join(o, (F.col("k") == F.col("k_")) & (F.col("path") == F.col("path_")), "full")
         both = both.select(F.coalesce("k", "k_")["id"].alias("id"), F.coalesce("path", "path_").alias("path"), F.col("path").isNotNull().alias("in_b"), F.col("path_").isNotNull().alias("in_o"), "b", "o")
         united = F.lit(False) if not arrays else _at(arrays) & _elements("b").isNotNull() & _elements("o").isNotNull()

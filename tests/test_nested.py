@@ -103,3 +103,15 @@ def test_pruning_has_more_tasks_for_more_text(spark, monkeypatch):
     rows = nested.remove_elements(frame(spark, docs), [("log",)], lambda e: F.array(F.to_json(e)), ["day 3"])
     assert {r.id: (json.loads(r.text), r.n_removed) for r in rows.collect()} == {i: ({"log": [{"at": f"day {d}"} for d in (0, 1, 2, 4)], "n": i}, 1) for i in range(40)}
     assert rows.rdd.getNumPartitions() == -(-sum(len(d) for _, d in docs) // 500) > 4
+
+
+def test_roots_are_joined_in_more_tasks_for_more_text(spark, monkeypatch):
+    """The first level too is dealt out by the documents' size, though all its rows have one path."""
+    saved, save = [], nested.Scratch.save
+    monkeypatch.setattr(nested, "TASK_BYTES", 500)
+    monkeypatch.setattr(nested.Scratch, "save", lambda self, df, name: saved.append((name, save(self, df, name))) or saved[-1][1])
+    a, b = ({i: {"days": {str(d): {"n": d} for d in range(s, 5 + s)}} for i in range(200)} for s in (0, 2))
+    rows = nested.merge_documents(*(frame(spark, [(i, json.dumps(v)) for i, v in s.items()]) for s in (a, b)))
+    assert read(rows) == {i: merged(a[i], b[i], []) for i in a}
+    tasks = [len(df.inputFiles()) for name, df in saved if name == "level"]
+    assert len(tasks) == 4 and min(tasks) > 4 * spark.sparkContext.defaultParallelism, tasks
